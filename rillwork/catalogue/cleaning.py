@@ -49,7 +49,7 @@ def clean_results(spark, folder):
 
 @query("dedup_results", f"WITH {Q.RAW} SELECT DISTINCT analyte, day_text AS day, unit FROM raw")
 def dedup_results(spark, folder):
-    return short(C.dedup(D.raw_results(spark, folder).select(S.ANALYTE, S.DATE, S.UNIT)))
+    return short(C.dedup(D.raw_results(spark, folder).select(S.ANALYTE, S.DATE, f"`{S.UNIT}`")))
 
 
 @query("coerce_numeric", f"""
@@ -123,7 +123,7 @@ def normalise_headers(spark, folder):
 
 
 @query("rename_and_drop", f"""
-WITH {Q.TREATMENT} SELECT site, Fe, Temperatur AS "Temp", 1.5 AS "Bituminous_dist_m" FROM treatment""")
+WITH {Q.TREATMENT} SELECT site, Fe, Temperatur AS "Temp", CAST(1.5 AS DOUBLE) AS "Bituminous_dist_m" FROM treatment""")
 def rename_and_drop(spark, folder):
     """Rename by map, drop by pattern with exceptions."""
     table = D.treatment(spark, folder).withColumn("Bituminous_dist_m", F.lit(1.5))

@@ -273,7 +273,7 @@ WITH e AS (SELECT event_id, value, CASE WHEN event_type <> 'error' THEN value EN
 s AS (SELECT min(value) AS lo, max(value) AS hi, min(gap) AS glo, max(gap) AS ghi,
   quantile_cont(gap, 0.5) AS gm FROM e)
 SELECT event_id, round((value - lo) / (hi - lo), 6) AS value_norm, CAST(NULL AS DOUBLE) AS flat_norm,
-  round((coalesce(gap, gm) - glo) / (ghi - glo), 6) AS gap_scaled, 0.0 AS flat_scaled, 0.0 AS none_scaled
+  round((coalesce(gap, gm) - glo) / (ghi - glo), 6) AS gap_scaled, CAST(0 AS DOUBLE) AS flat_scaled, CAST(0 AS DOUBLE) AS none_scaled
 FROM e, s""")
 def minmax(spark, folder):
     """Scaling with and without median filling; columns without spread or values."""

@@ -33,7 +33,7 @@ def feature_matrix(spark, folder):
 @query("standardise", """
 WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[64] AS DOUBLE) AS b FROM embeddings),
 s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM e)
-SELECT vec_id, round((a - ma) / sa, 6) AS f0_std, round((b - mb) / sb, 6) AS f63_std, 0.0 AS flat_std FROM e, s""")
+SELECT vec_id, round((a - ma) / sa, 6) AS f0_std, round((b - mb) / sb, 6) AS f63_std, CAST(0 AS DOUBLE) AS flat_std FROM e, s""")
 def standardise(spark, folder):
     """Population standardisation; a constant column gives zero."""
     rows, _ = D.vectors(spark, folder, DIMENSIONS)

@@ -63,10 +63,10 @@ def nearest_samples(spark, folder):
     return rounded(joined.select("l_orderkey", "l_linenumber", "day", "dist_m"))
 
 
-LINE_DISTANCE = """sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(y - (ay + t * (by - ay)), 2))"""
+LINE_DISTANCE = """sqrt(pow(x - (ax + t * (ex - ax)), 2) + pow(y - (ay + t * (ey - ay)), 2))"""
 FLOW_PAIRS = f"""
-along AS (SELECT site, id, x, y, ax, ay, bx, by, greatest(0.0, least(1.0,
-  ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)))) AS t
+along AS (SELECT site, id, x, y, ax, ay, ex, ey, greatest(0.0, least(1.0,
+  ((x - ax) * (ex - ax) + (y - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)))) AS t
   FROM sites, flow),
 flow_pairs AS (SELECT site, id, {LINE_DISTANCE} AS d FROM along)"""
 
@@ -206,7 +206,7 @@ def to_points(spark, folder):
 
 
 @query("explode_edges", f"""
-WITH {Q.FLOW} SELECT id AS feature_id, ax AS x1, ay AS y1, bx AS x2, by AS y2 FROM flow""")
+WITH {Q.FLOW} SELECT id AS feature_id, ax AS x1, ay AS y1, ex AS x2, ey AS y2 FROM flow""")
 def explode_edges(spark, folder):
     return N.shape_segments(D.flowlines(spark, folder), "feature_id", "Flow").drop("layer")
 

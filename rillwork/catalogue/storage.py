@@ -48,9 +48,7 @@ def csv_tolerant(spark, folder):
     lines = D.table(spark, folder, "lineitem").select(text.alias("site,note,line"))
     # Plain lines below a header line: no quoting, and a separator that occurs nowhere.
     lines.write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
-    return R.read_csv_tolerant(
-        spark, [path + "-absent", path], ["site", "note", "line"], ["site", "note", "line"]
-    ).withColumn("note", F.replace("note", F.lit('\\"'), F.lit('"')))
+    return R.read_csv_tolerant(spark, [path + "-absent", path], ["site", "note", "line"])
 
 
 @query("csv_to_parquet", """

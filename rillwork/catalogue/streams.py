@@ -36,8 +36,8 @@ SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events
 def stream_dedup(spark, folder):
     """One row per user, kind and day from a stream of samples."""
     base = scratch_path(spark, "stream_dedup")
-    path = f"{folder}/events.parquet"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = D.events(spark, folder).schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     samples = source.select(
         "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("ts").cast("timestamp").alias("at"))
     keys = ["user_id", "event_type", "day"]

@@ -64,9 +64,8 @@ def sickness_v2(
     for c, w in present.items():
         index = index + w * V.ref(c + "_norm")
     if distance:
-        known = df.agg(F.count(V.numeric(df, distance))).scalar() > 0
-        factor = 0.5 + 0.5 * (1 - V.ref(distance + "_norm"))
-        index = F.when(known, index * factor).otherwise(index)
+        # Without any distance the scaled column is 0 and the factor 1.
+        index = index * (0.5 + 0.5 * (1 - V.ref(distance + "_norm")))
     return scaled.withColumn("Sickness_Index", index)
 
 

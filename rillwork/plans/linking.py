@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillwork.operators import health as H
 from rillwork.operators.nearest import attach_nearest, nearest_overall
 from rillwork.operators.within import within_join
+from rillwork.session import checkpoint
 
 
 def link_sites(
@@ -25,7 +26,9 @@ def link_sites(
     if watersheds is not None:
         linked = within_join(linked, watersheds, {"huc12": "HUC12_ID", "name": "HUC12_NAME"})
     linked = attach_nearest(linked, layers, max_m=max_m)
-    return nearest_overall(linked, [name for name, layer in layers.items() if layer is not None])
+    linked = nearest_overall(linked, [name for name, layer in layers.items() if layer is not None])
+    # Scores pass over the samples several times; the spatial work is stored, not repeated.
+    return checkpoint(linked)
 
 
 def link_samples(samples: DataFrame, linked_sites: DataFrame, key: str) -> DataFrame:
@@ -39,14 +42,19 @@ def watershed_health_v1(joined: DataFrame, chemistry: list[str], distance: str,
     scored = H.sickness_v1(joined, chemistry, distance, huc)
     means = {"Fe": "Mean_Fe", "ResultMeasureValue": "Mean_Analyte", "Temperatur": "Mean_Temp"}
     means |= {distance: "Mean_Dist_M", "Sickness_Index": "Sickness_Index"}
-    return H.rank_dense(H.aggregate_health(scored, huc, means), "Sickness_Index")
+    return _ranked(scored, huc, means)
 
 
 def watershed_health_v2(joined: DataFrame, merged: list[str], distance: str | None, huc: str) -> DataFrame:
     """The same from merged inlet/outlet analytes with the proximity factor."""
     scored = H.sickness_v2(joined, distance=distance)
     means = {c: c for c in [*merged, "Sickness_Index", *([distance] if distance else [])]}
-    return H.rank_dense(H.aggregate_health(scored, huc, means), "Sickness_Index")
+    return _ranked(scored, huc, means)
+
+
+def _ranked(scored: DataFrame, huc: str, means: dict[str, str]) -> DataFrame:
+    """Ranking reads the summary twice, so the summary is stored, not the samples scored again."""
+    return H.rank_dense(checkpoint(H.aggregate_health(scored, huc, means)), "Sickness_Index")
 
 
 def map_center(polygons: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from rillwork.functions.geometry import PARTS
 from rillwork.functions.values import ref
 from rillwork.sources.tables import find_column, path_exists
 
-FEATURE = "STRUCT<type: STRING, geometry: STRUCT<type: STRING, coordinates: STRING>, properties: MAP<STRING, STRING>>"
+FEATURE = "type STRING, geometry STRUCT<type: STRING, coordinates: STRING>, properties MAP<STRING, STRING>"
 
 
 def _parts(kind: Column, coordinates: Column) -> Column:
@@ -48,11 +48,11 @@ def _features(raw: DataFrame, layer: Column, id_property: str | None) -> DataFra
 def _read(spark: SparkSession, path: str | list[str], lines: bool) -> DataFrame:
     """Features of whole collections, or of files with one feature per line (splittable)."""
     if lines:
-        raw = spark.read.schema("type STRING, " + FEATURE[len("STRUCT<type: STRING, "):-1]).json(path)
+        raw = spark.read.schema(FEATURE).json(path)
         return raw.select(F.struct("type", "geometry", "properties").alias("f"), "_metadata").where(
             "f.type = 'Feature'"
         )
-    raw = spark.read.schema(f"features ARRAY<{FEATURE}>").option("multiLine", True).json(path)
+    raw = spark.read.schema(f"features ARRAY<STRUCT<{FEATURE}>>").option("multiLine", True).json(path)
     return raw.select(F.explode("features").alias("f"), "_metadata")
 
 
@@ -85,7 +85,7 @@ def read_feature_pages(
         warnings.warn(f"no pages for {layer} at {path}", stacklevel=2)
         return spark.createDataFrame([], S.FEATURE)
     raw = (
-        spark.read.schema(f"features ARRAY<{FEATURE}>, _bad STRING")
+        spark.read.schema(f"features ARRAY<STRUCT<{FEATURE}>>, _bad STRING")
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     )
     pages = raw.where("_bad IS NULL").select(F.explode("features").alias("f"))

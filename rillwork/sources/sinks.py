@@ -15,7 +15,7 @@ from rillwork.sources.tables import path_exists
 
 def write_csv(df: DataFrame, path: str, drop: list[str] = ("parts",)) -> None:
     """CSV with a header in every part; geometry columns are left out."""
-    df.drop(*drop).write.mode("overwrite").option("header", True).csv(path)
+    df.drop(*drop).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

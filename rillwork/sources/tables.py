@@ -45,7 +45,8 @@ def read_results(
 
     With ``stream`` the same table arrives file by file.
     """
-    reader = (spark.readStream if stream else spark.read).schema(schema).option("header", True)
+    reader = (spark.readStream if stream else spark.read).schema(schema)
+    reader = reader.option("header", True).option("escape", '"')
     if stream and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.csv(path)
@@ -64,7 +65,7 @@ def read_csv_tolerant(
     lines = (
         spark.read.schema(T.StructType(fields))
         .option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
-        .csv(first_path(spark, paths))
+        .option("escape", '"').csv(first_path(spark, paths))
     )
     kept = lines.where(F.col(extra).isNull())
     return kept.select(*[V.ref(c) for c in wanted or columns])
