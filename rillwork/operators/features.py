@@ -45,25 +45,31 @@ def annual_means(df: DataFrame) -> DataFrame:
     return df.groupBy(S.SITE, S.ANALYTE, "Year").agg(F.avg(S.VALUE).alias("annual_mean"))
 
 
+STATISTICS = ["mean", "median", "std", "min", "max", "n_years", "trend"]
+
+
+def analyte_statistics(yearly: DataFrame) -> DataFrame:
+    """Statistics and trend of the annual means per site and analyte."""
+    value, years = F.col("annual_mean"), F.count("annual_mean")
+    return yearly.groupBy(S.SITE, S.ANALYTE).agg(
+        F.avg(value).alias("mean"),
+        # At most one value per year, so this group stays small.
+        F.median(value).alias("median"),
+        F.stddev_pop(value).alias("std"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        years.cast("int").alias("n_years"),
+        F.when(years > 2, F.regr_slope(value, F.col("Year").cast("double"))).alias("trend"),
+    )
+
+
 def site_features(df: DataFrame, analytes: list[str] = S.ANALYTES) -> DataFrame:
     """Statistics and trend of the annual means per site, ratios and the AMD_impacted label."""
-    yearly = annual_means(usable_results(df, analytes))
-    columns = []
-    for a in analytes:
-        value = F.when(F.col(S.ANALYTE) == a, F.col("annual_mean"))
-        year = F.when(F.col(S.ANALYTE) == a, F.col("Year").cast("double"))
-        years = F.count(value)
-        columns += [
-            F.avg(value).alias(f"{a}_mean"),
-            # A site has at most one value per year, so this group stays small.
-            F.median(value).alias(f"{a}_median"),
-            F.stddev_pop(value).alias(f"{a}_std"),
-            F.min(value).alias(f"{a}_min"),
-            F.max(value).alias(f"{a}_max"),
-            F.when(years > 0, years).cast("int").alias(f"{a}_n_years"),
-            F.when(years > 2, F.regr_slope(value, year)).alias(f"{a}_trend"),
-        ]
-    wide = yearly.groupBy(S.SITE).agg(*columns)
+    statistics = analyte_statistics(annual_means(usable_results(df, analytes)))
+    wide = statistics.groupBy(S.SITE).agg(*[
+        F.max(F.when(F.col(S.ANALYTE) == a, F.col(name))).alias(f"{a}_{name}")
+        for a in analytes for name in STATISTICS
+    ])
     wide = C.add_ratio(wide, "Iron_mean", "Manganese_mean", "Fe_Mn_ratio")
     wide = C.add_ratio(wide, "Iron_mean", "Sulfate_mean", "Fe_Sulfate_ratio")
     return C.label_any(wide, S.IMPACTED_RULES, "AMD_impacted")

@@ -6,7 +6,7 @@ brackets each wanted rank, and only values inside the bracket are counted one by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,42 +26,42 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     """Rows (column, p, value) with the same values as a sort of the whole column would give."""
     values = long_values(df, columns)
     reach = 4 / ACCURACY
-    edges = [b for p in probabilities for b in (max(p - reach, 0.0), min(p + reach, 1.0))]
-    wanted = F.array(*[
-        F.struct(F.lit(p).alias("p"), F.lit(2 * i).alias("at")) for i, p in enumerate(probabilities)
-    ])
-    # One row per column and probability, whatever the size of the table.
-    targets = (
-        values.groupBy("column")
-        .agg(F.count("value").alias("n"), F.percentile_approx("value", edges, ACCURACY).alias("edges"))
-        .select("column", "n", "edges", F.explode(wanted).alias("w"))
-        .select(
-            "column", F.col("w.p").alias("p"),
-            (F.col("w.p") * (F.col("n") - 1)).alias("position"),
-            F.when(F.col("n") > ACCURACY, F.get("edges", F.col("w.at"))).alias("low"),
-            F.when(F.col("n") > ACCURACY, F.get("edges", F.col("w.at") + 1)).alias("high"),
-        )
+    brackets = [(max(p - reach, 0.0), min(p + reach, 1.0)) for p in probabilities]
+    marks = [m for bracket in brackets for m in bracket]
+    # One row per column, whatever the size of the table.
+    sketch = values.groupBy("column").agg(
+        F.count("value").alias("n"), F.percentile_approx("value", marks, ACCURACY).alias("edges")
     )
-    # Everything below the bracket collapses into one NULL group, which sorts first.
-    inside = F.when(F.col("low").isNull() | (F.col("value") >= F.col("low")), F.col("value"))
+    value = F.col("value")
+    edges = [F.when(F.col("n") > ACCURACY, F.get("edges", F.lit(i))) for i in range(len(marks))]
+    # A slot lies wholly inside or wholly outside the brackets, and slots rise with the value.
+    inside, slot = F.col("n") <= ACCURACY, F.lit(0)
+    for low, high in zip(edges[::2], edges[1::2], strict=True):
+        inside = inside | value.between(low, high)
+        slot = slot + V.flag(value >= low).cast("int") + V.flag(value > high).cast("int")
+    # The values of an outside slot collapse into one group without a value.
     counted = (
-        values.join(F.broadcast(targets), "column")
-        .where(F.col("high").isNull() | (F.col("value") <= F.col("high")))
-        .groupBy("column", "p", "position", inside.alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        values.join(F.broadcast(sketch), "column")
+        .groupBy("column", "n", slot.alias("slot"), F.when(inside, value).alias("value"))
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
-    running = F.sum("n").over(W.partitionBy("column", "p").orderBy(F.asc_nulls_first("value")))
-    floor, ceil = F.floor("position"), F.ceil("position")
-    picked = (
-        counted.withColumn("reach", running)
-        .groupBy("column", "p", "position")
-        .agg(
-            F.min(F.when(F.col("reach") > floor, F.struct("reach", "value"))).alias("a"),
-            F.min(F.when(F.col("reach") > ceil, F.struct("reach", "value"))).alias("b"),
-        )
-    )
-    low, high = F.col("a.value"), F.col("b.value")
-    step = F.col("position") - floor
-    value = F.when(step == 0, low).otherwise(low + step * (high - low))
-    checked = F.when(low.isNull() | high.isNull(), F.raise_error(F.lit("rank outside its bracket")))
-    return picked.select("column", "p", F.coalesce(checked.cast("double"), value).alias("value"))
+    running = F.sum("rows").over(W.partitionBy("column").orderBy("slot", "value"))
+    ranked = counted.withColumn("reach", running)
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("reach") > rank, F.struct("reach", "slot", "value")))
+
+    places = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
+    picks = [at(F.floor(place)).alias(f"a{i}") for i, place in enumerate(places)]
+    picks += [at(F.ceil(place)).alias(f"b{i}") for i, place in enumerate(places)]
+    picked = ranked.groupBy("column", "n").agg(*picks)
+    cells = []
+    for i, (p, place) in enumerate(zip(probabilities, places, strict=True)):
+        low, high = F.col(f"a{i}.value"), F.col(f"b{i}.value")
+        step = place - F.floor(place)
+        between = F.when(step == 0, low).otherwise(low + step * (high - low))
+        missed = F.when(low.isNull() | high.isNull(), F.raise_error(F.lit("rank outside its bracket")))
+        cells.append(F.struct(
+            F.lit(float(p)).alias("p"), F.coalesce(missed.cast("double"), between).alias("value")
+        ))
+    return picked.select("column", F.explode(F.array(*cells)).alias("c")).select("column", "c.*")
