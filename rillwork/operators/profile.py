@@ -119,9 +119,14 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair over rows where both are present."""
     pairs = list(combinations(columns, 2))
     values = df.select(*[V.numeric(df, c).alias(c) for c in columns])
-    both = [F.corr(V.ref(a), V.ref(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+    both = []
+    for i, (a, b) in enumerate(pairs):
+        # ``corr`` fails on a column without spread, so it is put together from its parts.
+        x, y = F.when(V.ref(b).isNotNull(), V.ref(a)), F.when(V.ref(a).isNotNull(), V.ref(b))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        both.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"r{i}"))
     cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), V.not_nan(F.col(f"r{i}")).alias("r"))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)
     ]
     return _rows(values.agg(*both), cells)
