@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.geometry import bounds, explode_edges
 from rillwork.functions.values import ref
+from rillwork.operators.locations import attach_locations, distinct_locations
 
 STRIP_EDGES = 16   # edges per strip aimed at
 
@@ -116,12 +117,9 @@ def within_join(
     ``names`` maps polygon columns to output names. Overlapping polygons multiply a row; points
     in no polygon stay with NULLs.
     """
-    known = left.where(ref(x).isNotNull() & ref(y).isNotNull())
-    locations = known.select(ref(x).cast("double").alias("x"), ref(y).cast("double").alias("y")).distinct()
-    inside = containing_polygons(locations, polygons)
-    attributes = polygons.select("feature_id", *[ref(c).alias(out) for c, out in names.items()])
-    found = inside.join(attributes, "feature_id").select(
-        F.col("x").alias("_x"), F.col("y").alias("_y"), *[ref(out) for out in names.values()]
+    inside = containing_polygons(distinct_locations(left, x, y), polygons)
+    attributes = polygons.select(
+        F.col("feature_id").alias("_id"), *[ref(c).alias(out) for c, out in names.items()]
     )
-    at = (ref(x).cast("double") == F.col("_x")) & (ref(y).cast("double") == F.col("_y"))
-    return left.join(found, at, "left").drop("_x", "_y")
+    found = inside.join(attributes, F.col("feature_id") == F.col("_id"))
+    return attach_locations(left, found.select("x", "y", *[ref(out) for out in names.values()]), x, y)

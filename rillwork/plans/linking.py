@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillwork.operators import health as H
 from rillwork.operators.nearest import attach_nearest, nearest_overall
 from rillwork.operators.within import within_join
-from rillwork.session import checkpoint
+from rillwork.session import broadcast_if_small, checkpoint
 
 
 def link_sites(
@@ -32,9 +32,10 @@ def link_sites(
 
 
 def link_samples(samples: DataFrame, linked_sites: DataFrame, key: str) -> DataFrame:
-    """Give every sample the links of its site. A site with very many samples is split by
-    adaptive execution, since the site side has a row or few per key."""
-    return samples.join(linked_sites.drop("x_m", "y_m"), key, "left")
+    """Give every sample the links of its site, without a shuffle of the samples where the links
+    are small; otherwise adaptive execution splits a site that has very many samples."""
+    links = broadcast_if_small(linked_sites.drop("x_m", "y_m"), stored=True)
+    return samples.join(links, key, "left")
 
 
 def watershed_health_v1(joined: DataFrame, chemistry: list[str], distance: str, huc: str) -> DataFrame:

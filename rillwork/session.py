@@ -61,12 +61,13 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only after measuring the side; otherwise Spark shuffles it.
+def broadcast_if_small(df: DataFrame, stored: bool = False) -> DataFrame:
+    """Hint a broadcast only after measuring the side; otherwise Spark shuffles both sides and
+    splits skewed keys.
 
-    The side is stored once, so measuring it does not compute it a second time.
+    The side is stored once (unless it already is), so measuring does not compute it twice.
     """
-    stored = checkpoint(df)
+    stored = df if stored else checkpoint(df)
     # A null-safe text rendering over-estimates the width of numeric columns.
     width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in stored.columns])))
     size = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()

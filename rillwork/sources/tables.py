@@ -5,7 +5,6 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,14 +14,10 @@ from rillwork.functions import values as V
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Does the path (or glob) name anything? Works on every file system Spark can read."""
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return False
-    return True
+    """Does the path (or glob) name anything? Asks the file system, reads no data."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.globStatus(hadoop))
 
 
 def first_path(spark: SparkSession, paths: str | list[str]) -> str:
