@@ -18,8 +18,8 @@ RESULTS = f"""results AS (
     CAST(l_shipdate AS DATE) AS day, YEAR(l_shipdate) AS yr,
     {LAT.format(key="l_partkey")} AS lat, {LON.format(key="l_partkey")} AS lon,
     {ANALYTE} AS analyte,
-    CASE {ANALYTE} WHEN 'pH' THEN l_quantity * 0.28 WHEN 'Iron' THEN l_extendedprice / 9700
-      WHEN 'Sulfate' THEN l_extendedprice / 193 ELSE l_extendedprice / 970 END AS v,
+    CASE {ANALYTE} WHEN 'pH' THEN l_quantity * 0.28 WHEN 'Iron' THEN l_extendedprice / 9973
+      WHEN 'Sulfate' THEN l_extendedprice * 50 / 9973 ELSE l_extendedprice * 10 / 9973 END AS v,
     CASE WHEN {ANALYTE} = 'pH' THEN 'std units'
       WHEN {ANALYTE} = 'Specific conductance'
         THEN CASE l_linenumber % 3 WHEN 0 THEN 'uS/cm' WHEN 1 THEN 'µS/cm' ELSE 'mS/cm' END
@@ -85,7 +85,7 @@ DISTANCE = "sqrt((x - mx) * (x - mx) + (y - my) * (y - my))"
 
 TREATMENT = """treatment AS (
   SELECT 'S' || CAST(l_partkey AS VARCHAR) AS site, l_partkey AS site_key,
-    CASE WHEN l_linenumber % 5 <> 0 THEN l_extendedprice / 9700 END AS Fe,
+    CASE WHEN l_linenumber % 5 <> 0 THEN l_extendedprice / 9973 END AS Fe,
     CASE WHEN l_linenumber <> 7 THEN l_quantity * 0.28 END AS pH_in,
     CASE WHEN l_linenumber NOT IN (6, 7) THEN l_quantity * 0.25 + l_tax * 10 END AS pH_out,
     CASE WHEN l_linenumber <> 7 THEN l_discount * 1000 END AS CondIn,
@@ -95,7 +95,7 @@ TREATMENT = """treatment AS (
     CASE WHEN l_linenumber % 2 = 1 THEN l_quantity / 3 + 4 END AS Temperatur,
     l_discount * 50 AS IronIn,
     CASE WHEN l_linenumber <> 2 THEN l_tax * 100 END AS IronOut,
-    CASE WHEN l_linenumber <> 1 THEN l_extendedprice / 970 END AS v
+    CASE WHEN l_linenumber <> 1 THEN l_extendedprice * 10 / 9973 END AS v
   FROM lineitem)"""
 
 

@@ -1,7 +1,8 @@
 """Exact, linearly interpolated quantiles over tables of any size.
 
 ``percentile`` keeps every distinct value of a group in one task. Here a sketch of bounded size
-brackets each wanted rank, and only values inside the bracket are counted one by one.
+brackets each wanted rank. The brackets are cut into bins, and only values of the bins that hold a
+wanted rank are put in order.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from rillwork.functions import values as V
 
 # Rank error of the sketch is at most n / ACCURACY; up to this many rows no bracket is needed.
 ACCURACY = 10_000
+BINS = 1_000
 
 
 def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,23 +37,37 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     value = F.col("value")
     edges = [F.when(F.col("n") > ACCURACY, F.get("edges", F.lit(i))) for i in range(len(marks))]
     # A slot lies wholly inside or wholly outside the brackets, and slots rise with the value.
-    inside, slot = F.col("n") <= ACCURACY, F.lit(0)
-    for low, high in zip(edges[::2], edges[1::2], strict=True):
+    # Slots inside are cut into bins of equal width, counted from the first bracket around them.
+    inside, slot, bin_ = F.col("n") <= ACCURACY, F.lit(0), F.lit(0)
+    for low, high in reversed(list(zip(edges[::2], edges[1::2], strict=True))):
         inside = inside | value.between(low, high)
         slot = slot + V.flag(value >= low).cast("int") + V.flag(value > high).cast("int")
+        share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
+        bin_ = F.when(value.between(low, high), F.floor(share * BINS).cast("int")).otherwise(bin_)
     # The values of an outside slot collapse into one group without a value.
     counted = (
         values.join(F.broadcast(sketch), "column")
-        .groupBy("column", "n", slot.alias("slot"), F.when(inside, value).alias("value"))
+        .groupBy("column", "n", slot.alias("slot"), bin_.alias("bin"), F.when(inside, value).alias("value"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    running = F.sum("rows").over(W.partitionBy("column").orderBy("slot", "value"))
-    ranked = counted.withColumn("reach", running)
+    places = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
+    ranks = [rank for place in places for rank in (F.floor(place), F.ceil(place))]
+    # A column has few slots, each of at most BINS + 1 bins; those with a wanted rank are kept.
+    by_column = W.partitionBy("column").orderBy("slot", "bin")
+    bins = (
+        counted.groupBy("column", "n", "slot", "bin").agg(F.sum("rows").alias("size"))
+        .withColumn("start", F.sum("size").over(by_column) - F.col("size"))
+        .where(V.any_of([(r >= F.col("start")) & (r < F.col("start") + F.col("size")) for r in ranks]))
+        .select("column", "slot", "bin", "start")
+    )
+    running = F.sum("rows").over(W.partitionBy("column", "slot", "bin").orderBy("value"))
+    ranked = counted.join(F.broadcast(bins), ["column", "slot", "bin"]).withColumn(
+        "reach", F.col("start") + running
+    )
 
     def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("reach") > rank, F.struct("reach", "slot", "value")))
+        return F.min(F.when(F.col("reach") > rank, F.struct("reach", "value")))
 
-    places = [F.lit(p) * (F.col("n") - 1) for p in probabilities]
     picks = [at(F.floor(place)).alias(f"a{i}") for i, place in enumerate(places)]
     picks += [at(F.ceil(place)).alias(f"b{i}") for i, place in enumerate(places)]
     picked = ranked.groupBy("column", "n").agg(*picks)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from rillwork import schema as S
 from rillwork.operators.nearest import point_segments, shape_segments
 
-# How codes of the supplied tables map to the domain. Prices are divided by numbers
-# with a large prime factor, so that no mean lies exactly between two rounded values.
+# How codes of the supplied tables map to the domain. Prices are divided by a
+# large prime, so that means hardly ever lie exactly between two rounded values.
 ANALYTE_OF = {
     "AF": "Alkalinity",
     "AO": "Iron",
@@ -65,9 +65,9 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     analyte = codes[F.concat("l_returnflag", "l_linestatus")]
     value = (
         F.when(analyte == "pH", F.col("l_quantity") * 0.28)
-        .when(analyte == "Iron", price / 9700)
-        .when(analyte == "Sulfate", price / 193)
-        .otherwise(price / 970)
+        .when(analyte == "Iron", price / 9973)
+        .when(analyte == "Sulfate", price * 50 / 9973)
+        .otherwise(price * 10 / 9973)
     )
     unit = (
         F.when(analyte == "pH", F.lit("std units"))
@@ -208,7 +208,7 @@ def treatment(spark: SparkSession, folder: str) -> DataFrame:
     line, q = F.col("l_linenumber"), F.col("l_quantity")
     return table(spark, folder, "lineitem").select(
         site_id(F.col("l_partkey")).alias(S.SITE), F.col("l_partkey").alias("site_key"),
-        F.when(line % 5 != 0, F.col("l_extendedprice") / 9700).alias("Fe"),
+        F.when(line % 5 != 0, F.col("l_extendedprice") / 9973).alias("Fe"),
         F.when(line != 7, q * 0.28).alias("pH_in"),
         F.when(~line.isin(6, 7), q * 0.25 + F.col("l_tax") * 10).alias("pH_out"),
         F.when(line != 7, F.col("l_discount") * 1000).alias("CondIn"),
@@ -218,7 +218,7 @@ def treatment(spark: SparkSession, folder: str) -> DataFrame:
         F.when(line % 2 == 1, q / 3 + 4).alias("Temperatur"),
         (F.col("l_discount") * 50).alias("IronIn"),
         F.when(line != 2, F.col("l_tax") * 100).alias("IronOut"),
-        F.when(line != 1, F.col("l_extendedprice") / 970).alias(S.VALUE),
+        F.when(line != 1, F.col("l_extendedprice") * 10 / 9973).alias(S.VALUE),
     )
 
 
