@@ -1,5 +1,6 @@
 """Queries over scaling, components, clustering and classification."""
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -55,13 +56,35 @@ def pca_components(spark, folder):
 
 
 @query("watershed_clusters", f"""
-WITH {Q.RESULTS} SELECT DISTINCT site, true AS labelled FROM results""")
+WITH {Q.RESULTS} SELECT DISTINCT site, true AS labelled, true AS placed FROM results""")
 def watershed_clusters(spark, folder):
     """Two components and four clusters of sites; every site gets a label."""
     wide, analytes = _site_vectors(spark, folder)
     model = M.fit_clusters(M.feature_matrix(wide, analytes), analytes, k=4, size=2, restarts=3)
-    labelled = M.assign_clusters(wide, analytes, model)
-    return labelled.select("site", F.col("Cluster").between(0, 3).alias("labelled"))
+    labelled = M.component_columns(M.assign_clusters(wide, analytes, model))
+    return labelled.select(
+        "site", F.col("Cluster").between(0, 3).alias("labelled"),
+        (F.col("PC1").isNotNull() & F.col("PC2").isNotNull()).alias("placed"),
+    )
+
+
+@query("silhouette", """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT label, COUNT(*) AS n FROM e GROUP BY label),
+d AS (SELECT x.vec_id, x.label AS own, y.label AS other, sum(pow(list_distance(x.v, y.v), 2)) AS total
+  FROM e x, e y GROUP BY 1, 2, 3),
+m AS (SELECT vec_id, own, other, CASE WHEN own = other THEN total / nullif(n - 1, 0) ELSE total / n END AS mean
+  FROM d JOIN n ON d.other = n.label),
+s AS (SELECT vec_id, max(CASE WHEN own = other THEN mean END) AS a, min(CASE WHEN own <> other THEN mean END) AS b
+  FROM m GROUP BY vec_id)
+SELECT COUNT(*) AS n_rows, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+FROM s""")
+def silhouette(spark, folder):
+    """How well the given labels part the vectors."""
+    rows, names = D.vectors(spark, folder, DIMENSIONS)
+    table = VectorAssembler(inputCols=names, outputCol="v").transform(rows)
+    score = M.silhouette(table, "v", "label")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(score).alias("silhouette")))
 
 
 @query("best_k")

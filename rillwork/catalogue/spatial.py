@@ -12,6 +12,10 @@ from rillwork.operators import nearest as N
 from rillwork.operators.within import within_join as join_within
 from rillwork.plans import domain as D
 from rillwork.plans import linking as L
+from rillwork.session import scratch_path
+from rillwork.sources.layers import read_geojson
+from rillwork.sources.sinks import write_geojson, write_table
+from rillwork.sources.tables import read_table
 from rillwork.sources.tables import to_points as points_of
 
 
@@ -23,6 +27,7 @@ def _all_mines(spark, folder):
     return N.point_segments(D.mines(spark, folder), "feature_id", "x", "y", "mines")
 
 
+LON_LAT_SQL = "mx / 100003 * 5.8 - 80.5 AS lon, my / 99991 * 2.3 + 39.7 AS lat"
 PAIRS = f"pairs AS (SELECT site, id, layer, {Q.DISTANCE} AS d FROM sites, mines)"
 
 
@@ -167,7 +172,8 @@ def within_join_overlaps(spark, folder):
     return join_within(_sites(spark, folder), pits, {"feature_id": "pit"}).drop("x_m", "y_m")
 
 
-def _utm_sql() -> str:
+def _utm_ctes(source: str, out: str) -> str:
+    """CTEs that project a table (key, lon, lat, ...) to ``out`` with columns ux and uy."""
     f = 1 / 298.257222101
     n = f / (2 - f)
     a = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -176,19 +182,53 @@ def _utm_sql() -> str:
     east = " + ".join(["eta", *[f"{c!r} * cos({2*j} * xi) * sinh({2*j} * eta)" for j, c in enumerate(s, 1)]])
     north = " + ".join(["xi", *[f"{c!r} * sin({2*j} * xi) * cosh({2*j} * eta)" for j, c in enumerate(s, 1)]])
     return f"""
-WITH {Q.SITES}, a AS (SELECT site, sin(radians(lat)) AS sl, radians(lon + 81) AS w FROM sites),
-b AS (SELECT site, w, sinh(atanh(sl) - {e!r} * atanh({e!r} * sl)) AS t FROM a),
-c AS (SELECT site, atan2(t, cos(w)) AS xi, atanh(sin(w) / sqrt(1 + t * t)) AS eta FROM b)
-SELECT site, round(500000 + {a!r} * ({east}), 3) AS x_m, round({a!r} * ({north}), 3) AS y_m FROM c"""
+{out}_a AS (SELECT *, sin(radians(lat)) AS sl, radians(lon + 81) AS w FROM {source}),
+{out}_b AS (SELECT *, sinh(atanh(sl) - {e!r} * atanh({e!r} * sl)) AS t FROM {out}_a),
+{out}_c AS (SELECT *, atan2(t, cos(w)) AS xi, atanh(sin(w) / sqrt(1 + t * t)) AS eta FROM {out}_b),
+{out} AS (SELECT *, 500000 + {a!r} * ({east}) AS ux, {a!r} * ({north}) AS uy FROM {out}_c)"""
 
 
-@query("project_utm", _utm_sql())
+@query("project_utm", f"""
+WITH {Q.SITES}, {_utm_ctes("sites", "utm")}
+SELECT site, round(ux, 3) AS x_m, round(uy, 3) AS y_m FROM utm""")
 def project_utm(spark, folder):
     """Longitude and latitude to UTM metres."""
     table = D.sites(spark, folder).select(F.col(S.SITE).alias("site"), "lon", "lat")
     return rounded(G.project_utm(table).drop("lon", "lat"), 3)
 
 
+@query("nearest_geojson", f"""
+WITH {Q.SITES}, {Q.MINES}, places AS (SELECT id, {LON_LAT_SQL} FROM mines), {_utm_ctes("sites", "us")},
+{_utm_ctes("places", "um")},
+best AS (SELECT site, arg_min(id, d) AS id, min(d) AS d FROM (
+  SELECT site, id, sqrt(pow(us.ux - um.ux, 2) + pow(us.uy - um.uy, 2)) AS d FROM us, um
+  WHERE abs(us.ux - um.ux) <= 9000 AND abs(us.uy - um.uy) <= 9000) WHERE d <= 9000 GROUP BY site)
+SELECT s.site, CAST(id AS VARCHAR) AS feature_id, round(d, 3) AS dist_m FROM sites s LEFT JOIN best b ON s.site = b.site""")
+def nearest_geojson(spark, folder):
+    """From stored GeoJSON in degrees to distances in metres: read, project, join."""
+    path = scratch_path(spark, "nearest_geojson")
+    place = F.array(D.lon_of(F.col("x")), D.lat_of(F.col("y")))
+    features = D.mines(spark, folder).select(
+        "feature_id", F.lit("Point").alias("geometry_type"), F.array(F.array(place)).alias("parts"))
+    write_geojson(features, path)
+    layer = read_geojson(spark, path, "mines", "feature_id", lines=True)
+    segments = G.project_edges(G.explode_edges(layer))
+    points = G.project_utm(D.sites(spark, folder).select(F.col(S.SITE).alias("site"), "lon", "lat"))
+    joined = N.nearest_join(points, segments, 9000.0, ties="first")
+    return rounded(joined.select("site", "feature_id", "dist_m"), 3)
+
+
+@query("feature_table", f"""
+WITH {Q.SITES}, {Q.WATERSHEDS}
+SELECT huc12, COUNT(*) AS n_sites FROM sites JOIN watersheds ON {INSIDE} GROUP BY huc12""")
+def feature_table(spark, folder):
+    """Polygons stored as a Parquet feature table, read back and joined."""
+    path = scratch_path(spark, "features")
+    write_table(D.watersheds(spark, folder), path)
+    joined = join_within(_sites(spark, folder), read_table(spark, path), {"huc12": "huc12"})
+    return joined.where("huc12 IS NOT NULL").groupBy("huc12").agg(F.count(F.lit(1)).alias("n_sites"))
+
+
 @query("to_points", f"""
 WITH {Q.SITES}, t AS (
   SELECT site, CASE WHEN site_type = 'Stream' THEN lat + 60 ELSE lat END AS lat,

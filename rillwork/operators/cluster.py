@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, SQLTransformer, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +71,17 @@ def components_for(model: PCAModel, share: float = 0.9) -> int:
     return len(model.explainedVariance)
 
 
+def component_columns(df: DataFrame, n: int = 2, scores: str = "scores") -> DataFrame:
+    """The first n scores as columns PC1, PC2, ..."""
+    values = vector_to_array(F.col(scores))
+    return df.withColumns({f"PC{i + 1}": F.get(values, F.lit(i)) for i in range(n)})
+
+
+def explained_percent(model: PCAModel, n: int = 2) -> float:
+    """Share of variance that the first n components explain."""
+    return 100.0 * float(sum(model.explainedVariance[:n]))
+
+
 def silhouette(labelled: DataFrame, features: str, cluster: str = "Cluster") -> float:
     """Mean silhouette with squared Euclidean distance, from cluster sums (not all pairs)."""
     return ClusteringEvaluator(featuresCol=features, predictionCol=cluster).evaluate(labelled)

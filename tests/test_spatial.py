@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rillwork import session
 from rillwork.functions import geometry as G
 from rillwork.operators import nearest as N
 from rillwork.operators.within import within_join
@@ -39,9 +40,13 @@ def _clustered(rng, n, scale):
 
 
 @pytest.mark.parametrize("bound", [None, 400.0])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_nearest_equals_brute_force(spark, seed, bound):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_nearest_equals_brute_force(spark, bound, broadcast, monkeypatch):
+    if not broadcast:
+        # As if every side were too large to be broadcast.
+        monkeypatch.setattr(N, "BROADCAST_CELLS", -1)
+        monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
+    rng = random.Random(1 + broadcast)
     sites, features = _clustered(rng, 150, 10_000), _clustered(rng, 400, 10_000)
     joined = N.nearest_join(_sites(spark, sites), _features(spark, features), bound, ties="all")
     got = {(r.site, r.feature_id) for r in joined.collect()}
