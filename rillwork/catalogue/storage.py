@@ -48,7 +48,7 @@ def csv_tolerant(spark, folder):
     lines = D.table(spark, folder, "lineitem").select(text.alias("site,note,line"))
     # Plain lines below a header line: no quoting, and a separator that occurs nowhere.
     lines.write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
-    return R.read_csv_tolerant(spark, [path + "-absent", path], ["site", "note", "line"])
+    return R.read_csv_tolerant(spark, [path + "-absent", path], ["site", "note", "line", "absent"])
 
 
 @query("csv_to_parquet", """
@@ -106,12 +106,10 @@ WITH {Q.MINES} SELECT CAST(id AS VARCHAR) AS feature_id, layer AS kind, name, mx
 def geojson_points(spark, folder):
     """Point layer written as GeoJSON lines and read back."""
     path = scratch_path(spark, "points")
-    K.write_geojson(_mine_features(spark, folder), path)
+    K.write_geojson(_mine_features(spark, folder).withColumnRenamed("layer", "kind"), path)
     layer = Y.read_geojson(spark, path, "mines", id_property="feature_id", lines=True)
-    return Y.points(layer).select(
-        "feature_id", F.try_element_at("properties", F.lit("layer")).alias("kind"),
-        F.try_element_at("properties", F.lit("name")).alias("name"), "lon", "lat",
-    )
+    named = Y.properties_as_columns(Y.points(layer), ["kind", "name"])
+    return named.select("feature_id", "kind", "name", "lon", "lat")
 
 
 @query("geojson_shapes", f"""

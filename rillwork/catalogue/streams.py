@@ -11,9 +11,6 @@ from rillwork.session import scratch_path
 from rillwork.sources import tables as R
 from rillwork.streaming import results as X
 
-RAW_COLUMNS = [S.SITE, S.ANALYTE, S.DATE, S.VALUE, S.UNIT]
-
-
 @query("stream_clean", f"""
 WITH {Q.RAW} SELECT DISTINCT trim(site) AS site, analyte, day_text AS day, {Q.number("value_text")} AS value,
   trim(unit) AS unit FROM raw WHERE analyte IN ('pH', 'Iron', 'Manganese', 'Sulfate', 'Alkalinity')""")
@@ -24,8 +21,7 @@ def stream_clean(spark, folder):
     # Years stand for files that arrive one after the other.
     raw.withColumn("year", F.substring(S.DATE, 1, 4)).write.partitionBy("year").option("header", True).option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/in")
-    schema = raw.schema
-    source = R.read_results(spark, f"{base}/in/*", schema, stream=True, files_per_batch=4)
+    source = R.read_results(spark, f"{base}/in/*", stream=True, files_per_batch=4)
     X.stream_clean(source, f"{base}/out", f"{base}/state").awaitTermination()
     cleaned = X.settled(spark.read.parquet(f"{base}/out/subset"))
     return short(cleaned.where(F.col(S.ANALYTE) != "Specific conductance"))

@@ -249,10 +249,10 @@ def flag_hotspots(
     fe: str | None = None,
     so4: str | None = None,
     cond: str | None = None,
-    ph_below: float = 4.0,
-    fe_above: float = 10.0,
-    so4_above: float = 250.0,
-    cond_above: float = 500.0,
+    ph_below: float = S.HOTSPOT_PH,
+    fe_above: float = S.HOTSPOT_IRON,
+    so4_above: float = S.HOTSPOT_SULFATE,
+    cond_above: float = S.HOTSPOT_CONDUCTIVITY,
     out: str = "hotspot",
 ) -> DataFrame:
     """Flag acidic or iron-rich rows; only if the whole table has none, use a proxy.

@@ -45,7 +45,7 @@ def sickness_v1(df: DataFrame, chemistry: list[str], distance: str, huc: str) ->
     kept = drop_blank(drop_incomplete(typed, [huc]), [distance, *chemistry])
     scaled = minmax(kept, [*chemistry, distance])
     score = V.row_mean([V.ref(c + "_norm") for c in chemistry])
-    index = 0.6 * score + 0.4 * (1 - V.ref(distance + "_norm"))
+    index = S.CHEMISTRY_SHARE * score + S.DISTANCE_SHARE * (1 - V.ref(distance + "_norm"))
     return scaled.withColumn("Sickness_Index", index)
 
 
@@ -65,7 +65,8 @@ def sickness_v2(
         index = index + w * V.ref(c + "_norm")
     if distance:
         # Without any distance the scaled column is 0 and the factor 1.
-        index = index * (0.5 + 0.5 * (1 - V.ref(distance + "_norm")))
+        proximity = 1 - V.ref(distance + "_norm")
+        index = index * (S.PROXIMITY_FLOOR + S.PROXIMITY_SHARE * proximity)
     return scaled.withColumn("Sickness_Index", index)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillwork import schema as S
 from rillwork.operators import health as H
 from rillwork.operators.nearest import attach_nearest, nearest_overall
 from rillwork.operators.within import within_join
@@ -17,7 +18,7 @@ def link_sites(
     layers: dict[str, DataFrame | None],
     basins: DataFrame | None = None,
     watersheds: DataFrame | None = None,
-    max_m: float | None = 250.0,
+    max_m: float | None = S.LINK_RADIUS_M,
 ) -> DataFrame:
     """Watershed codes, distance to every layer and the nearest of all, once per site."""
     linked = sites.select(key, "x_m", "y_m")

@@ -71,12 +71,18 @@ FEATURE_TOKENS = [
 ]
 HEALTH_CHEMISTRY = ["Fe", "ResultMeasureValue", "Temperatur"]
 HEALTH_WEIGHTS = {"Iron_mean": 0.4, "Cond_mean": 0.4, "Temp_mean": 0.2}
+CHEMISTRY_SHARE = 0.6
+DISTANCE_SHARE = 0.4
+PROXIMITY_FLOOR = 0.5
+PROXIMITY_SHARE = 0.5
+HOTSPOT_PH = 4.0
+HOTSPOT_IRON = 10.0
+HOTSPOT_SULFATE = 250.0
+HOTSPOT_CONDUCTIVITY = 500.0
+SEARCH_RADIUS_M = 5000.0
+LINK_RADIUS_M = 250.0
 SEED = 42
 
-RESULT = T.StructType([
-    T.StructField(name, T.StringType()) for name in RESULT_COLUMNS
-])
-
 FEATURE = T.StructType([
     T.StructField("layer", T.StringType()),
     T.StructField("feature_id", T.StringType()),

@@ -12,12 +12,18 @@ from pyspark.sql import types as T
 from rillwork import schema as S
 from rillwork.functions import values as V
 
+SURPLUS = "_surplus"
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a glob names, from the file system; no data is read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return sorted(status.getPath().toString() for status in found or [])
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Does the path (or glob) name anything? Asks the file system, reads no data."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(system.globStatus(hadoop))
+    return bool(list_paths(spark, path))
 
 
 def first_path(spark: SparkSession, paths: str | list[str]) -> str:
@@ -29,41 +35,45 @@ def first_path(spark: SparkSession, paths: str | list[str]) -> str:
     raise FileNotFoundError(f"none of these exists: {candidates}")
 
 
+def _csv(reader):
+    return reader.option("header", True).option("escape", '"')
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV as text columns named by its header."""
+    return _csv(spark.read).csv(path)
+
+
 def read_results(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType = S.RESULT,
-    stream: bool = False,
-    files_per_batch: int | None = None,
+    spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None
 ) -> DataFrame:
-    """CSV with a header, all text first; numbers and dates are coerced by the cleaning step.
+    """Result files with a header, all text first; numbers and dates are coerced by cleaning.
 
-    With ``stream`` the same table arrives file by file.
+    Columns go by the header, whatever their order; a file with another header is an error. With
+    ``stream`` the same table arrives file by file.
     """
-    reader = (spark.readStream if stream else spark.read).schema(schema)
-    reader = reader.option("header", True).option("escape", '"')
+    header = read_csv(spark, path).schema
+    reader = _csv(spark.readStream if stream else spark.read).schema(header)
+    reader = reader.option("enforceSchema", False)
     if stream and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.csv(path)
 
 
 def read_csv_tolerant(
-    spark: SparkSession, paths: str | list[str], columns: list[str], wanted: list[str] | None = None
+    spark: SparkSession, paths: str | list[str], columns: list[str] | None = None
 ) -> DataFrame:
     """CSV whose broken lines are skipped: too many fields drop a line, missing ones are NULL.
 
-    ``columns`` is the file's header, ``wanted`` the columns to keep. One text column more than
-    the header catches what is over.
+    Only the given columns are kept, those that exist. One text column more than the header
+    catches what is over.
     """
-    extra = "_surplus"
-    fields = [T.StructField(c, T.StringType()) for c in [*columns, extra]]
-    lines = (
-        spark.read.schema(T.StructType(fields))
-        .option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
-        .option("escape", '"').csv(first_path(spark, paths))
-    )
-    kept = lines.where(F.col(extra).isNull())
-    return kept.select(*[V.ref(c) for c in wanted or columns])
+    path = first_path(spark, paths)
+    header = read_csv(spark, path).columns
+    fields = [T.StructField(c, T.StringType()) for c in [*header, SURPLUS]]
+    lines = _csv(spark.read).schema(T.StructType(fields)).option("mode", "PERMISSIVE").csv(path)
+    kept = lines.where(F.col(SURPLUS).isNull())
+    return kept.select(*[V.ref(c) for c in header if columns is None or c in columns])
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -71,11 +81,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_to_parquet(
-    spark: SparkSession, path: str, out: str, doubles: list[str] = (), schema: T.StructType | None = None
+    spark: SparkSession, path: str, out: str, doubles: list[str] = ()
 ) -> DataFrame:
     """Write a CSV as Parquet and read it back. Columns are text unless listed as doubles."""
-    reader = spark.read.option("header", True)
-    table = (reader.schema(schema) if schema else reader).csv(path)
+    table = read_csv(spark, path)
     table = table.withColumns({c: V.num(V.ref(c)) for c in doubles})
     table.write.mode("overwrite").option("compression", "snappy").parquet(out)
     return spark.read.parquet(out)
@@ -101,7 +110,8 @@ def read_dimension(spark: SparkSession, path: str, schema: T.StructType) -> Data
     if not path_exists(spark, path):
         warnings.warn(f"no table at {path}, using an empty one", stacklevel=2)
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).csv(path)
+    text = read_csv(spark, path)
+    return text.select(*[V.ref(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 LATEST_COLUMNS = [S.SITE, S.VALUE, S.LAT, S.LON, "HUCEightDigitCode", "HUCTwelveDigitCode"]
@@ -117,15 +127,24 @@ def read_latest(
 ) -> DataFrame:
     """All ``<analyte>_latest.csv`` files as one table, the analyte taken from the file name.
 
-    Watershed codes stay text, so leading zeros survive.
+    Columns go by each file's header; a file without site or value is skipped. Watershed codes
+    stay text, so leading zeros survive.
     """
-    path = f"{folder.rstrip('/')}/*_latest.csv"
-    if not path_exists(spark, path):
+    paths = list_paths(spark, f"{folder.rstrip('/')}/*_latest.csv")
+    if not paths:
         raise FileNotFoundError(f"no *_latest.csv in {folder}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    table = spark.read.schema(schema).option("header", True).csv(path)
-    named = table.withColumn(S.ANALYTE, analyte_of_path(F.col("_metadata.file_path")))
-    number = named.withColumn(S.VALUE, V.num(V.ref(S.VALUE))).where(V.ref(S.VALUE).isNotNull())
+    tables = []
+    for path in paths:
+        table = read_csv(spark, path)
+        if S.SITE in table.columns and S.VALUE in table.columns:
+            picked = [V.ref(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in columns]
+            tables.append(table.select(*picked, analyte_of_path(F.lit(path)).alias(S.ANALYTE)))
+        else:
+            warnings.warn(f"{path} has no site or value column and is skipped", stacklevel=2)
+    if not tables:
+        raise ValueError(f"no usable *_latest.csv in {folder}")
+    table = union_by_name(tables)
+    number = table.withColumn(S.VALUE, V.num(V.ref(S.VALUE))).where(V.ref(S.VALUE).isNotNull())
     return number.withColumnsRenamed({S.SITE: "SiteID", "HUCTwelveDigitCode": huc})
 
 

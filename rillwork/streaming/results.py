@@ -7,7 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rillwork import schema as S
 from rillwork.operators.clean import clean_results, keep_values
-from rillwork.operators.clean import coerce_numeric, normalise_headers, trim_strings
 
 
 def stream_clean(source: DataFrame, out: str, state: str) -> StreamingQuery:
@@ -43,11 +42,6 @@ def stream_dedup(source: DataFrame, keys: list[str], time: str, delay: str) -> D
     return source.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_prepare(source: DataFrame) -> DataFrame:
-    """The stateless part of cleaning, usable on batch and stream alike."""
-    return coerce_numeric(trim_strings(normalise_headers(source)))
-
-
 def append_stream(stream: DataFrame, out: str, state: str) -> StreamingQuery:
     """Append a stream to Parquet, processing what is there and then stopping."""
     return (

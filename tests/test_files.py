@@ -16,10 +16,10 @@ from rillwork.streaming import results as X
 
 def test_tolerant_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,2\n3\n4,5,6\n7,8\n"x, ""y""",9\n')
-    rows = R.read_csv_tolerant(spark, [str(tmp_path / "none.csv"), str(tmp_path / "a.csv")], ["a", "b"])
+    rows = R.read_csv_tolerant(spark, [str(tmp_path / "none.csv"), str(tmp_path / "a.csv")])
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(
         [("1", "2"), ("3", None), ("7", "8"), ('x, "y"', "9")], key=str)
-    only = R.read_csv_tolerant(spark, str(tmp_path / "a.csv"), ["a", "b"], ["b"])
+    only = R.read_csv_tolerant(spark, str(tmp_path / "a.csv"), ["b", "absent"])
     assert only.columns == ["b"] and only.count() == 4
     with pytest.raises(FileNotFoundError):
         R.read_csv_tolerant(spark, str(tmp_path / "none.csv"), ["a"])
@@ -32,6 +32,11 @@ def test_latest_files(spark, tmp_path):
     rows = R.read_latest(spark, str(tmp_path))
     got = sorted((r.SiteID, r[S.ANALYTE], r[S.VALUE], r.HUC12) for r in rows.collect())
     assert got == [("s1", "Iron", 2.0, "010101010101"), ("s1", "Temperature_Water", 7.5, "010101010101")]
+    (tmp_path / "ph_latest.csv").write_text(f"{S.VALUE},x,{S.SITE}\n6.5,1,s9\n")
+    (tmp_path / "odd_latest.csv").write_text("x,y\n1,2\n")
+    with pytest.warns(UserWarning, match="odd"):
+        more = R.read_latest(spark, str(tmp_path))
+    assert {(r.SiteID, r[S.VALUE], r.HUC12) for r in more.where(f"{S.ANALYTE} = 'Ph'").collect()} == {("s9", 6.5, None)}
     with pytest.raises(FileNotFoundError):
         R.read_latest(spark, str(tmp_path / "none"))
 
@@ -78,6 +83,12 @@ def test_bad_pages_are_skipped(spark, tmp_path):
     assert sorted(r.feature_id for r in rows.collect()) == ["a", "b"]
 
 
+def test_result_columns_go_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"extra,{S.VALUE},{S.SITE}\nq,1.5,s1\n")
+    row = R.read_results(spark, str(tmp_path / "a.csv")).first()
+    assert (row[S.SITE], row[S.VALUE], row["extra"]) == ("s1", "1.5", "q")
+
+
 def test_dimension_and_cache(spark, tmp_path):
     schema = T.StructType([T.StructField("a", T.LongType())])
     with pytest.warns(UserWarning):
