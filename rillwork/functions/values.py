@@ -58,6 +58,10 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, [flag(c) for c in conditions], F.lit(False))
 
 
+def all_of(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
 def row_mean(values: list[Column]) -> Column:
     """Mean across columns of one row, ignoring NULLs; NULL if all are NULL."""
     total = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])

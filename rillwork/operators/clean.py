@@ -84,7 +84,7 @@ def select_by_keyword(
 
 def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """Drop rows with a NULL in any of the columns (all columns by default)."""
-    return df.where(_all([V.ref(c).isNotNull() for c in subset or df.columns]))
+    return df.where(V.all_of([V.ref(c).isNotNull() for c in subset or df.columns]))
 
 
 def drop_blank(df: DataFrame, subset: list[str]) -> DataFrame:
@@ -278,10 +278,3 @@ def flag_hotspots(
 def clean_results(df: DataFrame) -> DataFrame:
     """Headers, text, numbers and duplicates of a raw result table in one plan."""
     return dedup(coerce_numeric(trim_strings(normalise_headers(df))))
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out

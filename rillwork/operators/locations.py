@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwork.functions.values import ref
+from rillwork.functions.values import finite, ref
 from rillwork.session import broadcast_if_small
 
 
 def distinct_locations(left: DataFrame, x: str, y: str) -> DataFrame:
-    known = left.where(ref(x).isNotNull() & ref(y).isNotNull())
-    return known.select(ref(x).cast("double").alias("x"), ref(y).cast("double").alias("y")).distinct()
+    places = left.select(ref(x).cast("double").alias("x"), ref(y).cast("double").alias("y"))
+    return places.where(finite(F.col("x")).isNotNull() & finite(F.col("y")).isNotNull()).distinct()
 
 
 def attach_locations(left: DataFrame, found: DataFrame, x: str, y: str) -> DataFrame:

@@ -44,6 +44,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         slot = slot + V.flag(value >= low).cast("int") + V.flag(value > high).cast("int")
         share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
         bin_ = F.when(value.between(low, high), F.floor(share * BINS).cast("int")).otherwise(bin_)
+    # Never NULL, so that both uses of the counts below have one plan and share one shuffle.
+    bin_ = F.coalesce(bin_, F.lit(0))
     # The values of an outside slot collapse into one group without a value.
     counted = (
         values.join(F.broadcast(sketch), "column")

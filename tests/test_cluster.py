@@ -57,6 +57,7 @@ def test_components_reach_the_share(spark, blobs):
     model = M.fit_pca(scaled, 3)
     keep = M.components_for(model, 0.9)
     assert sum(model.explainedVariance[:keep]) > 0.9 >= sum(model.explainedVariance[:keep - 1])
+    assert M.explained_percent(model, 3) == pytest.approx(100.0)
 
 
 def test_labels_written_back(spark):

@@ -85,10 +85,10 @@ def test_ties_and_bound(spark):
 
 
 def test_rows_are_kept_and_locations_shared(spark):
-    sites = spark.createDataFrame([(0, 1.0, 1.0), (1, 1.0, 1.0), (2, None, 1.0), (3, 50.0, 50.0)],
+    sites = spark.createDataFrame([(0, 1.0, 1.0), (1, 1.0, 1.0), (2, None, 1.0), (3, 50.0, 50.0), (4, math.nan, 1.0)],
                                   "site int, x_m double, y_m double")
-    joined = N.nearest_join(sites, _features(spark, [(1, 2)]), 5.0)
-    assert {r.site: r.dist_m for r in joined.collect()} == {0: 1.0, 1: 1.0, 2: None, 3: None}
+    joined = N.nearest_join(sites, _features(spark, [(1, 2), (math.inf, 1)]), 5.0)
+    assert {r.site: r.dist_m for r in joined.collect()} == {0: 1.0, 1: 1.0, 2: None, 3: None, 4: None}
 
 
 def test_empty_layer_gives_nulls(spark):
