@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, SQLTransformer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,16 @@ def standardise(df: DataFrame, columns: list[str], suffix: str = "_std") -> Data
 
 def scaling_stages(df: DataFrame, columns: list[str], out: str = "scaled") -> list:
     """Pipeline stages that fill, standardise and assemble, with the moments of ``df`` in them."""
-    moments = df.agg(
-        *[F.avg(V.ref(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(V.ref(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
+    filled = F.array(*[F.coalesce(V.numeric(df, c), F.lit(0.0)) for c in columns])
+    moments = df.select(array_to_vector(filled).alias("v")).agg(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")
+    ).first()["s"]
+    # The summary gives the sample variance.
+    population = max(moments["count"] - 1, 0) / max(moments["count"], 1)
     scaled = []
     for i, c in enumerate(columns):
-        mean, spread = moments[f"m{i}"], moments[f"s{i}"] or 1.0
+        mean = float(moments["mean"][i])
+        spread = math.sqrt(float(moments["variance"][i]) * population) or 1.0
         scaled.append(f"(coalesce(cast(`{c}` as double), 0D) - ({mean!r}D)) / {spread!r}D AS `_z{i}`")
     return [
         SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"),
