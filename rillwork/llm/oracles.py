@@ -45,3 +45,46 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN owner USING (doc_id)
 """
+
+_PLAIN = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+SUBSTRING_DEDUP = f"""
+WITH doc AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+win AS (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS key
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM doc WHERE len(w) >= 20)),
+earliest AS (SELECT key, min((doc_id, s)) AS first FROM win GROUP BY key HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos
+  FROM win JOIN earliest USING (key) WHERE (doc_id, s) <> first),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM doc),
+kept AS (
+  SELECT doc_id, count(*) FILTER (g.pos IS NOT NULL) AS n_removed,
+    string_agg(x, ' ' ORDER BY word.pos) FILTER (g.pos IS NULL) AS text
+  FROM word LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+NEAR_DEDUP = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[s:s + 2], ' ')) AS x
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingle a JOIN shingle b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b
+  WHERE 100 * c >= 85 * (p.n + q.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM doc
+  UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+part AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM part LEFT JOIN size USING (doc_id)
+"""

@@ -11,7 +11,9 @@ from rillwork.llm.common import read_table
 from rillwork.llm.decontaminate import decontamination_report
 from rillwork.llm.language import language_report
 from rillwork.llm.line_dedup import line_dedup_report
+from rillwork.llm.near_dedup import near_dedup_report
 from rillwork.llm.quality import quality_report
+from rillwork.llm.substring_dedup import substring_dedup_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,14 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup_report(read_table(spark, folder, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup_report(read_table(spark, folder, "documents"))
+
+
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup_report(read_table(spark, folder, "documents"))
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_report(read_table(spark, folder, "documents"))
 
@@ -33,9 +43,14 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_line_dedup, op7_language_id, op9_decontamination, op10_quality)
+    f.__name__: f
+    for f in (
+        op2_line_dedup, op4_substring_dedup, op6_near_dedup, op7_language_id, op9_decontamination, op10_quality,
+    )
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": oracles.LINE_DEDUP,
+    "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op6_near_dedup": oracles.NEAR_DEDUP,
     "op9_decontamination": oracles.DECONTAMINATION,
 }
