@@ -1,5 +1,7 @@
 """DuckDB SQL that gives the rows of the queries straight from their definition."""
 
+from rillwork.llm.mixing import FLATTEN, MARGINS, NONE, OTHER, ROUNDS, TOPICS
+
 # Characters that count as white space, and the letters that are lower-cased.
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,3 +90,54 @@ part AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM part LEFT JOIN size USING (doc_id)
 """
+
+WARC = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+mark AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest, payload FROM page),
+holder AS (SELECT payload, max(page_id) AS holder FROM mark WHERE payload_bytes >= 1000 GROUP BY payload)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM mark LEFT JOIN holder USING (payload)
+"""
+
+
+def _mixing() -> str:
+    counts = {name: f"len(regexp_extract_all(coalesce(text, ''), '{p}'))" for name, p in TOPICS.items()}
+    most = f"greatest({', '.join(counts.values())})"
+    topic = f"CASE WHEN {most} = 0 THEN '{OTHER}' " + "".join(
+        f"WHEN {c} = {most} THEN '{name}' " for name, c in counts.items()) + "END"
+    steps = [f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, {topic} AS topic,
+    len({_PLAIN}) AS tokens,
+    CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+  FROM documents),
+cell AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM doc GROUP BY ALL),
+total AS (SELECT sum(tokens) AS t FROM cell)"""]
+    for m in MARGINS:
+        steps.append(f"""
+{m}_power AS (SELECT {m}, pow(sum(tokens), {FLATTEN}) AS p FROM cell GROUP BY {m}),
+{m}_goal AS (SELECT {m}, t * p / (SELECT sum(p) FROM {m}_power) AS goal FROM {m}_power, total)""")
+    last = "cell_0"
+    steps.append("\ncell_0 AS (SELECT *, tokens AS raked FROM cell)")
+    for at in range(ROUNDS):
+        for m in MARGINS:
+            name = f"cell_{at}_{m}"
+            steps.append(f"""
+{name} AS MATERIALIZED (
+  SELECT source, lang, topic, tokens,
+    coalesce(raked * goal / nullif(sum(raked) OVER (PARTITION BY {m}), 0), 0) AS raked
+  FROM {last} JOIN {m}_goal USING ({m}))""")
+            last = name
+    steps.append(f"""
+ratio AS (SELECT *, coalesce(raked / nullif(tokens, 0), 0) AS ratio FROM {last}),
+chance AS (
+  SELECT source, lang, topic, coalesce(ratio / nullif((SELECT max(ratio) FROM ratio), 0), 0) AS probability FROM ratio)""")
+    return ",".join(steps) + """
+SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, draw < probability AS sampled
+FROM doc JOIN chance USING (source, lang, topic)
+"""
+
+
+MIXING = _mixing()

@@ -11,13 +11,19 @@ from rillwork.llm.common import read_table
 from rillwork.llm.decontaminate import decontamination_report
 from rillwork.llm.language import language_report
 from rillwork.llm.line_dedup import line_dedup_report
+from rillwork.llm.mixing import mixing_report
 from rillwork.llm.near_dedup import near_dedup_report
 from rillwork.llm.quality import quality_report
 from rillwork.llm.substring_dedup import substring_dedup_report
+from rillwork.llm.warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing_report(read_table(spark, folder, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup_report(read_table(spark, folder, "documents"))
 
@@ -34,6 +40,10 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_report(read_table(spark, folder, "documents"))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_round_trip(read_table(spark, folder, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination_report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -45,12 +55,15 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op2_line_dedup, op4_substring_dedup, op6_near_dedup, op7_language_id, op9_decontamination, op10_quality,
+        op1_mixing, op2_line_dedup, op4_substring_dedup, op6_near_dedup, op7_language_id, op8_warc,
+        op9_decontamination, op10_quality,
     )
 }
 ORACLES: dict[str, str] = {
+    "op1_mixing": oracles.MIXING,
     "op2_line_dedup": oracles.LINE_DEDUP,
     "op4_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op6_near_dedup": oracles.NEAR_DEDUP,
+    "op8_warc": oracles.WARC,
     "op9_decontamination": oracles.DECONTAMINATION,
 }
