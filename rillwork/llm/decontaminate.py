@@ -211,4 +211,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         judged = packed.select("row", found_in(docs.sparkSession, first, text).alias("f"))
         return judged.where(~is_contaminated("f.")).select("row.*")
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti")

@@ -1,10 +1,11 @@
 """Mixing sources to target weights: iterative proportional fitting and calibrated sampling.
 
 Tokens are summed by (source, language, topic). The cell sums are raked: one margin after the other
-is scaled to its target shares, round after round, until all margins hold together. A document is then
-sampled with a probability proportional to raked / original tokens of its cell, as large as possible
-with no probability above 1, so that the expected tokens of the sample have the target margins. Only
-DataFrame functions are used. Cells are counted by categories, not by documents.
+is scaled to its target shares, round after round, until all margins hold together. With ``rate`` the
+tokens wanted for each token there is, a document is wanted rate * raked / original tokens of its cell
+times. It is sampled with that probability, at most 1, and carries the rest as its weight (how often to
+use it), so that the expected weighted tokens have exactly the raked sums. Only DataFrame functions are
+used. Cells are counted by categories, not by documents.
 
 * A null source, language or topic is a category of its own, ``(none)``. Tokens are the words of the
   whole text; null or empty text has none, and a cell without tokens is sampled with probability 0.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from rillwork.llm.common import stored
 
 # Patterns whose matches name a text's topic (the most matches win, the first of equals),
-# rounds of raking, rounds between stored cells, and the power that flattens margins without a given target.
+# rounds of raking, tokens wanted per token, rounds between stored cells, and the power that flattens margins without a given target.
 TOPICS = {
     "legal": "[Ll]icen[cs]|[Cc]opyright|[Ww]arranty|[Pp]ermission",
     "contact": "@|https?://|[+][0-9]",
@@ -33,6 +34,7 @@ OTHER = "prose"
 NONE = "(none)"
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 10
+RATE = 0.5
 STORE_EVERY = 5
 FLATTEN = 0.7
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -97,29 +99,29 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return cells.select(*MARGINS, "tokens", "raked")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, rate: float = RATE,
+) -> DataFrame:
     """Every row as ``row`` with (source, lang, topic, tokens, probability, weight, sampled)."""
     described = describe(docs, topic)
     cells = stored(described.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    targets = {m: (targets or {}).get(m, None) or flattened(cells, m) for m in MARGINS}
-    raked = rake(cells, targets)
-    ratio = F.coalesce(F.try_divide("raked", F.col("tokens").cast("double")), F.lit(0.0))
-    raked = stored(raked.select(*MARGINS, ratio.alias("ratio")), "ratios")
-    most = raked.agg(F.max("ratio").alias("most")).scalar()
+    given = targets or {}
+    raked = rake(cells, {m: given[m] if m in given else flattened(cells, m) for m in MARGINS})
+    times = F.coalesce(rate * F.try_divide("raked", F.col("tokens").cast("double")), F.lit(0.0))
     # Small by its stored size, the table of cells is broadcast by the planner; else hot cells are split.
-    raked = raked.withColumn("probability", F.coalesce(F.try_divide(F.col("ratio"), most), F.lit(0.0))).drop("ratio")
-    out = described.join(raked, list(MARGINS), "left")
-    return out.select(
-        "row", *MARGINS, "tokens", "probability", F.try_divide(F.lit(1.0), F.col("probability")).alias("weight"),
-        (F.col("draw") < F.col("probability")).alias("sampled"),
+    wanted = stored(raked.select(*MARGINS, times.alias("times")), "times")
+    return described.join(wanted, list(MARGINS), "left").select(
+        "row", *MARGINS, "tokens", F.least(F.lit(1.0), "times").alias("probability"),
+        F.greatest(F.lit(1.0), "times").alias("weight"), (F.col("draw") < F.col("times")).alias("sampled"),
     )
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:
     return mix(docs).select(
-        F.col("row.doc_id").alias("doc_id"), *MARGINS, "tokens", F.round("probability", 6).alias("probability"), "sampled")
+        F.col("row.doc_id").alias("doc_id"), *MARGINS, "tokens", F.round("probability", 6).alias("probability"),
+        F.round("weight", 6).alias("weight"), "sampled")
 
 
 def sample_mixture(docs: DataFrame) -> DataFrame:
-    """The sampled rows with all their columns and the probability of each, as ``mix_probability``."""
-    return mix(docs).where("sampled").select("row.*", F.col("probability").alias("mix_probability"))
+    """The sampled rows with all their columns and how often to use each, as ``mix_weight``."""
+    return mix(docs).where("sampled").select("row.*", F.col("weight").alias("mix_weight"))

@@ -278,7 +278,7 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFram
     Rows that repeat a kept doc_id all stay.
     """
     gone = near_groups(docs, size, threshold).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def near_dedup_report(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """DuckDB SQL that gives the rows of the queries straight from their definition."""
 
-from rillwork.llm.mixing import FLATTEN, MARGINS, NONE, OTHER, ROUNDS, TOPICS
+from rillwork.llm.mixing import FLATTEN, MARGINS, NONE, OTHER, RATE, ROUNDS, TOPICS
 
 # Characters that count as white space, and the letters that are lower-cased.
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -91,6 +91,19 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM part LEFT JOIN size USING (doc_id)
 """
 
+TOP_K = """
+WITH whole AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 WARC = """
 WITH page AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
 mark AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest, payload FROM page),
@@ -131,11 +144,11 @@ total AS (SELECT sum(tokens) AS t FROM cell)"""]
   FROM {last} JOIN {m}_goal USING ({m}))""")
             last = name
     steps.append(f"""
-ratio AS (SELECT *, coalesce(raked / nullif(tokens, 0), 0) AS ratio FROM {last}),
 chance AS (
-  SELECT source, lang, topic, coalesce(ratio / nullif((SELECT max(ratio) FROM ratio), 0), 0) AS probability FROM ratio)""")
+  SELECT source, lang, topic, {RATE} * coalesce(raked / nullif(tokens, 0), 0) AS times FROM {last})""")
     return ",".join(steps) + """
-SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, draw < probability AS sampled
+SELECT doc_id, source, lang, topic, tokens, round(least(1.0::DOUBLE, times), 6) AS probability,
+  round(greatest(1.0::DOUBLE, times), 6) AS weight, draw < times AS sampled
 FROM doc JOIN chance USING (source, lang, topic)
 """
 
