@@ -142,7 +142,8 @@ def parse(html: str) -> list[Node]:
 
 
 def features(nodes: list[Node]) -> list[list[str]]:
-    """Names of each node's features: its tag, names and roles, and what text its subtree holds."""
+    """Names of each node's features: its tag, names and roles, those of the two elements around it,
+    and what text its subtree holds."""
     chars = [n.chars for n in nodes]
     links = [n.links for n in nodes]
     for at in range(len(nodes) - 1, 0, -1):
@@ -152,5 +153,11 @@ def features(nodes: list[Node]) -> list[list[str]]:
     for at, node in enumerate(nodes):
         size = "none" if not chars[at] else "short" if chars[at] < 40 else "line" if chars[at] < 160 else "long"
         share = "none" if not links[at] else "some" if 2 * links[at] < chars[at] else "most"
-        out.append([*node.names, f"size={size}", f"links={share}", f"{node.tag}:{share}", "bias"])
+        above: set[str] = set()
+        parent = node.parent
+        for _ in range(2):
+            if parent >= 0:
+                above |= {f"under-{n}" for n in nodes[parent].names if n.startswith("name=")}
+                parent = nodes[parent].parent
+        out.append([*node.names, *above, f"size={size}", f"links={share}", f"{node.tag}:{share}", "bias"])
     return out

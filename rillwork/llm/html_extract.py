@@ -15,6 +15,7 @@ worked on whole and on their own, without a shuffle.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 from rillwork.llm.dom import Node, features, parse
 from rillwork.llm.labelled_pages import labelled_pages
 
-# Training schedule and the marginal from which a block is main text.
-EPOCHS = 8
-RATE = 0.15
-DECAY = 1e-3
+# Training schedule, log-odds of the root, and the marginal from which a block is main text.
+EPOCHS = 20
+RATE = 0.5
+DECAY = 1e-4
+ROOT = -20.0
 LIMIT = 0.5
 
 
@@ -66,6 +68,11 @@ def sum_product(parents: list[int], potential: list[float], edge: list[list[floa
     return marginals, pairs
 
 
+def _potentials(names: list[list[str]], weights: dict[str, float]) -> list[float]:
+    """Log-odds of each node on its own; the root, above all elements, is not main text."""
+    return [ROOT, *[sum(weights.get(f, 0.0) for f in own) for own in names[1:]]]
+
+
 class DomModel:
     """Weights of node features and the potential of parent and child."""
 
@@ -73,8 +80,7 @@ class DomModel:
         self.weights, self.edge = weights, edge
 
     def marginals(self, nodes: list[Node]) -> list[float]:
-        potential = [sum(self.weights.get(f, 0.0) for f in names) for names in features(nodes)]
-        return sum_product([n.parent for n in nodes], potential, self.edge)[0]
+        return sum_product([n.parent for n in nodes], _potentials(features(nodes), self.weights), self.edge)[0]
 
     def extract(self, html: str | None) -> str:
         nodes = parse(html or "")
@@ -93,21 +99,32 @@ def fit(pages: Iterable[str]) -> DomModel:
             labels.append(node.label if node.label is not None else labels[node.parent] if node.parent >= 0 else 0)
         examples.append(([n.parent for n in nodes], features(nodes), labels))
     weights: dict[str, float] = {}
+    squares: dict[str, float] = {}
     edge = [[0.0, 0.0], [0.0, 0.0]]
-    for epoch in range(EPOCHS):
-        rate = RATE / (1 + epoch)
+    edge_squares = [[0.0, 0.0], [0.0, 0.0]]
+    order = random.Random(1)
+    for _ in range(EPOCHS):
+        order.shuffle(examples)
         for parents, names, labels in examples:
-            potential = [sum(weights.get(f, 0.0) for f in own) for own in names]
-            chance, expected = sum_product(parents, potential, edge)
-            for own, label, p in zip(names, labels, chance):
+            chance, expected = sum_product(parents, _potentials(names, weights), edge)
+            pull: dict[str, float] = {}
+            for own, label, p in zip(names[1:], labels[1:], chance[1:]):
                 for f in own:
-                    weights[f] = weights.get(f, 0.0) * (1 - rate * DECAY) + rate * (label - p)
+                    pull[f] = pull.get(f, 0.0) + label - p
+            # AdaGrad: names that are rare on the pages keep a large step.
+            for f, g in pull.items():
+                w = weights.get(f, 0.0)
+                g -= DECAY * w
+                squares[f] = squares.get(f, 1e-2) + g * g
+                weights[f] = w + RATE * g / math.sqrt(squares[f])
             seen = [[0, 0], [0, 0]]
             for parent, label in zip(parents[1:], labels[1:]):
                 seen[labels[parent]][label] += 1
             for s in (0, 1):
                 for t in (0, 1):
-                    edge[s][t] += 0.2 * rate * (seen[s][t] - expected[s][t])
+                    g = seen[s][t] - expected[s][t] - DECAY * edge[s][t]
+                    edge_squares[s][t] += g * g + 1e-2
+                    edge[s][t] += RATE * g / math.sqrt(edge_squares[s][t])
     return DomModel(weights, edge)
 
 

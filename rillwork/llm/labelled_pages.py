@@ -64,7 +64,8 @@ class _Writer:
     def any_boilerplate(self) -> str:
         draw = self.draw
         line = lambda: draw.choice([self.words(1, 30), f"<p>{self.words(2, 30)}</p>", f"<div>{self.words(2, 20)}</div>"])
-        comment = lambda: f'<div class="comment"><p>{self.words(1, 50)}</p></div>' if draw.random() < 0.6 else f"<li>{self.prose(1, 2)}</li>"
+        comment = lambda: draw.choice([
+            f'<div class="comment"><p>{self.words(1, 50)}</p></div>', f"<li>{self.prose(1, 2)}</li>", self.prose(1, 3)])
         return draw.choice([
             lambda: self.boilerplate(MENU, self.links()), lambda: self.boilerplate(SIDE, f"<h3>{self.words(1, 3)}</h3>" + self.links()),
             lambda: self.boilerplate(SIDE, self.prose(1, 3)), lambda: self.boilerplate(ADVERT, line()),
@@ -88,7 +89,7 @@ class _Writer:
                 f"<figure><figcaption>{self.words(2, 9)}</figcaption></figure>", f"<pre>{self.words(2, 20)}</pre>",
                 f"<div>{self.words(3, 60)}</div>", f"<section><h2>{self.words(1, 5)}</h2>{self.prose()}</section>",
                 self.any_boilerplate(),
-            ], weights=[12, 5, 3, 2, 1, 3, 1, 1, 1, 2, 2, 2])[0])
+            ], weights=[12, 5, 3, 2, 1, 3, 1, 1, 1, 2, 2, 5])[0])
         return "".join(parts)
 
     def page(self) -> str:
@@ -103,7 +104,14 @@ class _Writer:
         after = [self.any_boilerplate() for _ in range(draw.randint(0, 3))]
         after += [self.boilerplate(FOOTER, draw.choice([self.words(2, 14), f"<p>{self.words(2, 14)}</p>", self.links()]))]
         body = "".join(x for x in before if draw.random() < 0.8) + inside + "".join(x for x in after if draw.random() < 0.9)
-        return f'<html><head><title>{self.words(1, 5)}</title></head><body data-content="0">{body}</body></html>'
+        page = f'<html><head><title>{self.words(1, 5)}</title></head><body data-content="0">{body}</body></html>'
+        # Now and then a page leaves out what browsers add, or has no element around its text.
+        if draw.random() < 0.1:
+            page = body
+        elif draw.random() < 0.1:
+            bare = "".join(x for x in before if draw.random() < 0.7) + self.content() + "".join(after)
+            page = f'<html><body data-content="1">{bare}</body></html>'
+        return page
 
 
 def labelled_pages(seed: int = 5) -> list[str]:
