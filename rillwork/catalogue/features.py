@@ -139,7 +139,7 @@ WITH {Q.TREATMENT} SELECT 'IronIn' AS picked, round(avg(IronIn), 6) AS mean FROM
 def pick_best(spark, folder):
     """Of several candidates the column with most values."""
     table = D.treatment(spark, folder)
-    best = P.pick_best(table, ["Temperatur", "IronIn", "absent", "IronOut"], min_nonnull=100)
+    best = P.pick_best(table, ["Temperatur", "IronIn", "absent", "IronOut"])
     return rounded(table.agg(F.lit(best).alias("picked"), F.avg(best).alias("mean")))
 
 
@@ -150,7 +150,7 @@ SELECT round(avg(IronIn), 6) AS "IronIn", round(avg(pH_in), 6) AS "pH_in",
 def top_columns(spark, folder):
     """The three best covered columns."""
     table = D.treatment(spark, folder)
-    best = P.top_columns(table, ["Temperatur", "pH_in", "IronIn", "CondIn"], n=3, more_than=100)
+    best = P.top_columns(table, ["Temperatur", "pH_in", "IronIn", "CondIn"], n=3)
     return rounded(table.agg(*[F.avg(c).alias(c) for c in best]))
 
 
@@ -257,15 +257,10 @@ def sample_n(spark, folder):
 
 
 @query("size_guard", f"""
-WITH {Q.MINES}, n AS (SELECT layer, COUNT(*) AS n FROM mines GROUP BY layer)
-SELECT id AS feature_id, layer FROM mines JOIN n USING (layer) WHERE n <= (SELECT median(n) FROM n)""")
+WITH {Q.MINES} SELECT id AS feature_id, layer, COUNT(*) OVER (PARTITION BY layer) AS group_rows FROM mines""")
 def size_guard(spark, folder):
-    """Layers of at most the median size."""
-    mines = D.mines(spark, folder)
-    sizes = mines.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
-    # Five layers, so five counts.
-    limit = sizes.agg(F.median("n")).first()[0]
-    return P.size_guard(mines, "layer", int(limit)).select("feature_id", "layer")
+    """Every feature with the size of its layer."""
+    return P.size_guard(D.mines(spark, folder), "layer").select("feature_id", "layer", "group_rows")
 
 
 @query("minmax", """
@@ -326,9 +321,10 @@ def watershed_wide(spark, folder):
     return rounded(A.watershed_wide(table, ["Iron", "pH", "Sulfate"]))
 
 
-@query("cluster_summary", """
-SELECT label AS "Cluster", round_even(avg(embedding[1]::DOUBLE), 2) AS f0, round_even(avg(embedding[2]::DOUBLE), 2) AS f1,
+@query("cluster_summary", f"""
+SELECT label AS "Cluster", {", ".join(f"round_even(avg(embedding[{i + 1}]::DOUBLE), 2) AS f{i}" for i in range(64))},
   COUNT(*) AS "Count" FROM embeddings GROUP BY label""")
 def cluster_summary(spark, folder):
-    rows, names = D.vectors(spark, folder, 2)
+    """Means of all dimensions per cluster."""
+    rows, names = D.vectors(spark, folder, 64)
     return A.cluster_summary(rows.withColumnRenamed("label", "Cluster"), names)

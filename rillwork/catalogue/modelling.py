@@ -31,15 +31,15 @@ def feature_matrix(spark, folder):
     return rounded(matrix.select(F.col(S.SITE).alias("site"), "Fe", "TempIn"))
 
 
-@query("standardise", """
-WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[64] AS DOUBLE) AS b FROM embeddings),
-s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM e)
-SELECT vec_id, round((a - ma) / sa, 6) AS f0_std, round((b - mb) / sb, 6) AS f63_std, CAST(0 AS DOUBLE) AS flat_std FROM e, s""")
+@query("standardise", f"""
+SELECT vec_id, {", ".join(
+    f"round((embedding[{i}]::DOUBLE - avg(embedding[{i}]::DOUBLE) OVER ()) / stddev_pop(embedding[{i}]::DOUBLE) OVER (), 6) AS f{i - 1}_std"
+    for i in range(1, 65))}, CAST(0 AS DOUBLE) AS flat_std FROM embeddings""")
 def standardise(spark, folder):
     """Population standardisation; a constant column gives zero."""
-    rows, _ = D.vectors(spark, folder, DIMENSIONS)
-    table = rows.select("vec_id", "f0", "f63", F.lit(3.0).alias("flat"))
-    return rounded(M.standardise(table, ["f0", "f63", "flat"]).drop("f0", "f63", "flat"))
+    rows, names = D.vectors(spark, folder, DIMENSIONS)
+    table = rows.select("vec_id", *names, F.lit(3.0).alias("flat"))
+    return rounded(M.standardise(table, [*names, "flat"]).drop(*names, "flat"))
 
 
 @query("pca_components")
@@ -60,7 +60,7 @@ WITH {Q.RESULTS} SELECT DISTINCT site, true AS labelled, true AS placed FROM res
 def watershed_clusters(spark, folder):
     """Two components and four clusters of sites; every site gets a label."""
     wide, analytes = _site_vectors(spark, folder)
-    model = M.fit_clusters(M.feature_matrix(wide, analytes), analytes, k=4, size=2, restarts=3)
+    model = M.fit_clusters(M.feature_matrix(wide, analytes), analytes, k=4, size=2)
     labelled = M.component_columns(M.assign_clusters(wide, analytes, model))
     return labelled.select(
         "site", F.col("Cluster").between(0, 3).alias("labelled"),
@@ -113,7 +113,7 @@ def classify(spark, folder):
     wide, analytes = _site_vectors(spark, folder)
     path = scratch_path(spark, "model")
     matrix = M.feature_matrix(wide, analytes)
-    model = M.fit_clusters(matrix, analytes, k=3, size=2, restarts=1)
+    model = M.fit_clusters(matrix, analytes, k=3, size=2)
     model.write().save(path)
     summary = A.cluster_summary(model.transform(matrix), analytes)
     scored = M.classify(matrix, path, summary.select("Cluster", F.col("Count").alias("size")))

@@ -124,6 +124,45 @@ def attach_layers(spark, folder):
     return rounded(joined.drop("x_m", "y_m", "Flow_id"), 5)
 
 
+SQUARES = f"""
+squares AS (SELECT site, id, layer, sqrt(power(greatest(abs(x - mx) - 700, 0), 2) + power(greatest(abs(y - my) - 700, 0), 2)) AS d
+  FROM sites, mines WHERE layer IN ('AML', 'Bituminous')
+  UNION ALL SELECT site, id, layer, {Q.DISTANCE} FROM sites, mines WHERE layer = 'Passive'),
+near AS (SELECT *, min(d) OVER (PARTITION BY site, layer) AS least FROM squares WHERE d <= 2500)"""
+
+
+def _polygon_layers(spark, folder):
+    """Two layers of squares that overlap, and one of points."""
+    squares = D.pits(spark, folder)
+    layers = {n: squares.where(F.col("layer") == n).drop("layer") for n in ("AML", "Bituminous")}
+    return {**layers, "Passive": D.mine_layers(spark, folder)["Passive"]}
+
+
+@query("attach_polygons", f"""
+WITH {Q.SITES}, {Q.MINES}, {SQUARES}
+SELECT s.site, {", ".join(
+    f'''min(id) FILTER (WHERE layer = '{n}' AND d = least) AS "{n}_id",
+  round(min(d) FILTER (WHERE layer = '{n}'), 5) AS "{n}_dist_m"''' for n in ("AML", "Bituminous", "Passive"))}
+FROM sites s LEFT JOIN near n ON s.site = n.site GROUP BY s.site""")
+def attach_polygons(spark, folder):
+    """Nearest of two polygon layers and a point layer: 0 inside a polygon, the lowest id of equals."""
+    joined = N.attach_nearest(_sites(spark, folder), _polygon_layers(spark, folder), max_m=2500.0)
+    return rounded(joined.drop("x_m", "y_m"), 5)
+
+
+@query("attach_polygons_ties", f"""
+WITH {Q.SITES}, {Q.MINES}, {SQUARES}
+SELECT s.site, a.id AS "AML_id", b.id AS "Bituminous_id", round(a.d, 5) AS "AML_dist_m", round(b.d, 5) AS "Bituminous_dist_m"
+FROM sites s LEFT JOIN near a ON s.site = a.site AND a.layer = 'AML' AND a.d = a.least
+LEFT JOIN near b ON s.site = b.site AND b.layer = 'Bituminous' AND b.d = b.least""")
+def attach_polygons_ties(spark, folder):
+    """Every feature at the smallest distance, here all squares that a site lies in."""
+    layers = _polygon_layers(spark, folder)
+    del layers["Passive"]
+    joined = N.attach_nearest(_sites(spark, folder), layers, max_m=2500.0, ties="all")
+    return rounded(joined.drop("x_m", "y_m"), 5)
+
+
 @query("nearest_overall", f"""
 WITH {Q.SITES}, {Q.MINES}, {PAIRS}, best AS (
   SELECT site, arg_min(layer, d) AS t, min(d) AS d FROM pairs WHERE d <= 1000 GROUP BY site)
@@ -342,11 +381,11 @@ def health_v2(spark, folder):
 
 @query("huc_polygons_join", f"""
 WITH {Q.WATERSHEDS}, {Q.SITES}, n AS (SELECT huc12, COUNT(*) AS n_sites FROM sites JOIN watersheds ON {INSIDE}
-  WHERE site_type = 'Stream' AND x < 60000 GROUP BY huc12)
+  WHERE site_type = 'Stream' GROUP BY huc12)
 SELECT w.huc12, w.name, n_sites FROM watersheds w LEFT JOIN n ON w.huc12 = n.huc12""")
 def huc_polygons_join(spark, folder):
     """Polygons with their summary; polygons without data stay."""
-    streams = D.sites(spark, folder).where("site_type = 'Stream' AND x_m < 60000")
+    streams = D.sites(spark, folder).where("site_type = 'Stream'")
     shapes = D.watersheds(spark, folder)
     inside = join_within(streams, shapes, {"huc12": "huc12"}).where("huc12 IS NOT NULL")
     counts = inside.groupBy("huc12").agg(F.count(F.lit(1)).alias("n_sites"))

@@ -271,8 +271,8 @@ def union_layers(spark, folder):
 
 
 @query("key_value_text", """
-SELECT c_custkey, substring('c_name: ' || c_name || '<br>c_mktsegment: ' || c_mktsegment, 1, 40) AS popup FROM customer""")
+SELECT c_custkey, 'c_name: ' || c_name || '<br>c_mktsegment: ' || c_mktsegment AS popup FROM customer""")
 def key_value_text(spark, folder):
-    """Row as ``name: value`` text of limited length."""
+    """Row as ``name: value`` text."""
     return D.table(spark, folder, "customer").select(
-        "c_custkey", V.key_value_text(["c_name", "c_mktsegment"], 40).alias("popup"))
+        "c_custkey", V.key_value_text(["c_name", "c_mktsegment"]).alias("popup"))

@@ -13,7 +13,7 @@ from rillwork.streaming import results as X
 
 @query("stream_clean", f"""
 WITH {Q.RAW} SELECT DISTINCT trim(site) AS site, analyte, day_text AS day, {Q.number("value_text")} AS value,
-  trim(unit) AS unit FROM raw WHERE analyte IN ('pH', 'Iron', 'Manganese', 'Sulfate', 'Alkalinity')""")
+  trim(unit) AS unit FROM raw""")
 def stream_clean(spark, folder):
     """Result files cleaned as they arrive, here in several micro-batches."""
     base = scratch_path(spark, "stream_clean")
@@ -24,7 +24,7 @@ def stream_clean(spark, folder):
     source = R.read_results(spark, f"{base}/in/*", stream=True, files_per_batch=4)
     X.stream_clean(source, f"{base}/out", f"{base}/state").awaitTermination()
     cleaned = X.settled(spark.read.parquet(f"{base}/out/subset"))
-    return short(cleaned.where(F.col(S.ANALYTE) != "Specific conductance"))
+    return short(cleaned)
 
 
 @query("stream_dedup", """

@@ -88,7 +88,8 @@ def json_field(text: Column, path: str, default: Column | None = None) -> Column
     return found if default is None else F.coalesce(found, default)
 
 
-def key_value_text(columns: list[str], limit: int = 800) -> Column:
-    """``name: value`` pairs of a row as one text of at most ``limit`` characters."""
+def key_value_text(columns: list[str], limit: int | None = None) -> Column:
+    """``name: value`` pairs of a row as one text, cut only where a ``limit`` is given."""
     pairs = [F.concat(F.lit(f"{c}: "), F.coalesce(ref(c).cast("string"), F.lit(""))) for c in columns]
-    return F.substring(F.concat_ws("<br>", *pairs), 1, limit)
+    text = F.concat_ws("<br>", *pairs)
+    return text if limit is None else F.substring(text, 1, limit)

@@ -144,9 +144,16 @@ def convert_unit(
     })
 
 
+# Fixed value: white space of any kind at the ends of a text.
+ENDS = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# Date forms that are tried after the ISO form, in this order.
+DATE_FORMS = ["M/d/yyyy", "yyyy/M/d", "yyyyMMdd"]
+
+
 def trim_strings(df: DataFrame) -> DataFrame:
+    """White space of any kind taken off both ends of every text."""
     return df.select(*[
-        F.trim(V.ref(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else V.ref(f.name)
+        F.regexp_replace(V.ref(f.name), ENDS, "").alias(f.name) if isinstance(f.dataType, T.StringType) else V.ref(f.name)
         for f in df.schema.fields
     ])
 
@@ -167,8 +174,13 @@ def coerce_numeric(
 
 
 def coerce_dates(df: DataFrame, column: str = S.DATE, year: str | None = None) -> DataFrame:
-    """Text to date, bad dates to NULL; optionally with the year beside it."""
-    df = df.withColumn(column, V.ref(column).try_cast("date"))
+    """Text to date, bad dates to NULL; optionally with the year beside it.
+
+    The ISO form comes first, then month/day/year, year/month/day and eight digits.
+    """
+    text = F.trim(V.ref(column).cast("string"))
+    forms = [F.try_to_timestamp(text, F.lit(form)).cast("date") for form in DATE_FORMS]
+    df = df.withColumn(column, F.coalesce(V.ref(column).try_cast("date"), *forms))
     return df.withColumn(year, F.year(V.ref(column))) if year else df
 
 

@@ -32,13 +32,14 @@ def standardise(df: DataFrame, columns: list[str], suffix: str = "_std") -> Data
         F.struct(F.avg(V.ref(c)).alias("m"), F.stddev_pop(V.ref(c)).alias("s")).alias(str(i))
         for i, c in enumerate(columns)
     ]
-    moments = df.agg(F.struct(*parts)).scalar()
+    # One column for the sub-query, so that the plan holds it once however many columns use it.
+    with_moments = df.withColumn("_moments", df.agg(F.struct(*parts)).scalar())
     out = {}
     for i, c in enumerate(columns):
-        centred = V.ref(c) - moments[str(i)]["m"]
-        spread = moments[str(i)]["s"]
+        centred = V.ref(c) - F.col("_moments")[str(i)]["m"]
+        spread = F.col("_moments")[str(i)]["s"]
         out[c + suffix] = F.when(spread == 0, centred).otherwise(centred / spread)
-    return df.withColumns(out)
+    return with_moments.withColumns(out).drop("_moments")
 
 
 def scaling_stages(df: DataFrame, columns: list[str], out: str = "scaled") -> list:

@@ -28,7 +28,7 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     return _rows(counts, cells).orderBy(F.desc("non_null_numeric"), "analyte")
 
 
-def pick_best(df: DataFrame, candidates: list[str], min_nonnull: int = 1000) -> str | None:
+def pick_best(df: DataFrame, candidates: list[str], min_nonnull: int = 1) -> str | None:
     """The candidate with most numeric values, at least ``min_nonnull``; the first on a tie."""
     present = [c for c in candidates if c in df.columns]
     if not present:
@@ -38,7 +38,7 @@ def pick_best(df: DataFrame, candidates: list[str], min_nonnull: int = 1000) ->
     return present[best] if counts[best] >= min_nonnull else None
 
 
-def top_columns(df: DataFrame, candidates: list[str], n: int = 10, more_than: int = 1000) -> list[str]:
+def top_columns(df: DataFrame, candidates: list[str], n: int, more_than: int = 0) -> list[str]:
     """The n best covered columns that have more than the given number of values."""
     counts = {r["analyte"]: r["non_null_numeric"] for r in coverage(df, candidates).collect()}
     ranked = sorted((c for c in candidates if counts[c] > more_than), key=lambda c: -counts[c])
@@ -223,7 +223,11 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return sure.unionByName(last.select(*columns))
 
 
-def size_guard(df: DataFrame, group: str, max_rows: int = 5000) -> DataFrame:
-    """Rows of groups that have at most ``max_rows`` rows."""
-    small = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_rows)
-    return df.join(broadcast_if_small(small.select(group)), group, "left_semi")
+def size_guard(df: DataFrame, group: str, out: str = "group_rows") -> DataFrame:
+    """Every row with the number of rows of its group, so that a caller can leave out large groups.
+
+    Rows without a group are a group of their own.
+    """
+    sizes = df.groupBy(V.ref(group).alias("_g")).agg(F.count(F.lit(1)).alias(out))
+    joined = df.join(broadcast_if_small(sizes), V.ref(group).eqNullSafe(F.col("_g")), "left")
+    return joined.drop("_g")

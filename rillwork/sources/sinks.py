@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillwork import schema as S
 from rillwork.functions.values import ref
 from rillwork.operators.clean import clean_results, keep_values
-from rillwork.sources.tables import path_exists
+from rillwork.sources.tables import is_complete
 
 
 def write_csv(df: DataFrame, path: str, drop: list[str] = ("parts",)) -> None:
-    """CSV with a header in every part; geometry columns are left out."""
-    df.drop(*drop).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header in every part; geometry columns are left out, nested ones written as JSON."""
+    flat = df.drop(*drop)
+    nested = [f.name for f in flat.schema.fields if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType))]
+    flat.withColumns({c: F.to_json(ref(c)) for c in nested}).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -72,18 +76,20 @@ def write_geojson(df: DataFrame, path: str, parts: str = "parts", kind: str = "g
     return True
 
 
-def preview(df: DataFrame, order: list[str], n: int = 10_000) -> DataFrame:
+def preview(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first n rows in a fixed order."""
     return df.orderBy(*[ref(c) for c in order]).limit(n)
 
 
 def resume_missing(df: DataFrame, done_path: str, key: list[str]) -> DataFrame:
-    """Rows whose key is not in the stored output yet; all rows if nothing is stored."""
+    """Rows whose key is not in the stored output yet; all rows if nothing is stored. Keys that are
+    NULL are equal."""
     spark = df.sparkSession
-    if not path_exists(spark, done_path):
+    if not is_complete(spark, done_path):
         return df
-    done = spark.read.parquet(done_path).select(*[ref(k) for k in key])
-    return df.join(done, key, "left_anti")
+    done = spark.read.parquet(done_path).select(*[ref(k).alias(f"_done{i}") for i, k in enumerate(key)])
+    same = reduce(Column.__and__, [ref(k).eqNullSafe(F.col(f"_done{i}")) for i, k in enumerate(key)])
+    return df.join(done, same, "left_anti")
 
 
 def append_missing(df: DataFrame, path: str, key: list[str]) -> DataFrame:

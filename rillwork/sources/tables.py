@@ -26,6 +26,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(list_paths(spark, path))
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the path has ended; a folder that holds unfinished work only does not count."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def first_path(spark: SparkSession, paths: str | list[str]) -> str:
     """The first path of the list that exists."""
     candidates = [paths] if isinstance(paths, str) else paths
@@ -45,16 +50,19 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(
-    spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None
+    spark: SparkSession, path: str, stream: bool = False, files_per_batch: int | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Result files with a header, all text first; numbers and dates are coerced by cleaning.
 
-    Columns go by the header, whatever their order; a file with another header is an error. With
+    Columns go by the header, whatever their order; a file with another header is an error, and so
+    is a line with more or fewer fields than the header (a line break inside quotes among them).
+    ``multi_line`` reads such breaks, at the price that a file is no longer split among tasks. With
     ``stream`` the same table arrives file by file.
     """
     header = read_csv(spark, path).schema
     reader = _csv(spark.readStream if stream else spark.read).schema(header)
-    reader = reader.option("enforceSchema", False)
+    reader = reader.option("enforceSchema", False).option("mode", "FAILFAST").option("multiLine", multi_line)
     if stream and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.csv(path)
@@ -68,12 +76,22 @@ def read_csv_tolerant(
     Only the given columns are kept, those that exist. One text column more than the header
     catches what is over.
     """
-    path = first_path(spark, paths)
+    lines = _with_surplus(spark, first_path(spark, paths))
+    kept = lines.where(F.col(SURPLUS).isNull())
+    return kept.select(*[V.ref(c) for c in lines.columns if c != SURPLUS and (columns is None or c in columns)])
+
+
+def _with_surplus(spark: SparkSession, path: str) -> DataFrame:
     header = read_csv(spark, path).columns
     fields = [T.StructField(c, T.StringType()) for c in [*header, SURPLUS]]
-    lines = _csv(spark.read).schema(T.StructType(fields)).option("mode", "PERMISSIVE").csv(path)
-    kept = lines.where(F.col(SURPLUS).isNull())
-    return kept.select(*[V.ref(c) for c in header if columns is None or c in columns])
+    return _csv(spark.read).schema(T.StructType(fields)).option("mode", "PERMISSIVE").csv(path)
+
+
+def tolerant_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row (kept, skipped): the lines that tolerant reading gives and those that it leaves out."""
+    complete = F.col(SURPLUS).isNull()
+    lines = _with_surplus(spark, first_path(spark, paths))
+    return lines.agg(F.count_if(complete).alias("kept"), F.count_if(~complete).alias("skipped"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +115,7 @@ def cached_table(
     valid: Callable[[DataFrame], bool] | None = None,
 ) -> DataFrame:
     """Read a stored table, or build, store and read it. ``valid`` may refuse a stored one."""
-    if path_exists(spark, path):
+    if is_complete(spark, path):
         stored = spark.read.parquet(path)
         if valid is None or valid(stored):
             return stored

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from rillwork import schema as S
@@ -52,8 +52,15 @@ def append_stream(stream: DataFrame, out: str, state: str) -> StreamingQuery:
 
 
 def dropped_late(query: StreamingQuery) -> int:
-    """Rows ignored because they were older than the watermark."""
+    """Rows ignored because they were older than the watermark, over all batches of the run.
+
+    The count comes from the progress that the session keeps; if some of it may be gone
+    (``spark.sql.streaming.numRecentProgressUpdates``) that is an error, not a smaller number.
+    """
+    recent = query.recentProgress
+    limit = int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    if len(recent) >= limit:
+        raise RuntimeError(f"only the last {limit} batches are known; keep more progress updates")
     return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress for operator in progress["stateOperators"]
+        operator["numRowsDroppedByWatermark"] for progress in recent for operator in progress["stateOperators"]
     )

@@ -123,7 +123,9 @@ def test_sample_is_exact_and_repeatable(spark):
 
 def test_size_guard(spark):
     rows = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "layer string")
-    assert {r.layer for r in P.size_guard(rows, "layer", 4).collect()} == {"b"}
+    sized = P.size_guard(rows.unionByName(spark.createDataFrame([(None,)], "layer string")), "layer")
+    assert {(r.layer, r.group_rows) for r in sized.collect()} == {("a", 5), ("b", 2), (None, 1)}
+    assert sized.count() == 8
 
 
 def test_correlation_is_pairwise_complete(spark):

@@ -89,6 +89,35 @@ def test_result_columns_go_by_header(spark, tmp_path):
     assert (row[S.SITE], row[S.VALUE], row["extra"]) == ("s1", "1.5", "q")
 
 
+def test_broken_result_lines_are_errors(spark, tmp_path):
+    (tmp_path / "break.csv").write_text(f'{S.SITE},{S.VALUE}\n1,"x\ny"\n2,z\n')
+    whole = R.read_results(spark, str(tmp_path / "break.csv"), multi_line=True)
+    assert sorted(map(tuple, whole.collect())) == [("1", "x\ny"), ("2", "z")]
+    (tmp_path / "over.csv").write_text(f"{S.SITE},{S.VALUE}\n3,4,5\n")
+    for name in ("break", "over"):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            R.read_results(spark, str(tmp_path / f"{name}.csv")).collect()
+    assert tuple(R.tolerant_counts(spark, str(tmp_path / "over.csv")).first()) == (0, 1)
+
+
+def test_null_keys_are_done_too(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    path = str(tmp_path / "done")
+    for _ in range(2):
+        assert K.append_missing(rows, path, ["k"]).count() == 2
+
+
+def test_unfinished_output_is_built_again(spark, tmp_path):
+    (tmp_path / "t" / "_temporary").mkdir(parents=True)
+    assert R.cached_table(spark, str(tmp_path / "t"), lambda: spark.range(3)).count() == 3
+
+
+def test_csv_of_nested_columns(spark, tmp_path):
+    rows = spark.range(1).select("id", F.create_map(F.lit("a"), F.lit("b")).alias("properties"))
+    K.write_csv(rows, str(tmp_path / "out"))
+    assert R.read_csv(spark, str(tmp_path / "out")).first()["properties"] == '{"a":"b"}'
+
+
 def test_dimension_and_cache(spark, tmp_path):
     schema = T.StructType([T.StructField("a", T.LongType())])
     with pytest.warns(UserWarning):

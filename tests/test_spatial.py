@@ -202,3 +202,15 @@ def test_geometry_checks(spark):
     assert got == {0: True, 1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: False}
     c = rows.where("i = 4").select(G.centroid(F.col("parts")).alias("c")).first().c
     assert (c.x, c.y) == (1.0, 1.0)
+
+
+def test_inside_a_polygon_the_distance_is_zero(spark):
+    square = [[[0.0, 0.0], [100.0, 0.0], [100.0, 100.0], [0.0, 100.0], [0.0, 0.0]]]
+    shapes = spark.createDataFrame(
+        [(1, "Polygon", square), (2, "Polygon", square)], "feature_id long, geometry_type string, parts array<array<array<double>>>")
+    sites = spark.createDataFrame([(1, 50.0, 50.0), (2, 130.0, 50.0), (3, 900.0, 0.0)], "k int, x_m double, y_m double")
+    one = {r.k: r.dist_m for r in N.nearest_join(sites, shapes, 100.0, ties="first").collect()}
+    assert one == {1: 0.0, 2: 30.0, 3: None}
+    every = N.attach_nearest(sites, {"P": shapes}, max_m=100.0, ties="all").collect()
+    assert sorted((r.k, r.P_id or 0, r.P_dist_m) for r in every if r.k < 3) == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 30.0), (2, 2, 30.0)]
+    assert [(r.P_id, r.P_dist_m) for r in every if r.k == 3] == [(None, None)]

@@ -118,3 +118,16 @@ def test_title_parts_and_popup(spark):
     rows = spark.createDataFrame([("temperature_water", None)], "a string, b string")
     assert rows.select(V.title_parts(F.col("a"))).first()[0] == "Temperature_Water"
     assert rows.select(V.key_value_text(["a", "b"], 12)).first()[0] == "a: temperatu"
+    assert rows.select(V.key_value_text(["a", "b"])).first()[0] == "a: temperature_water<br>b: "
+
+
+def test_trim_takes_any_white_space(spark):
+    rows = spark.createDataFrame([("\t a b\u00a0\r\n",), ("\u2003",), (None,)], "a string")
+    assert [r.a for r in C.trim_strings(rows).collect()] == ["a b", "", None]
+
+
+def test_date_forms(spark):
+    texts = ["2010-01-15", "01/15/2010", "1/5/2010", "2010/01/15", "20100115", "15.1.2010", "13/45/2010", None]
+    rows = spark.createDataFrame([(t,) for t in texts], f"{S.DATE} string")
+    days = [str(r[S.DATE]) for r in C.coerce_dates(rows).collect()]
+    assert days == ["2010-01-15", "2010-01-15", "2010-01-05", "2010-01-15", "2010-01-15", "None", "None", "None"]
