@@ -250,7 +250,7 @@ def nearest_geojson(spark, folder):
     features = D.mines(spark, folder).select(
         "feature_id", F.lit("Point").alias("geometry_type"), F.array(F.array(place)).alias("parts"))
     write_geojson(features, path)
-    layer = read_geojson(spark, path, "mines", "feature_id", lines=True)
+    layer = read_geojson(spark, path, "mines", "feature_id")
     segments = G.project_edges(G.explode_edges(layer))
     points = G.project_utm(D.sites(spark, folder).select(F.col(S.SITE).alias("site"), "lon", "lat"))
     joined = N.nearest_join(points, segments, 9000.0, ties="first")

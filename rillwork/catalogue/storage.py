@@ -107,7 +107,7 @@ def geojson_points(spark, folder):
     """Point layer written as GeoJSON lines and read back."""
     path = scratch_path(spark, "points")
     K.write_geojson(_mine_features(spark, folder).withColumnRenamed("layer", "kind"), path)
-    layer = Y.read_geojson(spark, path, "mines", id_property="feature_id", lines=True)
+    layer = Y.read_geojson(spark, path, "mines", id_property="feature_id")
     named = Y.properties_as_columns(Y.points(layer), ["kind", "name"])
     return named.select("feature_id", "kind", "name", "lon", "lat")
 
@@ -129,13 +129,48 @@ def geojson_shapes(spark, folder):
     lines = D.flowlines(spark, folder)
     K.write_geojson(shapes, f"{base}/area")
     K.write_geojson(lines, f"{base}/flow")
-    layers = [Y.read_geojson(spark, f"{base}/{n}", n, "feature_id", lines=True) for n in ("area", "flow", "gone")]
+    layers = [Y.read_geojson(spark, f"{base}/{n}", n, "feature_id") for n in ("area", "flow", "gone")]
     box = G.bounds(F.col("parts"))
     return R.union_by_name(layers).groupBy("layer", "geometry_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.size("parts")).alias("n_parts"),
         F.sum(box["bx1"]).alias("left_sum"))
 
 
+@query("geojson_collection", f"""
+WITH {Q.MINES} SELECT CAST(id AS VARCHAR) AS feature_id, name, mx AS lon, my AS lat FROM mines""")
+def geojson_collection(spark, folder):
+    """A point layer exported as one collection, with a feature to a line between head and foot."""
+    path = scratch_path(spark, "collection")
+    rows = _mine_features(spark, folder)
+    # Every part is a collection of its own: features with a comma behind them, and a last one without.
+    head = F.array(F.lit('{"type":"FeatureCollection","name":"mines",'), F.lit('"features": ['))
+    feature = F.concat(K.feature_text(rows), F.lit(","))
+    last = F.array(F.regexp_replace(feature, ",$", ""), F.lit("]}"))
+    text = F.when(F.col("feature_id") % 50 == 0, F.concat(last, head)).otherwise(F.array(feature))
+    rows.select(F.explode(text).alias("value")).write.text(path)
+    layer = Y.read_geojson(spark, path, "mines", "feature_id")
+    return Y.properties_as_columns(Y.points(layer), ["name"]).select("feature_id", "name", "lon", "lat")
+
+
+@query("geojson_multipolygons", f"""
+WITH {Q.WATERSHEDS} SELECT CAST(id AS VARCHAR) AS feature_id, '[0,0,1,1]' AS rings,
+  round((20001.0::DOUBLE * 19999 * (wx + 20001 / 2) - 10000.0::DOUBLE * 7000 * (wx + 10000) + 16 * (wx + 30002) - 4 * (wx + 30002))
+    / (20001.0::DOUBLE * 19999 - 10000.0::DOUBLE * 7000 + 16 - 4), 4) AS x FROM watersheds""")
+def geojson_multipolygons(spark, folder):
+    """Two polygons with a hole each, of either winding, written and read back; centroid by role."""
+    path = scratch_path(spark, "multi")
+    shapes = D.watersheds(spark, folder, hole=True)
+    x, y = F.col("feature_id") % 5 * D.CELL_WIDTH + 30000, F.floor(F.col("feature_id") / 5) * D.CELL_HEIGHT
+    second = F.array(D.rectangle(x, y, x + 4, y + 4), F.reverse(D.rectangle(x + 1, y + 1, x + 3, y + 3)))
+    rings = shapes.select(
+        "feature_id", F.lit("MultiPolygon").alias("geometry_type"), F.concat("parts", second).alias("parts"),
+        F.array(*[F.lit(n) for n in (0, 0, 1, 1)]).alias("polygon_of"))
+    K.write_geojson(rings, path)
+    layer = Y.read_geojson(spark, path, "multi", "feature_id")
+    middle = G.centroid(F.col("parts"), F.col("polygon_of"))
+    return layer.select("feature_id", F.to_json("polygon_of").alias("rings"), F.round(middle["x"], 4).alias("x"))
+
+
 @query("layer_files", f"""
 WITH {Q.MINES} SELECT lower(layer) AS layer, COUNT(*) AS n, round(sum(mx), 3) AS sum_x FROM mines GROUP BY 1""")
 def layer_files(spark, folder):
@@ -145,7 +180,7 @@ def layer_files(spark, folder):
     rows = _mine_features(spark, folder).withColumn("file", file)
     text = rows.select("file", K.feature_text(rows.drop("file")).alias("value"))
     text.write.partitionBy("file").text(base)
-    every = Y.read_layers(spark, f"{base}/*.geojson", "feature_id", lines=True)
+    every = Y.read_layers(spark, f"{base}/*.geojson", "feature_id")
     return Y.points(every).groupBy("layer").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("lon"), 3).alias("sum_x"))
 

@@ -51,28 +51,37 @@ def bounds(parts: Column) -> Column:
     )
 
 
-def centroid(parts: Column) -> Column:
+def centroid(parts: Column, polygon_of: Column | None = None) -> Column:
     """Area centroid (x, y) of polygon rings by the shoelace sum.
 
-    Rings count with their winding, so holes wound against the shell are subtracted.
+    The first ring of a polygon counts as its shell and the others as holes, whatever their winding.
+    ``polygon_of`` gives the polygon number of every ring; without it all rings are one polygon.
     """
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-
-    def add_ring(total: Column, ring: Column) -> Column:
-        def add_edge(acc: Column, i: Column) -> Column:
-            p, q = F.get(ring, i), F.get(ring, i + 1)
-            cross = p[0] * q[1] - q[0] * p[1]
-            return F.struct(
-                (acc["a"] + cross).alias("a"),
-                (acc["x"] + (p[0] + q[0]) * cross).alias("x"),
-                (acc["y"] + (p[1] + q[1]) * cross).alias("y"),
-            )
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), total, add_edge)
+    def edges(ring: Column, term) -> Column:
+        steps = F.sequence(F.lit(0), F.size(ring) - 2)
+        return F.aggregate(steps, F.lit(0.0), lambda total, i: total + term(F.get(ring, i), F.get(ring, i + 1)))
+
+    def cross(p: Column, q: Column) -> Column:
+        return p[0] * q[1] - q[0] * p[1]
+
+    def moments(ring: Column, i: Column) -> Column:
+        area = edges(ring, cross)
+        first = i == 0
+        if polygon_of is not None:
+            first = first | F.coalesce(F.get(polygon_of, i) != F.get(polygon_of, i - 1), F.lit(False))
+        role = F.when(first, F.signum(area)).otherwise(-F.signum(area))
+        return F.struct(
+            (role * area).alias("a"),
+            (role * edges(ring, lambda p, q: (p[0] + q[0]) * cross(p, q))).alias("x"),
+            (role * edges(ring, lambda p, q: (p[1] + q[1]) * cross(p, q))).alias("y"),
+        )
 
-    rings = F.filter(parts, lambda ring: F.size(ring) >= 2)
+    rings = F.transform(parts, lambda ring, i: F.when(F.size(ring) >= 2, moments(ring, i)))
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     return F.aggregate(
-        rings, start, add_ring,
+        F.filter(rings, lambda m: m.isNotNull()), start,
+        lambda s, m: F.struct((s["a"] + m["a"]).alias("a"), (s["x"] + m["x"]).alias("x"), (s["y"] + m["y"]).alias("y")),
         lambda s: F.struct(
             F.try_divide(s["x"], 3 * s["a"]).alias("x"), F.try_divide(s["y"], 3 * s["a"]).alias("y")
         ),

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from rillwork import schema as S
 from rillwork.functions import values as V
-from rillwork.operators.quantiles import exact_quantiles
+from rillwork.operators.quantiles import quantile_table
 
 
 # --- columns -------------------------------------------------------------------------------
@@ -202,13 +202,13 @@ def fill_missing(df: DataFrame, constants: dict[str, object]) -> DataFrame:
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """NULLs become the exact median of their column."""
     medians = median_map(df, columns)
-    return df.withColumns({c: F.coalesce(V.ref(c), medians[F.lit(c)]) for c in columns})
+    return df.withColumns({c: F.coalesce(V.ref(c), F.try_element_at(medians, F.lit(c))["median"]) for c in columns})
 
 
 def median_map(df: DataFrame, columns: list[str]) -> Column:
-    """Scalar sub-query: map from column name to its median (one entry per column)."""
-    found = exact_quantiles(df, columns, [0.5])
-    entries = F.collect_list(F.struct("column", "value"))
+    """Scalar sub-query: map from column name to its median and range (one entry per column)."""
+    found = quantile_table(df, columns, [0.5]).withColumn("median", F.get("quantiles", F.lit(0)))
+    entries = F.collect_list(F.struct("column", F.struct("median", "lo", "hi")))
     return found.agg(F.map_from_entries(entries)).scalar()
 
 

@@ -21,17 +21,18 @@ def minmax(
     first, and a column without any value gives ``constant`` too.
     """
     values = {c: V.finite(V.numeric(df, c)) if impute else V.numeric(df, c) for c in columns}
-    ranges = [
-        F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias(str(i))
-        for i, v in enumerate(values.values())
-    ]
-    span = df.agg(F.struct(*ranges)).scalar()
-    medians = median_map(df.select(*[v.alias(c) for c, v in values.items()]), columns) if impute else None
+    if impute:
+        summary = median_map(df.select(*[v.alias(c) for c, v in values.items()]), columns)
+    else:
+        span = df.agg(F.struct(*[
+            F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias(str(i)) for i, v in enumerate(values.values())
+        ])).scalar()
     out = {}
     for i, (c, value) in enumerate(values.items()):
+        known = F.try_element_at(summary, F.lit(c)) if impute else span[str(i)]
         if impute:
-            value = F.coalesce(value, medians[F.lit(c)])
-        lo, hi = span[str(i)]["lo"], span[str(i)]["hi"]
+            value = F.coalesce(value, known["median"])
+        lo, hi = known["lo"], known["hi"]
         scaled = F.try_divide(value - lo, hi - lo)
         if constant is not None:
             scaled = F.when((hi == lo) | hi.isNull(), F.lit(constant)).otherwise(scaled)

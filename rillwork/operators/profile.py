@@ -9,10 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillwork.functions import values as V
-from rillwork.operators.quantiles import exact_quantiles, long_values
+from rillwork.operators.quantiles import long_values, quantile_table
 from rillwork.session import broadcast_if_small
 
 
+# Rows of a sample's last slot that are ordered at once; chooses a plan, not rows.
+SLOT_ROWS = 100_000
+
+
 def _rows(df: DataFrame, cells: list[Column]) -> DataFrame:
     """One output row per struct: turns a single wide aggregate row into a long table."""
     return df.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
@@ -48,26 +52,9 @@ def top_columns(df: DataFrame, candidates: list[str], n: int, more_than: int = 0
 def describe_exact(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max per column; absent columns are skipped."""
     present = [c for c in columns if c in df.columns]
-    basic = (
-        long_values(df, present)
-        .groupBy("column")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
-    quartiles = (
-        exact_quantiles(df, present, [0.25, 0.5, 0.75])
-        .groupBy("column")
-        .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
-               for p, n in [(0.25, "p25"), (0.5, "p50"), (0.75, "p75")]])
-    )
-    # Both sides hold one row per listed column.
-    joined = basic.join(F.broadcast(quartiles), "column")
-    return joined.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    quartile = [F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(["p25", "p50", "p75"])]
+    return quantile_table(df, present, [0.25, 0.5, 0.75]).select(
+        "column", F.col("n").alias("count"), "mean", "std", F.col("lo").alias("min"), *quartile, F.col("hi").alias("max"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -94,12 +81,8 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 times the quartile range) and outliers."""
-    quartiles = (
-        exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-        .groupBy("column")
-        .agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n)
-               for p, n in [(0.25, "q1"), (0.5, "median"), (0.75, "q3")]])
-    )
+    quartiles = quantile_table(df, columns, [0.25, 0.5, 0.75]).select(
+        "column", *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(["q1", "median", "q3"])])
     value, reach = F.col("value"), 1.5 * (F.col("q3") - F.col("q1"))
     inside = (value >= F.col("q1") - reach) & (value <= F.col("q3") + reach)
     # One row of quartiles per listed column.
@@ -171,12 +154,15 @@ def input_report(df: DataFrame, required: list[str], numeric: list[str] = ()) ->
 
 def retained(df: DataFrame, kept: Column, site: str) -> DataFrame:
     """Rows and sites before and after a filter, and the retained share in percent."""
-    kept = V.flag(kept)
-    counts = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(kept).alias("n_kept"),
-        F.count_distinct(V.ref(site)).alias("n_sites"),
-        F.count_distinct(F.when(kept, V.ref(site))).alias("n_sites_kept"),
+    # Partial sums per site; a site is never counted through copies of its rows.
+    sites = df.groupBy(V.ref(site).alias("_site")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(V.flag(kept)).alias("kept"))
+    named = F.col("_site").isNotNull()
+    counts = sites.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum("kept"), F.lit(0)).alias("n_kept"),
+        F.count_if(named).alias("n_sites"),
+        F.count_if(named & (F.col("kept") > 0)).alias("n_sites_kept"),
     )
     return counts.withColumn("kept_percent", F.try_divide(100.0 * F.col("n_kept"), F.col("n_rows")))
 
@@ -200,27 +186,30 @@ def score_range(df: DataFrame, score: str) -> DataFrame:
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly n rows, the same ones on every run, chosen by a hash of the key.
 
-    A histogram over the first hash digits finds the digit at which n rows are reached, so only
-    the rows of that one slot are ordered; the others pass a plain filter.
+    A histogram over the first hash digits finds the slot in which n rows are reached; a slot of many rows
+    is divided by the next digits. Only the rows of the last slot are ordered, others pass a filter.
     """
     digest = F.md5(F.concat_ws(":", V.ref(key).cast("string"), F.lit(str(seed))))
-    hashed = df.withColumn("_digest", digest).withColumn("_slot", F.substring("_digest", 1, 4))
-    slots = hashed.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
-    # At most 16**4 slots, so one ordered window over them is small.
-    before = F.coalesce(
-        F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    )
-    wanted = slots.withColumn("_before", before).where(F.col("_before") < n)
-    edge = wanted.agg(F.max(F.struct("_slot", "_before", "_n")).alias("e")).first()["e"]
-    if edge is None:
-        return df.limit(0)
+    hashed = df.withColumn("_digest", digest)
+    rest, before, size, prefix = hashed, 0, None, ""
+    # Four digits a round: a slot of 10^12 rows holds 15 million after one and a few hundred after two.
+    while (size is None or size > SLOT_ROWS) and len(prefix) < 32:
+        slots = rest.groupBy(F.substring("_digest", 1, len(prefix) + 4).alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+        # At most 16**4 slots, so one ordered window over them is small.
+        earlier = F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1))
+        wanted = slots.withColumn("_before", F.coalesce(earlier, F.lit(0)) + before).where(F.col("_before") < n)
+        edge = wanted.agg(F.max(F.struct("_slot", "_before", "_n")).alias("e")).first()["e"]
+        if edge is None:
+            return df.limit(0)
+        prefix, before, size = edge["_slot"], edge["_before"], edge["_n"]
+        rest = hashed.where(F.col("_digest").startswith(prefix))
+        if n - before >= size:
+            break
     columns = [V.ref(c) for c in df.columns]
-    sure = hashed.where(F.col("_slot") < edge["_slot"]).select(*columns)
-    last = hashed.where(F.col("_slot") == edge["_slot"])
-    need = n - edge["_before"]
-    if need < edge["_n"]:
-        last = last.orderBy("_digest", V.ref(key)).limit(need)
-    return sure.unionByName(last.select(*columns))
+    sure = hashed.where(F.substring("_digest", 1, len(prefix)) < prefix).select(*columns)
+    if n - before < size:
+        rest = rest.orderBy("_digest", V.ref(key)).limit(n - before)
+    return sure.unionByName(rest.select(*columns))
 
 
 def size_guard(df: DataFrame, group: str, out: str = "group_rows") -> DataFrame:

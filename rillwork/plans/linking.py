@@ -49,7 +49,10 @@ def watershed_health_v1(joined: DataFrame, chemistry: list[str], distance: str,
 
 def watershed_health_v2(joined: DataFrame, merged: list[str], distance: str | None, huc: str) -> DataFrame:
     """The same from merged inlet/outlet analytes with the proximity factor."""
-    scored = H.sickness_v2(joined, distance=distance)
+    # Three passes over the scored columns alone; the samples are read and linked once.
+    wanted = dict.fromkeys([huc, *merged, *S.HEALTH_WEIGHTS, *([distance] if distance else [])])
+    narrow = checkpoint(joined.select(*[c for c in wanted if c in joined.columns]))
+    scored = H.sickness_v2(narrow, distance=distance)
     means = {c: c for c in [*merged, "Sickness_Index", *([distance] if distance else [])]}
     return _ranked(scored, huc, means)
 
@@ -63,5 +66,6 @@ def map_center(polygons: DataFrame) -> DataFrame:
     """Mean of the polygon centroids."""
     from rillwork.functions.geometry import centroid
 
-    middles = polygons.where("parts IS NOT NULL").select(centroid(F.col("parts")).alias("c"))
+    polygon_of = F.col("polygon_of") if "polygon_of" in polygons.columns else None
+    middles = polygons.where("parts IS NOT NULL").select(centroid(F.col("parts"), polygon_of).alias("c"))
     return middles.agg(F.avg("c.x").alias("center_x"), F.avg("c.y").alias("center_y"))

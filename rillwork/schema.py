@@ -88,5 +88,6 @@ FEATURE = T.StructType([
     T.StructField("feature_id", T.StringType()),
     T.StructField("geometry_type", T.StringType()),
     T.StructField("parts", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))),
+    T.StructField("polygon_of", T.ArrayType(T.IntegerType())),
     T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
 ])

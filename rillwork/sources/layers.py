@@ -1,4 +1,8 @@
-"""GeoJSON feature layers as tables (layer, feature_id, geometry_type, parts, properties)."""
+"""GeoJSON feature layers as tables (layer, feature_id, geometry_type, parts, polygon_of, properties).
+
+``polygon_of`` holds the polygon number of every ring of a MultiPolygon and is NULL otherwise. A
+GeometryCollection becomes one row per member, whose feature_id has the member's number behind a ``#``.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,18 @@ from rillwork.functions.geometry import PARTS
 from rillwork.functions.values import ref
 from rillwork.sources.tables import find_column, path_exists
 
-FEATURE = "type STRING, geometry STRUCT<type: STRING, coordinates: STRING>, properties MAP<STRING, STRING>"
+GEOMETRY = "type: STRING, coordinates: STRING"
+FEATURE = (
+    f"type STRING, id STRING, geometry STRUCT<{GEOMETRY}, geometries: ARRAY<STRUCT<{GEOMETRY}>>>, "
+    "properties MAP<STRING, STRING>"
+)
+COLLECTION = f"features ARRAY<STRUCT<{FEATURE}>>"
+
+# Lines of a collection that hold no feature: brackets, the head, and members such as name or crs.
+FRAME = (
+    r'(?s)\s*|[\[\]{}\s]+,?|\{?\s*"type"\s*:\s*"FeatureCollection"[^\[]*\[?'
+    r'|"features"\s*:\s*\[|"(?!(type|id|geometry|geometries|coordinates|properties|features)")[^"]*"\s*:.*'
+)
 
 
 def _parts(kind: Column, coordinates: Column) -> Column:
@@ -31,35 +46,63 @@ def _parts(kind: Column, coordinates: Column) -> Column:
     )
 
 
+def _polygon_of(kind: Column, coordinates: Column) -> Column:
+    polygons = F.from_json(coordinates, f"array<{PARTS}>")
+    numbers = F.transform(polygons, lambda rings, i: F.array_repeat(i, F.size(rings)))
+    return F.when(kind == "MultiPolygon", F.flatten(numbers))
+
+
 def _features(raw: DataFrame, layer: Column, id_property: str | None) -> DataFrame:
     """Feature structs in column ``f`` to the layer schema."""
-    kind, coordinates = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    content = F.md5(F.concat_ws("|", kind, coordinates, F.to_json("f.properties")))
+    whole, member = F.col("f.geometry"), F.col("_m")
+    many = whole["type"] == "GeometryCollection"
+    content = F.md5(F.concat_ws(
+        "|", whole["type"], F.coalesce(whole["coordinates"], F.to_json(whole["geometries"])), F.to_json("f.properties")))
     key = F.try_element_at("f.properties", F.lit(id_property)) if id_property else F.lit(None)
-    return raw.select(
+    key = F.coalesce(key.cast("string"), F.col("f.id"), content)
+    one = F.array(F.struct(whole["type"].alias("type"), whole["coordinates"].alias("coordinates")))
+    members = raw.select("*", key.alias("_key"), F.posexplode_outer(F.when(many, whole["geometries"]).otherwise(one)).alias("_i", "_m"))
+    # Members of collections within collections would be lost in silence.
+    kind = F.when(
+        member["type"] == "GeometryCollection", F.raise_error(F.lit("nested GeometryCollection")).cast("string")
+    ).otherwise(member["type"])
+    return members.select(
         layer.alias("layer"),
-        F.coalesce(key.cast("string"), content).alias("feature_id"),
+        F.when(F.coalesce(many, F.lit(False)), F.concat_ws("#", "_key", F.col("_i").cast("string"))).otherwise(F.col("_key")).alias("feature_id"),
         kind.alias("geometry_type"),
-        _parts(kind, coordinates).alias("parts"),
+        _parts(kind, member["coordinates"]).alias("parts"),
+        _polygon_of(kind, member["coordinates"]).alias("polygon_of"),
         F.col("f.properties").alias("properties"),
     )
 
 
 def _read(spark: SparkSession, path: str | list[str], lines: bool) -> DataFrame:
-    """Features of whole collections, or of files with one feature per line (splittable)."""
-    if lines:
-        raw = spark.read.schema(FEATURE).json(path)
-        return raw.select(F.struct("type", "geometry", "properties").alias("f"), "_metadata").where(
-            "f.type = 'Feature'"
-        )
-    raw = spark.read.schema(f"features ARRAY<STRUCT<{FEATURE}>>").option("multiLine", True).json(path)
-    return raw.select(F.explode("features").alias("f"), "_metadata")
+    """Feature structs of files with one feature per line (splittable), or of whole files."""
+    if not lines:
+        raw = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
+        return raw.select(F.explode("features").alias("f"), "_metadata")
+    text = F.regexp_replace(F.trim(F.translate("value", "\t\r\ufeff\u001e", "   ")), r",$", "")
+    read = spark.read.text(path).select(
+        F.trim(text).alias("line"), F.from_json(F.trim(text), f"{FEATURE}, {COLLECTION}").alias("j"), "_metadata")
+    feature = F.struct(*[F.col(f"j.{c}").alias(c) for c in ("type", "id", "geometry", "properties")])
+    found = (
+        F.when(F.col("j.type") == "Feature", F.array(feature))
+        .when((F.col("j.type") == "FeatureCollection") & F.col("j.features").isNotNull(), F.col("j.features"))
+        .when(F.col("line").rlike(f"^({FRAME})$"), F.filter(F.array(feature), lambda f: F.lit(False)))
+        .otherwise(F.raise_error(F.concat(F.lit("not one feature per line, read with lines=False: "), F.left("line", F.lit(80)))))
+    )
+    return read.select(F.explode(found).alias("f"), "_metadata")
 
 
 def read_geojson(
-    spark: SparkSession, path: str, layer: str, id_property: str | None = None, lines: bool = False
+    spark: SparkSession, path: str, layer: str, id_property: str | None = None, lines: bool = True
 ) -> DataFrame:
-    """One layer. An absent file gives an empty layer and a warning, not an error."""
+    """One layer. An absent file gives an empty layer and a warning, not an error.
+
+    Files have one feature per line, bare or within a collection as exports write it, and are split; any
+    other line is an error. ``lines=False`` takes files of any form, each read whole by one task.
+    The id of a feature is its ``id_property``, else its own ``id``, else a hash of its content.
+    """
     if not path_exists(spark, path):
         warnings.warn(f"layer {layer} is missing at {path}", stacklevel=2)
         return spark.createDataFrame([], S.FEATURE)
@@ -67,7 +110,7 @@ def read_geojson(
 
 
 def read_layers(
-    spark: SparkSession, pattern: str, id_property: str | None = None, lines: bool = False
+    spark: SparkSession, pattern: str, id_property: str | None = None, lines: bool = True
 ) -> DataFrame:
     """All files of a glob as one table; the layer is the name of the ``.geojson`` file."""
     if not path_exists(spark, pattern):
@@ -85,7 +128,7 @@ def read_feature_pages(
         warnings.warn(f"no pages for {layer} at {path}", stacklevel=2)
         return spark.createDataFrame([], S.FEATURE)
     raw = (
-        spark.read.schema(f"features ARRAY<STRUCT<{FEATURE}>>, _bad STRING")
+        spark.read.schema(f"{COLLECTION}, _bad STRING")
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     )
     pages = raw.where("_bad IS NULL").select(F.explode("features").alias("f"))

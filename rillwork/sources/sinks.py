@@ -15,7 +15,7 @@ from rillwork.operators.clean import clean_results, keep_values
 from rillwork.sources.tables import is_complete
 
 
-def write_csv(df: DataFrame, path: str, drop: list[str] = ("parts",)) -> None:
+def write_csv(df: DataFrame, path: str, drop: list[str] = ("parts", "polygon_of")) -> None:
     """CSV with a header in every part; geometry columns are left out, nested ones written as JSON."""
     flat = df.drop(*drop)
     nested = [f.name for f in flat.schema.fields if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType))]
@@ -38,14 +38,24 @@ def write_clean_and_subset(df: DataFrame, clean_path: str, subset_path: str) ->
     write_table(keep_values(stored, S.ANALYTE, S.ANALYTES), subset_path)
 
 
-def _geometry(kind: Column, parts: Column) -> Column:
+def _polygons(parts: Column, polygon_of: Column | None) -> Column:
+    """Rings grouped by polygon; without polygon numbers each ring is a polygon of its own."""
+    single = F.transform(parts, lambda ring: F.array(ring))
+    if polygon_of is None:
+        return single
+    numbers = F.array_sort(F.array_distinct(polygon_of))
+    grouped = F.transform(numbers, lambda n: F.filter(parts, lambda ring, i: F.get(polygon_of, i) == n))
+    return F.coalesce(grouped, single)
+
+
+def _geometry(kind: Column, parts: Column, polygon_of: Column | None) -> Column:
     """GeoJSON geometry text. Polygons and lines with several parts keep their nesting."""
     first = F.get(parts, F.lit(0))
     coordinates = (
         F.when(kind == "Point", F.to_json(F.get(first, F.lit(0))))
         .when(kind == "MultiPoint", F.to_json(F.transform(parts, lambda p: F.get(p, F.lit(0)))))
         .when(kind == "LineString", F.to_json(first))
-        .when(kind == "MultiPolygon", F.to_json(F.transform(parts, lambda ring: F.array(ring))))
+        .when(kind == "MultiPolygon", F.to_json(_polygons(parts, polygon_of)))
         .otherwise(F.to_json(parts))
     )
     return F.when(
@@ -56,13 +66,14 @@ def _geometry(kind: Column, parts: Column) -> Column:
 
 def feature_text(df: DataFrame, parts: str = "parts", kind: str = "geometry_type") -> Column:
     """A row as one GeoJSON Feature; every column but the geometry becomes a property."""
-    others = [c for c in df.columns if c not in (parts, kind)]
+    others = [c for c in df.columns if c not in (parts, kind, "polygon_of")]
+    polygon_of = ref("polygon_of") if "polygon_of" in df.columns else None
     if others == ["properties"]:
         properties = F.to_json("properties")
     else:
         properties = F.to_json(F.struct(*[ref(c) for c in others]), {"ignoreNullFields": "false"})
     return F.concat(
-        F.lit('{"type":"Feature","geometry":'), _geometry(ref(kind), ref(parts)),
+        F.lit('{"type":"Feature","geometry":'), _geometry(ref(kind), ref(parts), polygon_of),
         F.lit(',"properties":'), properties, F.lit("}"),
     )
 

@@ -66,6 +66,37 @@ def test_quantiles_are_exact_beyond_the_sketch(spark, kind, monkeypatch):
     assert got == {p: pytest.approx(float(np.quantile(values, p))) for p in ps}
 
 
+def test_no_bin_of_a_heavy_tail_is_large(spark):
+    rng = np.random.default_rng(3)
+    values = np.exp(rng.normal(0, 6, 400_000))
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    for p in (0.9999, 1.0):
+        marks = [max(p - 4 / Qn.ACCURACY, 0.0), min(p + 4 / Qn.ACCURACY, 1.0)]
+        counted = Qn.bracket_counts(Qn.long_values(df, ["v"]), Qn.column_moments(df, ["v"], marks), marks)
+        inside = Qn.binned(counted).where("value is not null")
+        sizes = [r["count"] for r in inside.groupBy("column", "slot", "bin").count().collect()]
+        assert max(sizes) < 0.05 * sum(sizes)
+    got = {r.p: r.value for r in Qn.exact_quantiles(df, ["v"], [0.9999, 1.0]).collect()}
+    assert got == {p: pytest.approx(float(np.quantile(values, p))) for p in (0.9999, 1.0)}
+
+
+def test_quantiles_read_the_table_twice(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(30_000).selectExpr("id % 977 + 0.5 AS a", "cast(id AS double) AS b").write.parquet(path)
+    found = Qn.quantile_table(spark.read.parquet(path), ["a", "b"], [0.5])
+    assert {r["column"]: r["quantiles"] for r in found.collect()} == {"a": [14_999 // 31 + 0.5], "b": [14999.5]}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 2
+
+
+def test_a_crowded_slot_is_divided(spark, monkeypatch):
+    monkeypatch.setattr(P, "SLOT_ROWS", 3)
+    rows = spark.range(200_000).withColumnRenamed("id", "k")
+    digest = F.md5(F.concat_ws(":", F.col("k").cast("string"), F.lit("42")))
+    plain = {r.k for r in rows.orderBy(digest).limit(777).collect()}
+    assert {r.k for r in P.sample_n(rows, "k", 777).collect()} == plain
+
+
 def test_minmax_without_spread(spark):
     rows = spark.createDataFrame([(2.0, None, 1.0), (2.0, None, None), (2.0, None, 3.0)], "a double, b double, c double")
     plain = [tuple(r) for r in H.minmax(rows, ["a", "b", "c"]).select("a_norm", "b_norm", "c_norm").collect()]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillwork import schema as S
+from rillwork.functions import geometry as G
 from rillwork.operators import clean as C
 from rillwork.sources import layers as Y
 from rillwork.sources import sinks as K
@@ -52,19 +53,57 @@ def test_geojson_collection_of_every_type(spark, tmp_path):
                 for t, c in shapes.items()]
     features.append({"type": "Feature", "geometry": None, "properties": {"id": "none"}})
     (tmp_path / "mix.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
-    rows = Y.read_geojson(spark, str(tmp_path / "mix.geojson"), "mix", "id")
+    rows = Y.read_geojson(spark, str(tmp_path / "mix.geojson"), "mix", "id", lines=False)
     got = {r.feature_id: r.parts for r in rows.collect()}
     assert got["Point"] == [[[1, 2]]] and got["MultiPoint"] == [[[1, 2]], [[3, 4]]]
     assert got["LineString"] == [[[0, 0], [1, 1]]] and got["Polygon"] == shapes["Polygon"]
     assert got["MultiPolygon"] == [s[0] for s in shapes["MultiPolygon"]] and got["none"] is None
     # Written out and read again the layer is the same.
     K.write_geojson(rows.drop("layer"), str(tmp_path / "again"))
-    again = Y.read_geojson(spark, str(tmp_path / "again"), "mix", "feature_id", lines=True)
+    again = Y.read_geojson(spark, str(tmp_path / "again"), "mix", "feature_id")
     assert {r.feature_id: r.parts for r in again.collect()} == got
-    every = Y.read_layers(spark, str(tmp_path / "*.geojson"), "id")
+    every = Y.read_layers(spark, str(tmp_path / "*.geojson"), "id", lines=False)
     assert {r.layer for r in every.collect()} == {"mix"}
 
 
+def test_collection_with_a_feature_to_a_line_is_split(spark, tmp_path):
+    point = '{ "type": "Feature", "id": 7, "properties": { "n": 1 }, "geometry": { "type": "Point", "coordinates": [ 1.0, 2.0 ] } }'
+    both = ('{"type":"Feature","properties":{},"geometry":{"type":"GeometryCollection","geometries":['
+            '{"type":"Point","coordinates":[3,4]},{"type":"LineString","coordinates":[[0,0],[1,1]]}]},"id":"c"}')
+    text = "\n".join([
+        "{", '"type": "FeatureCollection",', '"name": "x",',
+        '"crs": { "type": "name", "properties": { "name": "urn:ogc:def:crs:OGC:1.3:CRS84" } },', '"features": [', point + ",", both, "]", "}", ""])
+    path = tmp_path / "split.geojson"
+    path.write_text(text)
+    for lines in (True, False):
+        got = {r.feature_id: (r.geometry_type, r.parts) for r in Y.read_geojson(spark, str(path), "x", lines=lines).collect()}
+        assert got == {"7": ("Point", [[[1, 2]]]), "c#0": ("Point", [[[3, 4]]]), "c#1": ("LineString", [[[0, 0], [1, 1]]])}
+    # One line that holds the whole collection is a feature table too; anything else is an error.
+    path.write_text('{"type":"FeatureCollection","features":[' + point + "," + both + "]}")
+    assert Y.read_geojson(spark, str(path), "x").count() == 3
+    for broken in (json.dumps(json.loads(point), indent=1), point[:-2], '{"type":"FeatureCollection","features":[' + point + ","):
+        path.write_text(broken)
+        with pytest.raises(Exception, match="one feature per line"):
+            Y.read_geojson(spark, str(path), "x").collect()
+
+
+def test_multipolygon_keeps_its_holes(spark, tmp_path):
+    def ring(a, b):
+        return [[a, a], [b, a], [b, b], [a, b], [a, a]]
+
+    shape = [[ring(0, 4), ring(1, 2)], [ring(10, 12)]]
+    (tmp_path / "m.geojson").write_text(json.dumps(
+        {"type": "Feature", "id": "m", "geometry": {"type": "MultiPolygon", "coordinates": shape}, "properties": {}}))
+    rows = Y.read_geojson(spark, str(tmp_path / "m.geojson"), "x")
+    assert rows.first().polygon_of == [0, 0, 1]
+    K.write_geojson(rows.drop("layer"), str(tmp_path / "again"))
+    text = "".join(p.read_text() for p in (tmp_path / "again").glob("part-*"))
+    assert json.loads(text)["geometry"]["coordinates"] == shape
+    c = rows.select(G.centroid(F.col("parts"), F.col("polygon_of")).alias("c")).first().c
+    # Areas 16 - 1 + 4, whatever way the hole is wound.
+    assert c.x == pytest.approx((16 * 2 - 1.5 + 4 * 11) / 19)
+
+
 def test_missing_layer_is_empty(spark, tmp_path):
     with pytest.warns(UserWarning):
         rows = Y.read_geojson(spark, str(tmp_path / "none.geojson"), "x")
