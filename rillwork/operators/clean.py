@@ -201,8 +201,8 @@ def fill_missing(df: DataFrame, constants: dict[str, object]) -> DataFrame:
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """NULLs become the exact median of their column."""
-    medians = median_map(df, columns)
-    return df.withColumns({c: F.coalesce(V.ref(c), F.try_element_at(medians, F.lit(c))["median"]) for c in columns})
+    filled = {c: F.coalesce(V.ref(c), F.try_element_at("_medians", F.lit(c))["median"]) for c in columns}
+    return df.withColumn("_medians", median_map(df, columns)).withColumns(filled).drop("_medians")
 
 
 def median_map(df: DataFrame, columns: list[str]) -> Column:

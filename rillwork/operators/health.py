@@ -21,15 +21,16 @@ def minmax(
     first, and a column without any value gives ``constant`` too.
     """
     values = {c: V.finite(V.numeric(df, c)) if impute else V.numeric(df, c) for c in columns}
+    # One column for the sub-query, so that the plan holds it once however many columns use it.
     if impute:
         summary = median_map(df.select(*[v.alias(c) for c, v in values.items()]), columns)
     else:
-        span = df.agg(F.struct(*[
+        summary = df.agg(F.struct(*[
             F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias(str(i)) for i, v in enumerate(values.values())
         ])).scalar()
     out = {}
     for i, (c, value) in enumerate(values.items()):
-        known = F.try_element_at(summary, F.lit(c)) if impute else span[str(i)]
+        known = F.try_element_at("_summary", F.lit(c)) if impute else F.col("_summary")[str(i)]
         if impute:
             value = F.coalesce(value, known["median"])
         lo, hi = known["lo"], known["hi"]
@@ -37,7 +38,7 @@ def minmax(
         if constant is not None:
             scaled = F.when((hi == lo) | hi.isNull(), F.lit(constant)).otherwise(scaled)
         out[c + suffix] = scaled
-    return df.withColumns(out)
+    return df.withColumn("_summary", summary).withColumns(out).drop("_summary")
 
 
 def sickness_v1(df: DataFrame, chemistry: list[str], distance: str, huc: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Point-in-polygon join.
 
 Each polygon picks the grid whose cell is as large as its box and so lies in at most four cells;
-points look up one cell per grid size in use. The exact test reads only the edges of the
-horizontal strip that holds the point, so big rings are never shipped whole.
+points look up one cell per grid size in use. The height of a polygon is halved again and again
+into dyadic strips. An edge belongs to the few largest strips that it spans, so n edges give
+O(n log n) rows; a point looks up the one strip per level that holds it, and crossings are added up
+by partial sums. No list of edges is built, and big rings are never shipped whole.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from rillwork.functions.geometry import bounds, explode_edges
 from rillwork.functions.values import ref
 from rillwork.operators.locations import attach_locations, distinct_locations
 
-STRIP_EDGES = 16   # edges per strip aimed at
+STRIP_EDGES = 16   # edges per lowest strip aimed at
+MAX_LEVELS = 24    # halvings of a polygon's height at most
 
 
 def _cells(low: Column, high: Column, size: Column) -> Column:
@@ -22,7 +25,7 @@ def _cells(low: Column, high: Column, size: Column) -> Column:
 
 
 def _prepared(polygons: DataFrame) -> DataFrame:
-    """Box, grid exponent and strip count per polygon; shapes without an area are left out."""
+    """Box, grid exponent and number of halvings per polygon; shapes without an area are left out."""
     edges = F.aggregate("parts", F.lit(0), lambda n, ring: n + F.size(ring))
     return (
         polygons.select("feature_id", "parts", bounds(F.col("parts")).alias("b"), edges.alias("n"))
@@ -30,36 +33,48 @@ def _prepared(polygons: DataFrame) -> DataFrame:
         .withColumn("_span", F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1")))
         .where((F.col("bx2") > F.col("bx1")) & (F.col("by2") > F.col("by1")))
         .withColumn("grid", F.ceil(F.log2("_span")).cast("int"))
-        .withColumn("strips", F.ceil(F.col("n") / STRIP_EDGES).cast("int"))
+        .withColumn("levels", F.least(F.ceil(F.log2(F.greatest(F.col("n") / STRIP_EDGES, F.lit(1.0)))), F.lit(MAX_LEVELS)).cast("int"))
         .drop("_span", "n")
     )
 
 
 def _strip(y: Column) -> Column:
-    """Strip number of a height; rises with y, so an edge covers all strips between its ends."""
-    place = F.floor((y - F.col("by1")) / (F.col("by2") - F.col("by1")) * F.col("strips"))
-    return F.greatest(F.lit(0), F.least(place, F.col("strips") - 1)).cast("int")
+    """Lowest strip of a height; rises with y, so an edge covers all strips between its ends."""
+    strips = F.call_function("shiftleft", F.lit(1), F.col("levels"))
+    place = F.floor((y - F.col("by1")) / (F.col("by2") - F.col("by1")) * strips)
+    return F.greatest(F.lit(0), F.least(place, strips - 1)).cast("int")
 
 
-def _strip_edges(prepared: DataFrame) -> DataFrame:
-    """Edges of each polygon strip as one array (a part of the polygon's own vertices)."""
-    edges = explode_edges(prepared.select("feature_id", "parts", "by1", "by2", "strips"))
-    covered = F.sequence(_strip(F.least("y1", "y2")), _strip(F.greatest("y1", "y2")))
-    return (
-        edges.withColumn("strip", F.explode(covered))
-        .groupBy("feature_id", "strip")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    )
+def _nodes(first: Column, last: Column) -> Column:
+    """The largest dyadic strips (level, node) that make up the strips first..last; at most two a level."""
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1), level)
+        low = F.call_function("shiftright", first + size - 1, level)
+        high = F.call_function("shiftright", last + 1, level) - 1
+        node = lambda n: F.struct(level.alias("level"), n.alias("node"))
+        left = F.when((low <= high) & (low % 2 == 1), node(low))
+        right = F.when((low <= high) & (high % 2 == 0), node(high))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.col("levels")), at))
+
+
+def strip_edges(prepared: DataFrame) -> DataFrame:
+    """Edges of each polygon, one row per dyadic strip (feature_id, level, node)."""
+    edges = explode_edges(prepared.select("feature_id", "parts", "by1", "by2", "levels"))
+    nodes = _nodes(_strip(F.least("y1", "y2")), _strip(F.greatest("y1", "y2")))
+    return edges.withColumn("_n", F.explode(nodes)).select("feature_id", "_n.*", "x1", "y1", "x2", "y2")
 
 
-def _crosses(e: Column, x: Column, y: Column) -> Column:
+def _crosses(e: dict[str, Column], x: Column, y: Column) -> Column:
     """Does a ray from the point to the right cross the edge?"""
     straddles = (e["y1"] > y) != (e["y2"] > y)
     at = e["x1"] + (y - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"])
     return F.coalesce(straddles & (x < at), F.lit(False))
 
 
-def _touches(e: Column, x: Column, y: Column) -> Column:
+def _touches(e: dict[str, Column], x: Column, y: Column) -> Column:
     """Does the point lie on the edge?"""
     cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
     in_box = (
@@ -94,13 +109,16 @@ def containing_polygons(locations: DataFrame, polygons: DataFrame) -> DataFrame:
     candidates = (
         probes.join(boxes, ["grid", "cx", "cy"])
         .where((x > F.col("bx1")) & (x < F.col("bx2")) & (y > F.col("by1")) & (y < F.col("by2")))
-        .select("x", "y", "feature_id", _strip(y).alias("strip"))
+        .withColumn("strip", _strip(y))
+        .select("x", "y", "feature_id", "strip", F.explode(F.sequence(F.lit(0), F.col("levels"))).alias("level"))
+        .select("x", "y", "feature_id", "level", F.call_function("shiftright", F.col("strip"), F.col("level")).alias("node"))
     )
-    crossings = F.size(F.filter("edges", lambda e: _crosses(e, x, y)))
-    on_edge = F.exists("edges", lambda e: _touches(e, x, y))
+    edge = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
     return (
-        candidates.join(_strip_edges(prepared), ["feature_id", "strip"])
-        .where((crossings % 2 == 1) & ~on_edge)
+        candidates.join(strip_edges(prepared), ["feature_id", "level", "node"])
+        .groupBy("x", "y", "feature_id")
+        .agg(F.count_if(_crosses(edge, x, y)).alias("_n"), F.count_if(_touches(edge, x, y)).alias("_on"))
+        .where((F.col("_n") % 2 == 1) & (F.col("_on") == 0))
         .select("x", "y", "feature_id")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rillwork import session
 from rillwork.functions import geometry as G
 from rillwork.operators import nearest as N
+from rillwork.operators import within as Wi
 from rillwork.operators.within import within_join
 
 
@@ -184,6 +185,53 @@ def test_polygon_distance_is_zero_inside(spark):
     assert {r.site: r.dist_m for r in joined.collect()} == {0: 0.0, 1: 3.0, 2: None}
 
 
+def _comb(teeth):
+    top = [p for i in range(teeth) for p in ((2.0 * i, 0.0), (2.0 * i, 100.0), (2.0 * i + 1, 100.0), (2.0 * i + 1, 0.0))]
+    return [*top, (2.0 * teeth, -1.0), (-1.0, -1.0), (0.0, 0.0)]
+
+
+def _shore(n):
+    rng = random.Random(5)
+    return [(0.0, 0.0), *[(1.0 + i, 1e-3 * rng.random() + 1) for i in range(n)], (n + 1.0, 1000.0), (0.0, 1000.0), (0.0, 0.0)]
+
+
+@pytest.mark.parametrize("shape", [_comb, _shore])
+def test_edges_of_hard_rings_are_copied_a_few_times(spark, shape):
+    kind = f"feature_id int, parts {G.PARTS}"
+    for n in (125, 500, 2000):
+        ring = [list(p) for p in shape(n)]
+        prepared = Wi._prepared(spark.createDataFrame([(1, [ring])], kind))
+        assert Wi.strip_edges(prepared).count() <= 2 * len(ring) * (math.log2(len(ring)) + 1)
+    ring = [list(p) for p in shape(125)]
+    rng = random.Random(6)
+    high = max(p[1] for p in ring)
+    points = [(rng.uniform(-2, 260), rng.choice([rng.uniform(-2, high + 2), rng.uniform(0.99, 1.01)])) for _ in range(400)]
+    inside = Wi.containing_polygons(spark.createDataFrame(points, "x double, y double"),
+                                    spark.createDataFrame([(1, [ring])], kind))
+    assert {(r.x, r.y) for r in inside.collect()} == {p for p in points if _in_ring(*p, ring)}
+
+
+def _in_ring(x, y, ring):
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+        if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+            odd = not odd
+    return odd
+
+
+def test_long_segments_among_short_ones_do_not_multiply_the_work(spark):
+    locations = spark.range(500).select((F.rand(1) * 1e5).alias("x"), (F.rand(2) * 1e5).alias("y"))
+    tests = {}
+    for n in (4_000, 64_000):
+        x, y, turn = F.rand(3) * 1e5, F.rand(4) * 1e5, F.rand(5) * 6.28
+        length = F.when(F.col("id") % 4 == 0, 42e3).otherwise(100.0)
+        segments = spark.range(n).select("id", x.alias("x1"), y.alias("y1"), turn.alias("t"), length.alias("l")).select(
+            F.lit("L").alias("layer"), F.col("id").alias("feature_id"), "x1", "y1",
+            (F.col("x1") + F.col("l") * F.cos("t")).alias("x2"), (F.col("y1") + F.col("l") * F.sin("t")).alias("y2"))
+        tests[n] = N.candidate_segments(locations, N.build_grid(segments), ["L"]).count() / 500
+    assert tests[64_000] < 2 * tests[4_000]
+
+
 def test_utm_values(spark):
     rows = spark.createDataFrame([(-81.0, 0.0), (-81.0, 40.0)], "lon double, lat double")
     got = [(r.x_m, r.y_m) for r in G.project_utm(rows).collect()]
