@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from rillwork import schema as S
 from rillwork.catalogue import sql as Q
 from rillwork.catalogue.registry import query, rounded
+from rillwork.functions import values as V
 from rillwork.operators import cluster as M
 from rillwork.operators import features as A
 from rillwork.plans import domain as D
-from rillwork.session import scratch_path
+from rillwork.session import checkpoint, scratch_path
 
 DIMENSIONS = 64
 
@@ -42,30 +43,80 @@ def standardise(spark, folder):
     return rounded(M.standardise(table, [*names, "flat"]).drop(*names, "flat"))
 
 
-@query("pca_components")
-def pca_components(spark, folder):
-    """Scores on the components that explain more than 90 % of the variance."""
-    rows, names = D.vectors(spark, folder, DIMENSIONS)
+def _components(rows, names):
+    """The components of the rows, as a fitted model and its scores."""
     table = rows
     for stage in M.scaling_stages(rows, names):
         table = stage.transform(table)
     model = M.fit_pca(table, len(names))
-    keep = M.components_for(model)
-    scores = F.slice(vector_to_array("components"), 1, keep)
-    return model.transform(table).select("vec_id", scores.alias("scores"))
+    return model, model.transform(table)
+
+
+Z = ", ".join(
+    f"(embedding[{i}]::DOUBLE - avg(embedding[{i}]::DOUBLE) OVER ()) / stddev_pop(embedding[{i}]::DOUBLE) OVER ()"
+    for i in range(1, DIMENSIONS + 1))
+
+
+@query("pca_components", f"""
+WITH z AS (SELECT vec_id, [{Z}] AS z FROM embeddings)
+SELECT vec_id, {DIMENSIONS} AS n_components, round(list_sum(list_transform(z, lambda v: v * v)), 5) AS squares FROM z""")
+def pca_components(spark, folder):
+    """Scores on all components: a rotation, so their squares add up to those of the standardised row."""
+    rows, names = D.vectors(spark, folder, DIMENSIONS)
+    _, scored = _components(rows, names)
+    scores = vector_to_array("components")
+    squares = F.aggregate(scores, F.lit(0.0), lambda total, v: total + v * v)
+    return rounded(scored.select("vec_id", F.size(scores).alias("n_components"), squares.alias("squares")), 5)
+
+
+@query("pca_pair", """
+WITH z AS (SELECT vec_id,
+    (embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER ()) / stddev_pop(embedding[1]::DOUBLE) OVER () AS a,
+    (embedding[2]::DOUBLE - avg(embedding[2]::DOUBLE) OVER ()) / stddev_pop(embedding[2]::DOUBLE) OVER () AS b,
+    corr(embedding[1]::DOUBLE, embedding[2]::DOUBLE) OVER () AS r FROM embeddings)
+SELECT vec_id, round(abs(a + sign(r) * b) / sqrt(2), 5) AS pc1, round(abs(a - sign(r) * b) / sqrt(2), 5) AS pc2,
+  round(50 * (1 + abs(r)), 5) AS explained FROM z""")
+def pca_pair(spark, folder):
+    """Both components of two standardised columns, which have a closed form, without their free
+    sign, and the percentage that the first explains."""
+    rows, names = D.vectors(spark, folder, 2)
+    model, scored = _components(rows, names)
+    named = M.component_columns(scored, 2, "components")
+    return rounded(named.select(
+        "vec_id", F.abs("PC1").alias("pc1"), F.abs("PC2").alias("pc2"),
+        F.lit(M.explained_percent(model, 1)).alias("explained")), 5)
+
+
+# Planted groups of unequal size: a row's group follows from the last digit of its key, and each group is moved
+# far from the others, so that the right clusters are known from the tables alone. They are numbered by falling size.
+def _group_of(key: str, cuts: tuple[int, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN {key} % 10 < {cut} THEN {i}" for i, cut in enumerate(cuts)) + f" ELSE {len(cuts)} END"
+
+
+FOUR, THREE = (4, 7, 9), (5, 8)
+
+
+def _planted(matrix, columns, key: str, cuts: tuple[int, ...], step: float):
+    group = F.expr(_group_of(key, cuts))
+    return matrix.withColumns({c: V.ref(c) + group * step for c in columns})
+
+
+def _planted_sites(spark, folder, cuts: tuple[int, ...]):
+    wide, analytes = _site_vectors(spark, folder)
+    matrix = M.feature_matrix(wide, analytes)
+    keyed = matrix.withColumn("key", F.substring("site", 2, 20).cast("long"))
+    # Both the model and its application read the sites; the results behind them are read once.
+    return checkpoint(_planted(keyed, analytes, "key", cuts, 100_000.0)), analytes
 
 
 @query("watershed_clusters", f"""
-WITH {Q.RESULTS} SELECT DISTINCT site, true AS labelled, true AS placed FROM results""")
+WITH {Q.RESULTS}, keys AS (SELECT DISTINCT site, site_key FROM results)
+SELECT site, {_group_of("site_key", FOUR)} AS "Cluster" FROM keys""")
 def watershed_clusters(spark, folder):
-    """Two components and four clusters of sites; every site gets a label."""
-    wide, analytes = _site_vectors(spark, folder)
-    model = M.fit_clusters(M.feature_matrix(wide, analytes), analytes, k=4, size=2)
-    labelled = M.component_columns(M.assign_clusters(wide, analytes, model))
-    return labelled.select(
-        "site", F.col("Cluster").between(0, 3).alias("labelled"),
-        (F.col("PC1").isNotNull() & F.col("PC2").isNotNull()).alias("placed"),
-    )
+    """Two components and four clusters of sites, found where groups were planted."""
+    sites, analytes = _planted_sites(spark, folder, FOUR)
+    model = M.fit_clusters(sites, analytes, k=4, size=2)
+    return M.assign_clusters(sites, analytes, model).select("site", "Cluster")
 
 
 @query("silhouette", """
@@ -87,37 +138,46 @@ def silhouette(spark, folder):
     return rounded(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(score).alias("silhouette")))
 
 
-@query("best_k")
+@query("best_k", f"""
+WITH e AS (SELECT vec_id, {_group_of("vec_id", FOUR)} AS g, embedding FROM embeddings),
+m AS (SELECT vec_id, g, [{", ".join(f"embedding[{i}]::DOUBLE + 50 * g" for i in range(1, DIMENSIONS + 1))}] AS embedding FROM e),
+z AS (SELECT vec_id, g, [{Z}] AS v FROM m),
+n AS (SELECT g, COUNT(*) AS n FROM z GROUP BY g),
+d AS (SELECT x.vec_id, x.g AS own, y.g AS other, sum(pow(list_distance(x.v, y.v), 2)) AS total
+  FROM z x, z y GROUP BY 1, 2, 3),
+w AS (SELECT vec_id, own, other, CASE WHEN own = other THEN total / nullif(n - 1, 0) ELSE total / n END AS mean
+  FROM d JOIN n ON d.other = n.g),
+s AS (SELECT vec_id, max(CASE WHEN own = other THEN mean END) AS a, min(CASE WHEN own <> other THEN mean END) AS b
+  FROM w GROUP BY vec_id)
+SELECT COUNT(*) AS n_rows, 4 AS chosen, round(avg((b - a) / greatest(a, b)), 5) AS silhouette FROM s""")
 def best_k(spark, folder):
-    """Silhouette for k = 2..8 on principal components, with the chosen k."""
+    """The k of 2..8 with the highest silhouette on all components, and that silhouette; the vectors
+    are moved into four planted groups."""
     rows, names = D.vectors(spark, folder, DIMENSIONS)
-    table = rows
-    for stage in M.scaling_stages(rows, names):
-        table = stage.transform(table)
-    pca = M.fit_pca(table, 8)
-    scores = pca.transform(table).select("components").persist()
+    moved = checkpoint(_planted(rows, names, "vec_id", FOUR, 50.0))
+    _, scored = _components(moved, names)
+    scores = scored.select("components").persist()
     try:
-        chosen, found = M.best_k(scores, "components", restarts=1)
+        chosen, found = M.best_k(scores, "components")
     finally:
         scores.unpersist()
-    cells = [F.struct(F.lit(k).alias("k"), F.lit(s).alias("silhouette")) for k, s in found.items()]
     one = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    return one.select("n_rows", F.lit(chosen).alias("chosen"), F.explode(F.array(*cells)).alias("c")).select(
-        "n_rows", "chosen", "c.*")
+    return rounded(one.select("n_rows", F.lit(chosen).alias("chosen"), F.lit(found[chosen]).alias("silhouette")), 5)
 
 
 @query("classify", f"""
-WITH {Q.RESULTS} SELECT site, true AS known, true AS has_size FROM results GROUP BY site""")
+WITH {Q.RESULTS}, keys AS (SELECT DISTINCT site, site_key FROM results),
+g AS (SELECT site, {_group_of("site_key", THREE)} AS "Cluster" FROM keys)
+SELECT site, "Cluster", COUNT(*) OVER (PARTITION BY "Cluster") AS size FROM g""")
 def classify(spark, folder):
     """A saved model scores rows; the summary of the predicted cluster is attached."""
-    wide, analytes = _site_vectors(spark, folder)
+    sites, analytes = _planted_sites(spark, folder, THREE)
     path = scratch_path(spark, "model")
-    matrix = M.feature_matrix(wide, analytes)
-    model = M.fit_clusters(matrix, analytes, k=3, size=2)
+    model = M.fit_clusters(sites, analytes, k=3, size=2)
     model.write().save(path)
-    summary = A.cluster_summary(model.transform(matrix), analytes)
-    scored = M.classify(matrix, path, summary.select("Cluster", F.col("Count").alias("size")))
-    return scored.select("site", F.col("Cluster").isNotNull().alias("known"), (F.col("size") > 0).alias("has_size"))
+    summary = A.cluster_summary(model.transform(sites), analytes)
+    scored = M.classify(sites, path, summary.select("Cluster", F.col("Count").alias("size")))
+    return scored.select("site", "Cluster", "size")
 
 
 @query("cluster_lookup", """
