@@ -229,11 +229,11 @@ def _utm_ctes(source: str, out: str) -> str:
 
 @query("project_utm", f"""
 WITH {Q.SITES}, {_utm_ctes("sites", "utm")}
-SELECT site, round(ux, 3) AS x_m, round(uy, 3) AS y_m FROM utm""")
+SELECT site, round(lon, 3) AS lon, round(lat, 3) AS lat, round(ux, 3) AS x_m, round(uy, 3) AS y_m FROM utm""")
 def project_utm(spark, folder):
-    """Longitude and latitude to UTM metres."""
+    """Longitude and latitude to UTM metres, beside the degrees."""
     table = D.sites(spark, folder).select(F.col(S.SITE).alias("site"), "lon", "lat")
-    return rounded(G.project_utm(table).drop("lon", "lat"), 3)
+    return rounded(G.project_utm(table), 3)
 
 
 @query("nearest_geojson", f"""

@@ -185,10 +185,8 @@ def layer_files(spark, folder):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("lon"), 3).alias("sum_x"))
 
 
-@query("feature_pages", f"""
-WITH {Q.MINES} SELECT CAST(id AS VARCHAR) AS feature_id, mx AS lon, my AS lat FROM mines WHERE (id // 50) % 7 <> 3""")
-def feature_pages(spark, folder):
-    """Stored response pages of fifty features; every seventh page is cut off and skipped."""
+def _stored_pages(spark, folder):
+    """Response pages of fifty features; every seventh page is cut off."""
     path = scratch_path(spark, "pages")
     rows = _mine_features(spark, folder)
     page = F.floor(F.col("feature_id") / 50)
@@ -201,9 +199,25 @@ def feature_pages(spark, folder):
                 .alias("value"))
     )
     pages.write.text(path)
+    return path
+
+
+@query("feature_pages", f"""
+WITH {Q.MINES} SELECT CAST(id AS VARCHAR) AS feature_id, mx AS lon, my AS lat FROM mines WHERE (id // 50) % 7 <> 3""")
+def feature_pages(spark, folder):
+    """Stored response pages of fifty features; every seventh page is cut off and skipped."""
+    path = _stored_pages(spark, folder)
     return Y.points(Y.read_feature_pages(spark, path, "mines", "feature_id")).select("feature_id", "lon", "lat")
 
 
+@query("page_counts", f"""
+WITH {Q.MINES}, p AS (SELECT DISTINCT id // 50 AS page FROM mines)
+SELECT COUNT(*) FILTER (WHERE page % 7 <> 3) AS read, COUNT(*) FILTER (WHERE page % 7 = 3) AS skipped FROM p""")
+def page_counts(spark, folder):
+    """How many stored pages are read and how many are left out."""
+    return Y.page_counts(spark, _stored_pages(spark, folder))
+
+
 @query("latest_files", f"""
 WITH {Q.RESULTS} SELECT CASE analyte WHEN 'Specific conductance' THEN 'Specific_Conductance' WHEN 'pH' THEN 'Ph'
   ELSE analyte END AS analyte, lpad(CAST(site_key % 25 AS VARCHAR), 12, '0') AS huc12, COUNT(*) AS n,

@@ -102,6 +102,11 @@ def filter_text_any(df: DataFrame, columns: list[str], words: list[str] = S.LAYE
     return df.where(text.rlike(r"(?i)\b(" + "|".join(words) + r")\b"))
 
 
+def text_columns(columns: list[str], tokens: list[str] = S.LAYER_TEXT_TOKENS) -> list[str]:
+    """The columns whose name holds one of the tokens, any case: those that ``keyword_rows`` should read."""
+    return [c for c in columns if any(t.lower() in c.lower() for t in tokens)]
+
+
 def drop_sentinels(df: DataFrame, column: str = S.VALUE, limit: float = S.SENTINEL_LIMIT) -> DataFrame:
     """Drop placeholder values beyond the limit; legitimate negatives stay."""
     return df.where(F.abs(V.ref(column)) <= limit)

@@ -56,7 +56,6 @@ TREATMENT_RENAMES = {
     "Temperatur": "Temp",
 }
 DELTAS = [("pH_In", "pH_Out", "ΔpH"), ("Cond_In", "Cond_Out", "ΔCond"), ("Temp_In", "Temp_Out", "ΔTemp")]
-PAIRED_ANALYTES = ["pH", "Iron", "Temp", "Cond", "Sulfate"]
 DROP_PATTERN = r"(?i)(in$|out$|_left$|_right$|maintenanc|organization|monitoring|mineral|point_)"
 DROP_KEEP = ["Bituminous_dist_m", "index_right"]
 CHEMISTRY_TOKENS = [
@@ -65,10 +64,6 @@ CHEMISTRY_TOKENS = [
     "temp", "temperature",
 ]
 IN_OUT_TOKENS = ["_in", "_out", " in", " out", "inlet", "outlet", "(in", "(out", " inflow", " outflow"]
-FEATURE_TOKENS = [
-    "fe", "iron", "mn", "al", "ph", "temp", "cond", "so4", "sulf", "flow", "delta", "annualom",
-    "cost", "maint",
-]
 HEALTH_CHEMISTRY = ["Fe", "ResultMeasureValue", "Temperatur"]
 HEALTH_WEIGHTS = {"Iron_mean": 0.4, "Cond_mean": 0.4, "Temp_mean": 0.2}
 CHEMISTRY_SHARE = 0.6

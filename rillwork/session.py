@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_session(app: str = "rillwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,11 +57,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-# A side is hinted for broadcast only below both bounds.
+# A side is hinted for broadcast only below both bounds. They choose a plan, not rows.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: the schema tells the width of fixed columns, only texts and nested values are measured."""
+    total = F.lit(8)
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + 16 + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + 16 + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
 def broadcast_if_small(df: DataFrame, stored: bool = False) -> DataFrame:
     """Hint a broadcast only after measuring the side; otherwise Spark shuffles both sides and
     splits skewed keys.
@@ -68,8 +83,6 @@ def broadcast_if_small(df: DataFrame, stored: bool = False) -> DataFrame:
     The side is stored once (unless it already is), so measuring does not compute it twice.
     """
     stored = df if stored else checkpoint(df)
-    # A null-safe text rendering over-estimates the width of numeric columns.
-    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in stored.columns])))
-    size = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    size = stored.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(stored)).alias("bytes")).first()
     fits = size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
     return F.broadcast(stored) if fits else stored

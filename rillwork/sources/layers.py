@@ -123,16 +123,27 @@ def read_layers(
 def read_feature_pages(
     spark: SparkSession, path: str, layer: str, id_property: str | None = None
 ) -> DataFrame:
-    """Stored response pages, one collection per line or file; unreadable pages are skipped."""
+    """Stored response pages, one collection per line or file; unreadable pages are skipped
+    (``page_counts`` tells how many)."""
     if not path_exists(spark, path):
         warnings.warn(f"no pages for {layer} at {path}", stacklevel=2)
         return spark.createDataFrame([], S.FEATURE)
-    raw = (
+    pages = _pages(spark, path).where("_bad IS NULL").select(F.explode("features").alias("f"))
+    return _features(pages.where("f IS NOT NULL"), F.lit(layer), id_property)
+
+
+def page_counts(spark: SparkSession, path: str) -> DataFrame:
+    """One row (read, skipped): stored pages that ``read_feature_pages`` reads and those it leaves out."""
+    # Spark refuses to read the text of broken pages alone, so the features are looked at too.
+    bad = F.col("_bad").isNotNull() & (F.coalesce(F.size("features"), F.lit(0)) >= -1)
+    return _pages(spark, path).agg(F.count_if(~bad).alias("read"), F.count_if(bad).alias("skipped"))
+
+
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    return (
         spark.read.schema(f"{COLLECTION}, _bad STRING")
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     )
-    pages = raw.where("_bad IS NULL").select(F.explode("features").alias("f"))
-    return _features(pages.where("f IS NOT NULL"), F.lit(layer), id_property)
 
 
 def properties_as_columns(layer: DataFrame, names: list[str]) -> DataFrame:

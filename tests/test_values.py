@@ -131,3 +131,7 @@ def test_date_forms(spark):
     rows = spark.createDataFrame([(t,) for t in texts], f"{S.DATE} string")
     days = [str(r[S.DATE]) for r in C.coerce_dates(rows).collect()]
     assert days == ["2010-01-15", "2010-01-15", "2010-01-05", "2010-01-15", "2010-01-15", "None", "None", "None"]
+
+
+def test_text_columns_go_by_name():
+    assert C.text_columns(["Site_Name", "lat", "problem1", "depth", "notes"]) == ["Site_Name", "problem1", "notes"]
