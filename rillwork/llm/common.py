@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from rillwork.session import scratch_path
 
-# The text of one Arrow batch that is worked on at a time, and the rows of a fold.
-CHUNK_BYTES = 1 << 20
+# Fixed value: the remainder of the fold that no model may learn from.
 HELD_OUT = 2
 
 
@@ -52,20 +51,3 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
                 yield out
 
     return df.mapInArrow(run, schema)
-
-
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of a batch in slices of about ``limit`` bytes, each with its first row; null is empty.
-
-    A text is never cut: one that is longer than the limit makes a slice of its own.
-    """
-    first, size, held = 0, 0, []
-    for row, value in enumerate(texts):
-        value = value.as_py() or b""
-        if held and size + len(value) > limit:
-            yield first, held
-            first, size, held = row, 0, []
-        held.append(value)
-        size += len(value)
-    if held:
-        yield first, held

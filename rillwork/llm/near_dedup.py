@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 from rillwork.llm.common import map_batches, stored, texts_of
 from rillwork.llm.components import components
 
-# Rows of a band, accepted chance to miss a pair at the threshold, members of a block.
+# Rows of a band, accepted chance to miss a pair at the threshold, members and shingles of
+# a block (of many short or of few long documents).
 ROWS = 5
 MISS = 1e-6
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 21
 _SLICE = 4096
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -159,12 +161,12 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
 
 def _blocks(members: DataFrame) -> DataFrame:
     """Members of a bucket dealt to pairs (i, j) of blocks of bounded size; a small bucket is (0, 0)."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    n = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), n).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     return members.withColumn("own", own).withColumn("p", F.explode(pairs)).select(
-        "band", "p.i", "p.j", "own", *[c for c in members.columns if c not in ("band", "size")])
+        "band", "p.i", "p.j", "own", *[c for c in members.columns if c not in ("band", "size", "shingles")])
 
 
 def _meetings(members: DataFrame, need: int, width: int) -> DataFrame:
@@ -237,14 +239,15 @@ def near_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataF
     copies = usable.select("doc_id", "mark").join(same.hint("merge"), "mark").where("doc_id <> first").distinct()
     copies = stored(copies.select("doc_id", "mark", "first"), "copies")
     single = stored(usable.join(copies.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").select(
-        "doc_id", "bands", "sig"), "single")
+        "doc_id", "n", "bands", "sig"), "single")
 
     # Buckets with more than one document, and a star in each.
-    dealt = single.select("doc_id", F.explode("bands").alias("band"))
+    dealt = single.select("doc_id", "n", F.explode("bands").alias("band"))
     buckets = dealt.groupBy("band").agg(
-        F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size"))
-    buckets = stored(buckets.where("center < last").select("band", "center", "size"), "buckets")
-    members = stored(dealt.join(buckets.hint("merge"), "band"), "members")
+        F.min("doc_id").alias("center"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size"),
+        F.sum("n").alias("shingles"))
+    buckets = stored(buckets.where("center < last").select("band", "center", "size", "shingles"), "buckets")
+    members = stored(dealt.drop("n").join(buckets.hint("merge"), "band"), "members")
     stars = members.where("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
     alike = stored(_alike(stars, single, need, width), "alike")
     wanted = members.select("doc_id").distinct()
@@ -255,10 +258,10 @@ def near_groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataF
     # What the stars left open: members of one bucket in different components, its centre aside.
     open_ = members.where("doc_id <> center and size > 2").join(
         labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    open_ = open_.select("band", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    open_ = open_.select("band", "doc_id", "size", "shingles", F.coalesce("component", "doc_id").alias("component"))
     several = open_.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     several = stored(several.where("x < y").select("band"), "several")
-    open_ = open_.join(several.hint("merge"), "band").join(single, "doc_id")
+    open_ = open_.join(several.hint("merge"), "band").join(single.drop("n"), "doc_id")
     met = stored(_meetings(_blocks(open_), need, width), "met")
     bridges = stored(_bridges(met.join(candidates, "doc_id"), size, threshold), "bridges")
     if bridges.limit(1).count():

@@ -61,10 +61,11 @@ def test_near_awkward(spark, odd):
     assert plain.rows(near_dedup_report(df)) == sorted(plain.near_groups(docs), key=repr)
 
 
-@pytest.mark.parametrize("seed,block", [(4, 2048), (5, 3)])
-def test_near_random(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,shingles", [(4, 2048, 1 << 21), (5, 3, 1 << 21), (6, 2048, 50)])
+def test_near_random(spark, monkeypatch, seed, block, shingles):
     """Also with buckets cut into tiny blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     texts = plain.random_docs(seed, count=120, vocabulary=400)
     got = plain.rows(near_dedup_report(plain.table(spark, texts).repartition(4)))
     assert got == sorted(plain.near_groups(list(enumerate(texts))), key=repr)
