@@ -11,6 +11,7 @@ broadcast does not grow with the benchmark.
 
 * Null text, or text without a word, has no words and is not contaminated; a null item has no
   window. Items with equal words all count. A row with null doc_id is judged like any other.
+* A row is judged by its text alone: hits of several shards are put together by a hash of the text, never by doc_id.
 * Repeated rows give repeated results; extra columns do not matter.
 """
 
@@ -141,33 +142,45 @@ def n_hit(found: str) -> Column:
     return F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts apart across shards; rows with one key have the same hits. Null text has none."""
+    return F.sha2(text.cast("string").cast("binary"), 256)
+
+
 def scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int = WINDOW) -> DataFrame:
     texts = texts_of(docs)
     found = found_in(docs.sparkSession, items, F.col("text"), window)
-    return texts.select("doc_id", found.alias("f")).select("doc_id", "f.*")
+    return texts.select("doc_id", text_key(F.col("text")).alias("key"), found.alias("f")).select("doc_id", "key", "f.*")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated) with the merged word and byte ranges."""
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Every row with its key and its ranges and items of all shards."""
     shards = (scan(docs, shard, window) for shard in item_shards(benchmark))
     found, more = next(shards), None
-    for shard in shards:
-        # The first pass gives every row; of further passes only documents with a hit matter.
-        hits = shard.where(F.size("starts") > 0)
+    for at, shard in enumerate(shards):
+        # The first pass gives every row; of further passes only texts with a hit matter.
+        hits = shard.where(F.size("starts") > 0).withColumn("shard", F.lit(at))
         more = hits if more is None else more.unionByName(hits)
     found = found if more is None else _merge(found, more)
     return found.withColumn("n_hit", n_hit("")).withColumn("contaminated", is_contaminated())
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, contaminated) with the merged word and byte ranges."""
+    return _judged(docs, benchmark, window).drop("key")
+
+
 def is_contaminated(found: str = "") -> Column:
     return (n_hit(found) > 0) & (n_hit(found) * HIT_SHARE >= F.col(f"{found}n_words"))
 
 
 def _merge(first: DataFrame, more: DataFrame) -> DataFrame:
-    """Ranges of further shards added to the first; a document is known by its doc_id."""
-    packed = more.groupBy("doc_id").agg(*[
+    """Ranges of further shards added to the first; a text is known by its key and counts once for each shard."""
+    columns = ("starts", "ends", "byte_starts", "byte_ends", "items")
+    once = more.groupBy("key", "shard").agg(F.first(F.struct(*columns)).alias("f")).select("key", "f.*")
+    packed = once.groupBy("key").agg(*[
         F.flatten(F.collect_list(c)).alias(f"m_{c}")
-        for c in ("starts", "ends", "byte_starts", "byte_ends", "items")
+        for c in columns
     ])
 
     @F.pandas_udf("starts array<long>, ends array<long>, byte_starts array<long>, byte_ends array<long>")
@@ -184,12 +197,12 @@ def _merge(first: DataFrame, more: DataFrame) -> DataFrame:
             rows.append([list(c) for c in zip(*merged)] or [[], [], [], []])
         return pd.DataFrame(rows, columns=["starts", "ends", "byte_starts", "byte_ends"])
 
-    both = first.join(packed, "doc_id", "left")
+    both = first.join(packed, "key", "left")
     joined = {c: F.concat(c, F.coalesce(f"m_{c}", F.array().cast("array<long>")))
               for c in ("starts", "ends", "byte_starts", "byte_ends")}
     items = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("m_items", F.array().cast("array<string>")))))
-    return both.select("doc_id", "n_words", unite(*joined.values()).alias("u"), items.alias("items")).select(
-        "doc_id", "n_words", "u.*", "items")
+    return both.select("doc_id", "key", "n_words", unite(*joined.values()).alias("u"), items.alias("items")).select(
+        "doc_id", "key", "n_words", "u.*", "items")
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -201,7 +214,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is not contaminated, with all their columns."""
+    """The rows of ``docs`` whose text is not contaminated, with all their columns."""
     shards = item_shards(benchmark)
     first = next(shards)
     if next(shards, None) is None:
@@ -210,5 +223,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         text = F.col("row.text").cast("string").cast("binary")
         judged = packed.select("row", found_in(docs.sparkSession, first, text).alias("f"))
         return judged.where(~is_contaminated("f.")).select("row.*")
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+    bad = _judged(docs, benchmark).where("contaminated").select(F.col("key").alias("__bad")).distinct()
+    return docs.join(bad, text_key(docs["text"]) == bad["__bad"], "left_anti")

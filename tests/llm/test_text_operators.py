@@ -113,6 +113,22 @@ def test_decontamination_shards(spark, monkeypatch):
     assert clean_documents(df, benchmark(spark)).count() == sum(not r[-1] for r in want)
 
 
+def test_decontamination_shards_do_not_go_by_doc_id(spark, monkeypatch):
+    """Rows without doc_id, and rows that share one, are judged by their own text in every shard."""
+    items = [i for i in ITEMS if i[1]]
+    texts = [t for _, t in items] * 2 + ["clean text of its own", "another clean one"] * 2 + [None, ""]
+    ids = [None] * len(items) + [7] * len(items) + [None, None, 7, 7, None, 7]
+    df = plain.table(spark, texts, ids)
+    marks = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(plain.contamination(list(zip(ids, texts)), items), key=repr)
+    assert plain.rows(decontamination_report(df, marks)) == want
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1)
+    assert plain.rows(decontamination_report(df, marks)) == want
+    kept = sorted(((r["doc_id"], r["text"]) for r in clean_documents(df, marks).collect()), key=repr)
+    bad = {(i, t) for (i, t), r in zip(zip(ids, texts), plain.contamination(list(zip(ids, texts)), items)) if r[-1]}
+    assert kept == sorted(((i, t) for i, t in zip(ids, texts) if (i, t) not in bad), key=repr)
+
+
 def test_decontamination_offsets(spark):
     df = spark.createDataFrame([(1, "Ä! x, É  a. w1  W2 -w3")], "doc_id long, text string")
     row = contamination(df, benchmark(spark)).first()
