@@ -6,10 +6,11 @@ import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-# Fixed values of HTML: elements without an end tag, elements that are never shown as text, elements
-# inside a line of text, and start tags that end an open element.
+# Fixed values of HTML: elements without an end tag, elements that are never shown as text, elements that can stand
+# in a head, elements inside a line of text, and start tags that end an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head title script style template noscript iframe object svg math canvas audio video".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub "
     "sup time tt u var wbr".split())
@@ -37,7 +38,11 @@ class Node:
 
 
 class Blocks(HTMLParser):
-    """Tree of block elements; inline elements only count as text of the block around them."""
+    """Tree of block elements; inline elements only count as text of the block around them.
+
+    As in browsers, what cannot stand in a head closes it and opens a body that the page left out. Loose text of a body
+    is a block of its own, up to the next block element, and is scored as a paragraph.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -47,13 +52,35 @@ class Blocks(HTMLParser):
         self.hidden = 0  # open elements that are not shown
         self.in_link = 0
         self.place = 0
+        self.loose: int | None = None  # the block of the loose text that is held
+
+    def _in_body(self) -> None:
+        """Close an open head and open the body if what follows stands above it."""
+        if self.open[-1][0] == "head":
+            self._pop(len(self.open) - 1)
+        if self.open[-1][0] in ("root", "html"):
+            self._flush()
+            tag, at = self.open[-1]
+            self.nodes.append(Node("body", at, frozenset({"tag=body", f"in={tag}"})))
+            self.open.append(("body", len(self.nodes) - 1))
+
+    def _block(self) -> Node:
+        """The block that text belongs to."""
+        at = self.open[-1][1]
+        if self.nodes[at].tag != "body":
+            return self.nodes[at]
+        if self.loose is None:
+            self.nodes.append(Node("p", at, frozenset({"tag=p", "in=body"})))
+            self.loose = len(self.nodes) - 1
+        return self.nodes[self.loose]
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.held)).strip()
         self.held.clear()
         if text:
-            self.nodes[self.open[-1][1]].text.append((self.place, text))
+            self._block().text.append((self.place, text))
             self.place += 1
+        self.loose = None
 
     def _pop(self, at: int) -> None:
         """Close the open elements from ``at`` on."""
@@ -74,6 +101,11 @@ class Blocks(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("html", "head", "body"):
+            if any(t == "body" for t, _ in self.open[1:3]):
+                return
+        elif tag not in HEAD:
+            self._in_body()
         if tag == "br":
             self.held.append(" ")
             return
@@ -121,11 +153,15 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        shown = len(data.strip().strip("\ufeff"))
+        if shown and self.open[-1][0] in ("root", "html", "head"):
+            self._in_body()
         if self.hidden:
             return
         self.held.append(data)
-        shown = len(data.strip())
-        node = self.nodes[self.open[-1][1]]
+        if not shown:
+            return
+        node = self._block()
         node.chars += shown
         node.links += shown if self.in_link else 0
 

@@ -36,6 +36,7 @@ FORM = [("form", ""), ("form", 'class="search"'), ("div", 'class="newsletter"'),
 SHARE = [("div", 'class="share"'), ("div", 'class="social"'), ("ul", 'class="tags"'), ("div", 'class="byline"'),
          ("div", 'class="meta"'), ("div", 'class="hidden"'), ("div", 'style="display:none"')]
 PAGES = 240
+LOOSE_PAGES = 160
 
 
 class _Writer:
@@ -113,7 +114,36 @@ class _Writer:
             page = f'<html><body data-content="1">{bare}</body></html>'
         return page
 
+    def loose_text(self) -> str:
+        """Text without a block element around it."""
+        draw = self.draw
+        run = lambda: draw.choice([
+            self.words(1, 5), self.words(1, 60), self.words(10, 120), f"{self.words(1, 20)} <b>{self.words(1, 4)}</b> {self.words(1, 30)}",
+            f'{self.words(3, 30)} <a href="#">{self.words(1, 3)}</a> {self.words(2, 20)}'])
+        return draw.choice(["<br>", "<br><br>", " "]).join(run() for _ in range(draw.randint(1, 4)))
+
+    def loose_page(self) -> str:
+        """A page, or a part of one, whose text is loose, alone or between blocks; or with loose links beside an article."""
+        draw = self.draw
+        if draw.random() < 0.25:
+            links = " | ".join(f'<a href="#">{self.words(1, 3)}</a>' for _ in range(draw.randint(1, 6)))
+            body = links + self.wrap(draw.choice(ARTICLE), self.content(), 1) + draw.choice(["", links])
+            content = 0
+        else:
+            parts, content = [self.loose_text()], 1
+            for _ in range(draw.choice([0, 0, 1, 2, 4])):
+                parts.append(draw.choice([
+                    lambda: self.boilerplate(MENU, self.links()), lambda: self.boilerplate(FOOTER, self.words(2, 14)), self.any_boilerplate,
+                    lambda: f"<div>{self.words(1, 60)}</div>", lambda: f"<h2>{self.words(1, 6)}</h2>", self.prose])())
+                parts.append(self.loose_text())
+            if draw.random() < 0.4:
+                parts = [self.boilerplate(MENU, draw.choice([self.links(), f'<a href="#">{self.words(1, 2)}</a>'])), *parts,
+                         self.boilerplate(FOOTER, self.words(1, 14))]
+            body = "".join(parts)
+        page = f'<body data-content="{content}">{body}</body>'
+        return draw.choice([page, f"<html><head><title>{self.words(1, 5)}</title>{page}</html>"])
+
 
 def labelled_pages(seed: int = 5) -> list[str]:
-    writer = _Writer(seed)
-    return [writer.page() for _ in range(PAGES)]
+    writer, loose = _Writer(seed), _Writer(seed + 1)
+    return [writer.page() for _ in range(PAGES)] + [loose.loose_page() for _ in range(LOOSE_PAGES)]

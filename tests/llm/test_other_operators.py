@@ -115,6 +115,20 @@ def test_extraction_of_awkward_pages(spark, model):
     assert extract_text(df.limit(0), model).count() == 0
 
 
+def test_extraction_keeps_loose_text(model):
+    """Pages without blocks, loose text between blocks, and pages that leave out </head> and <body>."""
+    long = "This is a sentence that no element holds, and it goes on for a while as prose does."
+    assert model.extract("Some text <b>x</b><br>more") == "Some text x more"
+    assert model.extract(long) == long
+    assert model.extract(f"<html><body>{long}<br>end</body></html>") == f"{long} end"
+    assert model.extract(f"<div>{long}</div>{long} Two.<div>{long}</div>") == f"{long}\n{long} Two.\n{long}"
+    assert model.extract(f"<nav><a href=x>Home</a></nav>{long}<footer>(c)</footer>") == long
+    head = "<!doctype html><html><head><title>T</title><meta charset=utf-8>"
+    assert model.extract(f"{head}<p>{long}<p>{long}") == f"{long}\n{long}"
+    assert model.extract(f"{head}{long}") == long
+    assert model.extract(f"<title>T</title><p>{long}") == long
+
+
 def _archive(pages):
     payload = {n: (h or "").encode() for n, (_, _, h) in enumerate(pages)}
     out = []
