@@ -114,6 +114,86 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM mark LEFT JOIN holder USING (payload)
 """
 
+# Lines with a word, and the words of each text; the rules beyond the base follow.
+QUALITY_RULES = f"""
+WITH whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+doc AS (
+  SELECT doc_id, text, {_PLAIN} AS w,
+    [x FOR x IN string_split(text, chr(10)) IF trim(x, {BLANK}) <> ''] AS lines FROM whole),
+win AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 2], ' ') AS key
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM doc WHERE len(w) >= 3)),
+again AS (SELECT doc_id, key FROM win GROUP BY ALL HAVING count(*) > 1),
+word AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS pos FROM win JOIN again USING (doc_id, key)),
+repeats AS (SELECT doc_id, count(*) AS n FROM word GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
+    len([x FOR x IN lines IF ltrim(x, {BLANK})[1] IN ('-', '*', '•', '‣')]) AS n_bullets,
+    len([x FOR x IN lines IF rtrim(x, {BLANK}) LIKE '%...' OR rtrim(x, {BLANK}) LIKE '%…']) AS n_cut,
+    len([x FOR x IN w IF regexp_matches(x, '\\pL')]) AS n_letter
+  FROM doc LEFT JOIN repeats USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR NOT word_chars BETWEEN 3 * n_words AND 10 * n_words
+    OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)
+    OR 100 * n_bullets > 90 * n_lines OR 100 * n_cut > 30 * n_lines OR 100 * n_letter < 80 * n_words) AS kept
+FROM measured
+"""
+
+COLLOCATIONS = f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS part
+  FROM documents),
+run AS (SELECT lang, regexp_extract_all(part, '[^\\x20\\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM run GROUP BY lang),
+place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM run),
+gram AS (
+  SELECT lang, w[s:s + size - 1] AS p, count(*) AS f
+  FROM place, (SELECT unnest(range(1, 6)) AS size) WHERE s + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+candidate AS (SELECT * FROM gram WHERE len(p) > 1),
+cut AS (
+  SELECT lang, p, f, unnest(range(1, len(p))) AS k FROM candidate c
+  WHERE NOT EXISTS (
+    SELECT 1 FROM candidate x WHERE x.lang = c.lang AND len(x.p) > len(c.p) AND x.f >= c.f AND
+      contains(' ' || array_to_string(x.p, ' ') || ' ', ' ' || array_to_string(c.p, ' ') || ' '))),
+scored AS (
+  SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, n,
+    CAST((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cut c JOIN gram x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN gram y ON y.lang = c.lang AND y.p = c.p[k + 1:]
+    JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS nth FROM scored),
+ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+  FROM lowest WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+HARD_NEGATIVES = """
+WITH given AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM given q JOIN given c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+near AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM scored WHERE same),
+hard AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM near JOIN scored USING (anchor_id)
+  WHERE nth <= 5 AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM hard WHERE rank <= 10
+"""
+
 
 def _mixing() -> str:
     counts = {name: f"len(regexp_extract_all(coalesce(text, ''), '{p}'))" for name, p in TOPICS.items()}
