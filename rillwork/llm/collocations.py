@@ -50,6 +50,9 @@ SLICE = 1 << 22
 #: Words of the longest phrase, least count of a candidate, phrases given per language.
 LONGEST, LEAST, FIRST = 5, 100, 2000
 
+#: Exact up to 38 digits; integer division rounds down.
+SCORE = "(1000 * CAST(a AS DECIMAL(17, 0)) * CAST(n AS DECIMAL(17, 0))) DIV (CAST(l AS DECIMAL(19, 0)) * CAST(r AS DECIMAL(19, 0)))"
+
 # A-Z in lower case, tabs as spaces, ends of pieces as line feeds.
 _FOLD = bytes(10 if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 # Words of a gram are joined by a byte below all others; the two lowest bytes are written as pairs.
@@ -256,8 +259,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
     heads = part.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l"))
     tails = part.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r"))
     sides = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(total.withColumnRenamed("total", "n"), "lang")
-    score = F.expr("(1000 * CAST(a AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(19, 0))) DIV (CAST(l AS DECIMAL(19, 0)) * CAST(r AS DECIMAL(19, 0)))")
-    lowest = sides.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("low"))
+    lowest = sides.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "cut", "l", "r")).alias("low"))
     found = lowest.select("lang", "phrase", "a", "low.l", "low.r", "n", "low.score")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= first)
