@@ -57,6 +57,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a wide intermediate table to the shared folder and read it back; cuts the lineage, too."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # A side is hinted for broadcast only below both bounds. They choose a plan, not rows.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20

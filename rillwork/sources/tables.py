@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from rillwork import schema as S
 from rillwork.functions import values as V
+from rillwork.sources import records as L
 
 SURPLUS = "_surplus"
 
@@ -57,10 +58,12 @@ def read_results(
 
     Columns go by the header, whatever their order; a file with another header is an error, and so
     is a line with more or fewer fields than the header (a line break inside quotes among them).
-    ``multi_line`` reads such breaks, at the price that a file is no longer split among tasks. With
-    ``stream`` the same table arrives file by file.
+    ``multi_line`` reads such breaks; many tasks share a file then too (``records``). With ``stream``
+    the same table arrives file by file, and with both a file is read by one task.
     """
     header = read_csv(spark, path).schema
+    if multi_line and not stream:
+        return L.parsed(L.records(spark, path), header.names, strict=True).select("row.*")
     reader = _csv(spark.readStream if stream else spark.read).schema(header)
     reader = reader.option("enforceSchema", False).option("mode", "FAILFAST").option("multiLine", multi_line)
     if stream and files_per_batch:
@@ -69,29 +72,32 @@ def read_results(
 
 
 def read_csv_tolerant(
-    spark: SparkSession, paths: str | list[str], columns: list[str] | None = None
+    spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, max_lines: int = L.MAX_LINES
 ) -> DataFrame:
-    """CSV whose broken lines are skipped: too many fields drop a line, missing ones are NULL.
+    """CSV whose broken records are skipped: too many fields drop a record, missing ones are NULL.
 
-    Only the given columns are kept, those that exist. One text column more than the header
-    catches what is over.
+    A record may hold line breaks inside quotes; many tasks share a file all the same (``records``). A line whose
+    quotes never close is broken, and so is a record of more than ``max_lines`` lines. Only the given columns are kept,
+    those that exist. One text column more than the header catches what is over.
     """
-    lines = _with_surplus(spark, first_path(spark, paths))
-    kept = lines.where(F.col(SURPLUS).isNull())
-    return kept.select(*[V.ref(c) for c in lines.columns if c != SURPLUS and (columns is None or c in columns)])
+    found, names = _with_surplus(spark, first_path(spark, paths), max_lines)
+    kept = found.where(_complete()).select("row.*")
+    return kept.select(*[V.ref(c) for c in names if columns is None or c in columns])
 
 
-def _with_surplus(spark: SparkSession, path: str) -> DataFrame:
-    header = read_csv(spark, path).columns
-    fields = [T.StructField(c, T.StringType()) for c in [*header, SURPLUS]]
-    return _csv(spark.read).schema(T.StructType(fields)).option("mode", "PERMISSIVE").csv(path)
+def _complete() -> Column:
+    return ~F.col("broken") & F.col("row")[SURPLUS].isNull()
 
 
-def tolerant_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row (kept, skipped): the lines that tolerant reading gives and those that it leaves out."""
-    complete = F.col(SURPLUS).isNull()
-    lines = _with_surplus(spark, first_path(spark, paths))
-    return lines.agg(F.count_if(complete).alias("kept"), F.count_if(~complete).alias("skipped"))
+def _with_surplus(spark: SparkSession, path: str, max_lines: int) -> tuple[DataFrame, list[str]]:
+    names = read_csv(spark, path).columns
+    return L.parsed(L.records(spark, path, max_lines), [*names, SURPLUS]), names
+
+
+def tolerant_counts(spark: SparkSession, paths: str | list[str], max_lines: int = L.MAX_LINES) -> DataFrame:
+    """One row (kept, skipped): the records that tolerant reading gives and those that it leaves out."""
+    found, _ = _with_surplus(spark, first_path(spark, paths), max_lines)
+    return found.agg(F.count_if(_complete()).alias("kept"), F.count_if(~_complete()).alias("skipped"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
