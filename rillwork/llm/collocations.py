@@ -6,9 +6,11 @@ node of their last; shorter grams are the ends of pieces. Equal grams are added
 
 A shorter phrase occurs as often as grams start with it: its count is the flow out of its node, plus the
 pieces that end within it. In the order of their words all grams that start with a phrase follow each
-other, so one pass over range-partitioned, sorted grams gives the counts of all lengths. A phrase that a
-batch of grams holds whole is dropped there if it is rare; one that may go on in the next batch leaves as a
-partial sum, at most ``LONGEST`` at either end. So a frequent phrase is split over tasks like any other.
+other, so one pass over sorted ranges of grams gives the counts of all lengths. A phrase that a stretch of a
+range holds whole is dropped there if it is rare; one that may go on in the next stretch leaves as a partial
+sum, at most ``LONGEST`` at either end. So a frequent phrase is split over ranges like any other. Grams travel
+sorted and compressed, which takes a third of the space of rows. Bounds of ranges come from a bounded sample;
+there are at most ``SAMPLE`` of them.
 
 A node whose whole flow runs through one edge is an inner place of a unary path, and compacting the path
 leaves the longer phrase only. As counts never grow with length, a phrase lies in a longer one of at least
@@ -27,17 +29,19 @@ but changes nothing.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillwork.llm.common import map_batches, stored
+from rillwork.llm.common import stored
 from rillwork.session import broadcast_if_small
 
 # Language of rows without one, ends of pieces, bits of the bitmap, words that a task gathers
@@ -47,6 +51,11 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 BITS = 26
 GATHERED = 1 << 20
 SLICE = 1 << 22
+# Words for each range of grams (its grams are put in order in one task's memory), the sample that the ranges come from
+# (words, and rows that the driver takes in), and grams that are added up at once.
+RANGE = 1 << 21
+SAMPLE = 1 << 18
+STEP = 1 << 17
 #: Words of the longest phrase, least count of a candidate, phrases given per language.
 LONGEST, LEAST, FIRST = 5, 100, 2000
 
@@ -127,8 +136,8 @@ class Vocabulary(dict):
         return number
 
 
-def _edges(lang: str, numbers: np.ndarray, words: list[bytes], longest: int) -> Iterator[pa.RecordBatch]:
-    """The grams of a run of word numbers, added up and in the order of their words."""
+def _edges(numbers: np.ndarray, words: list[bytes], longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The grams of a run of word numbers and their counts, in the order of their words."""
     numbers = numbers[numbers >= 0]
     for at in range(0, len(numbers), GATHERED):
         part = numbers[at:at + GATHERED + longest - 1]
@@ -156,14 +165,13 @@ def _edges(lang: str, numbers: np.ndarray, words: list[bytes], longest: int) ->
         counts = np.diff(np.r_[first, len(sort)])
         named = pa.array([names[i] for i in order], pa.binary())
         picked = [c[sort[first]] for c in columns]
-        grams = pc.binary_join_element_wise(
-            *[named.take(pa.array(c - 1, mask=c == 0)) for c in picked], pa.scalar(_JOINT, pa.binary()), null_handling="skip")
-        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(first)), grams, pa.array(counts)], ["lang", "gram", "n"])
+        yield pc.binary_join_element_wise(
+            *[named.take(pa.array(c - 1, mask=c == 0)) for c in picked], pa.scalar(_JOINT, pa.binary()), null_handling="skip"), counts
 
 
-def grams(texts: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> DataFrame:
-    """(lang, gram, n): the longest gram from each place, cut at ends of pieces and at rare words."""
-    sent = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+def _grams(texts: DataFrame, bits: Broadcast, longest: int, emit: Callable, schema: str) -> DataFrame:
+    """Rows that ``emit(lang, grams, counts)`` makes of the longest gram from each place of the texts, cut at ends of
+    pieces and at rare words. A task gathers a bounded number of words before it adds up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Vocabulary] = {}
@@ -172,14 +180,15 @@ def grams(texts: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> DataFra
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in waiting.items():
-                yield from _edges(lang, np.concatenate(parts), known[lang].words, longest)
+                for grams, counts in _edges(np.concatenate(parts), known[lang].words, longest):
+                    yield emit(lang, grams, counts)
             waiting.clear()
             for lang in [key for key, own in known.items() if len(own) > GATHERED // 4]:
                 del known[lang]
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
-                own = known.get(lang) or known.setdefault(lang, Vocabulary(lang, sent.value))
+                own = known.get(lang) or known.setdefault(lang, Vocabulary(lang, bits.value))
                 parts = waiting.setdefault(lang, [])
                 for part in tokens(text.as_py()):
                     parts.append(np.fromiter(map(own.__getitem__, part), np.int32, len(part)))
@@ -190,43 +199,100 @@ def grams(texts: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> DataFra
                     gathered = 0
         yield from flush()
 
-    return texts.mapInArrow(run, "lang string, gram binary, n long")
+    return texts.mapInArrow(run, schema)
 
 
-def phrase_counts(edges: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, size, n) of all phrases that grams start with at least ``least`` times.
+def ranges(texts: DataFrame, bits: Broadcast, longest: int, words: int) -> list[tuple[str, bytes]]:
+    """Bounds (lang, gram) between ranges of grams, about one for ``RANGE`` words, from a bounded sample of the texts.
 
-    The grams are in order, so those that start with a phrase follow each other. A phrase that a batch holds
-    whole is dropped if it is rare; the first and the last one may go on outside and leave as partial sums.
+    They decide which task adds up a gram, nothing else.
     """
 
-    def flow(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, size = batch["n"].to_numpy(), batch.num_rows
-        lists = pc.list_slice(pc.split_pattern(batch["gram"], _JOINT), 0, longest, return_fixed_size_list=True)
-        words = lists.flatten()
-        columns = [words.take(pa.array(np.arange(size) * longest + at)) for at in range(longest)]
-        lang = batch["lang"]
-        differs = pc.not_equal(lang.slice(1), lang.slice(0, size - 1)).to_numpy(zero_copy_only=False)
-        out = []
-        for at, column in enumerate(columns):
-            filled = pc.fill_null(column, _JOINT)
-            differs = differs | pc.not_equal(filled.slice(1), filled.slice(0, size - 1)).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.r_[True, differs])
-            sums = np.add.reduceat(n, starts)
-            kept = sums >= least
-            kept[[0, -1]] = True
-            kept &= column.is_valid().to_numpy(zero_copy_only=False)[starts]
-            place = pa.array(starts[kept])
-            phrase = pc.binary_join_element_wise(*[c.take(place) for c in columns[:at + 1]], pa.scalar(b" ", pa.binary()))
-            phrase = pc.replace_substring(pc.replace_substring(phrase, b"\1\1", b"\0"), b"\1\2", b"\1")
-            out.append(pa.RecordBatch.from_arrays(
-                [lang.take(place), phrase, pa.repeat(pa.scalar(at + 1, pa.int32()), len(place)), pa.array(sums[kept])],
-                ["lang", "phrase", "size", "n"]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-
-    ordered = edges.repartitionByRange("lang", "gram").sortWithinPartitions("lang", "gram")
-    parts = map_batches(ordered, flow, "lang string, phrase binary, size int, n long")
-    return parts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(
+    def emit(lang: str, grams: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(grams)), grams], ["lang", "gram"])
+
+    sample = texts.sample(min(1.0, SAMPLE / max(1, words)), 5)
+    rows = sorted((r["lang"], bytes(r["gram"])) for r in _grams(sample, bits, longest, emit, "lang string, gram binary").limit(SAMPLE).toLocalIterator())
+    count = min(len(rows), words // RANGE)
+    return sorted({rows[len(rows) * at // (count + 1)] for at in range(1, count + 1)})
+
+
+def packed(texts: DataFrame, bits: Broadcast, longest: int, bounds: Broadcast) -> DataFrame:
+    """(part, lang, length, size, grams): sorted grams of one range with their counts, compressed."""
+
+    def emit(lang: str, grams: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        held = bounds.value
+        low, high = bisect_left(held, (lang, b"")), bisect_left(held, (lang + "\0", b""))
+        cuts = [bisect_left(range(len(grams)), gram, key=lambda i: grams[i].as_py()) for _, gram in held[low:high]]
+        ends = np.array([0, *cuts, len(grams)], np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(ends, grams), pa.scalar(b"\n", pa.binary()))
+        out: tuple[list, ...] = ([], [], [], [])
+        for at in np.flatnonzero(np.diff(ends)).tolist():
+            raw = counts[ends[at]:ends[at + 1]].astype(np.int64).tobytes() + joined[at].as_py()
+            for column, value in zip(out, (low + at, int(ends[at + 1] - ends[at]), len(raw), pa.compress(raw, "zstd", asbytes=True))):
+                column.append(value)
+        parts, lengths, sizes, blobs = out
+        return pa.RecordBatch.from_arrays(
+            [pa.array(parts, pa.int32()), pa.repeat(pa.scalar(lang), len(parts)), pa.array(lengths, pa.int32()), pa.array(sizes, pa.int64()),
+             pa.array(blobs, pa.binary())], ["part", "lang", "length", "size", "grams"])
+
+    return _grams(texts, bits, longest, emit, "part int, lang string, length int, size long, grams binary")
+
+
+def _flow(lang: str, grams: pa.Array, n: np.ndarray, least: int, longest: int) -> pa.RecordBatch:
+    """Phrases that sorted grams start with, and how often. A phrase that they hold whole is dropped if it is rare;
+    the first and the last one may go on outside and leave as partial sums."""
+    size = len(grams)
+    words = pc.list_slice(pc.split_pattern(grams, _JOINT), 0, longest, return_fixed_size_list=True).flatten()
+    columns = [words.take(pa.array(np.arange(size) * longest + at)) for at in range(longest)]
+    differs, out = np.zeros(size - 1, bool), []
+    for at, column in enumerate(columns):
+        filled = pc.fill_null(column, _JOINT)
+        differs = differs | pc.not_equal(filled.slice(1), filled.slice(0, size - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, differs])
+        sums = np.add.reduceat(n, starts)
+        kept = sums >= least
+        kept[[0, -1]] = True
+        kept &= column.is_valid().to_numpy(zero_copy_only=False)[starts]
+        place = pa.array(starts[kept])
+        phrase = pc.binary_join_element_wise(*[c.take(place) for c in columns[:at + 1]], pa.scalar(b" ", pa.binary()))
+        phrase = pc.replace_substring(pc.replace_substring(phrase, b"\1\1", b"\0"), b"\1\2", b"\1")
+        out.append(pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(lang), len(place)), phrase, pa.repeat(pa.scalar(at + 1, pa.int32()), len(place)), pa.array(sums[kept])],
+            ["lang", "phrase", "size", "n"]))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+
+def phrase_counts(parts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, size, n) of all phrases that the grams of ``packed`` start with at least ``least`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A range arrives row after row; it is unpacked, put in order and added up."""
+        own, counts, grams = None, [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if grams:
+                every, n = pa.concat_arrays(grams), np.concatenate(counts)
+                order = pc.sort_indices(every)
+                every, n = every.take(order), n[order.to_numpy()]
+                for at in range(0, len(n), STEP):
+                    yield _flow(own[1], every.slice(at, STEP), n[at:at + STEP], least, longest)
+                grams.clear()
+                counts.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["part"], row["lang"]) != own:
+                    yield from flush()
+                    own = (row["part"], row["lang"])
+                raw = pa.decompress(row["grams"], row["size"], "zstd", asbytes=True)
+                counts.append(np.frombuffer(raw, np.int64, row["length"]))
+                grams.append(pc.split_pattern(pa.array([raw[8 * row["length"]:]], pa.binary()), b"\n").flatten())
+        yield from flush()
+
+    dealt = parts.repartition("part", "lang").sortWithinPartitions("part", "lang")
+    found = dealt.mapInArrow(run, "lang string, phrase binary, size int, n long")
+    return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(
         "lang", F.col("phrase").cast("string").alias("phrase"), "size", "n")
 
 
@@ -247,8 +313,10 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     counts = stored(word_counts(texts), "words")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    edges = stored(grams(texts, frequent_bits(counts.where(F.col("n") >= least)), longest), "grams")
-    phrases = stored(phrase_counts(edges, least, longest), "phrases")
+    send = docs.sparkSession.sparkContext.broadcast
+    bits = send(frequent_bits(counts.where(F.col("n") >= least)).tobytes())
+    bounds = send(ranges(texts, bits, longest, counts.agg(F.sum("n")).first()[0] or 0))
+    phrases = stored(phrase_counts(packed(texts, bits, longest, bounds), least, longest), "phrases")
 
     words = F.split("phrase", " ")
     cuts = compacted(phrases).select("lang", "phrase", F.col("n").alias("a"), "size", words.alias("words"),
@@ -258,7 +326,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, fi
     part = broadcast_if_small(phrases, stored=True)
     heads = part.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l"))
     tails = part.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r"))
-    sides = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(total.withColumnRenamed("total", "n"), "lang")
+    sides = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(broadcast_if_small(total.withColumnRenamed("total", "n")), "lang")
     lowest = sides.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "cut", "l", "r")).alias("low"))
     found = lowest.select("lang", "phrase", "a", "low.l", "low.r", "n", "low.score")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

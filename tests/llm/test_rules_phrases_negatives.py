@@ -126,17 +126,15 @@ def test_phrases_of_empty_tables(spark):
         assert C.collocations(df, least=1).count() == 0
 
 
-def test_counts_of_phrases_split_over_tasks(spark):
-    """One phrase begins most grams, so its flow comes from many partitions and batches."""
-    rows = [("en", b"\0".join([b"the", b"of", str(n).encode()]), 1) for n in range(3000)] + [("en", b"the", 5), ("de", b"the\0of", 2)]
-    df = spark.createDataFrame(rows, "lang string, gram binary, n long").repartition(5)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    try:
-        got = plain.rows(C.phrase_counts(df, 100))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert got == [("en", "the of", 2, 3000), ("en", "the", 1, 3005)]
+def test_counts_of_phrases_split_over_tasks(spark, monkeypatch):
+    """One phrase begins most grams, so its flow comes from many ranges and stretches."""
+    for name, value in (("RANGE", 40), ("STEP", 16), ("GATHERED", 300)):
+        monkeypatch.setattr(C, name, value)
+    texts = [f"the of {n}, the of {n} x" for n in range(1500)] + ["the"] * 5
+    rows = [("en", t) for t in texts] + [("de", "the of")] * 2 + [("a", "the of,")] * 3
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    got = plain.rows(C.collocations(df, least=3).select("lang", "phrase", "a", "l", "r", "n"))
+    assert got == [("a", "the of", 3, 3, 3, 6), ("en", "the of", 3000, 3005, 3000, 3005 + 3000 + 3000 + 1500)]
 
 
 def test_scores_pass_64_bits(spark):
