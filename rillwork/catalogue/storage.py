@@ -10,6 +10,7 @@ from rillwork.catalogue.registry import query, rounded
 from rillwork.functions import geometry as G
 from rillwork.functions import values as V
 from rillwork.operators import clean as C
+from rillwork.operators import validity as X
 from rillwork.plans import domain as D
 from rillwork.session import scratch_path
 from rillwork.sources import layers as Y
@@ -333,20 +334,59 @@ def resume_missing(spark, folder):
     return K.append_missing(todo, path, ["event_id"])
 
 
+# Outlines by kind: ring, place of the vertex, x and y from the feature's corner. A square, a bow tie, a ring that touches
+# itself, a hole across its shell, a hole that touches its shell in a point, a spike, and a ring with a long side that is a hole's, too.
+_OUTLINES = [
+    [[(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]],
+    [[(0, 0), (10, 10), (10, 0), (0, 10), (0, 0)]],
+    [[(0, 0), (10, 0), (5, 5), (10, 10), (0, 10), (5, 5), (0, 0)]],
+    [[(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(5, 5), (15, 5), (15, 8), (5, 8), (5, 5)]],
+    [[(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(0, 5), (4, 4), (4, 6), (0, 5)]],
+    [[(0, 0), (10, 0), (10, 10), (10, 20), (10, 10), (0, 10), (0, 0)]],
+    [[(0, 0), (10, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(2, 0), (8, 0), (5, 4), (2, 0)]],
+]
+_OUTLINE_ROWS = ", ".join(
+    f"({kind}, {ring}, {at}, {x}, {y})" for kind, rings in enumerate(_OUTLINES) for ring, points in enumerate(rings) for at, (x, y) in enumerate(points))
+
+
 @query("qc_counts", f"""
-WITH {Q.MINES} SELECT layer, 'missing' AS reason, COUNT(CASE WHEN id % 11 = 0 THEN 1 END) AS rejected FROM mines GROUP BY 1
+WITH {Q.MINES}, outline(kind, ring, pos, dx, dy) AS (VALUES {_OUTLINE_ROWS}),
+vertex AS (
+  SELECT id, layer, ring, pos, mx + dx AS x, my + dy AS y,
+    lag(mx + dx) OVER w IS NOT NULL AND lag(mx + dx) OVER w = mx + dx AND lag(my + dy) OVER w = my + dy AS again
+  FROM mines JOIN outline ON kind = id % 7 WHERE id % 11 <> 0 AND id % 13 <> 0 WINDOW w AS (PARTITION BY id, ring ORDER BY pos)),
+edge AS (
+  SELECT id, layer, ring, row_number() OVER w AS pos, count(*) OVER (PARTITION BY id, ring) - 1 AS n, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2
+  FROM vertex WHERE NOT again WINDOW w AS (PARTITION BY id, ring ORDER BY pos)),
+turned AS (
+  SELECT a.id, a.layer, a.ring = b.ring AS same, abs(a.pos - b.pos) IN (1, a.n - 1) AS next,
+    sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) AS t1, sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) AS t2,
+    sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) AS t3, sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) AS t4,
+    least(greatest(a.x1, a.x2), greatest(b.x1, b.x2)) - greatest(least(a.x1, a.x2), least(b.x1, b.x2)) AS sx,
+    least(greatest(a.y1, a.y2), greatest(b.y1, b.y2)) - greatest(least(a.y1, a.y2), least(b.y1, b.y2)) AS sy
+  FROM edge a JOIN edge b ON a.id = b.id AND (a.ring, a.pos) < (b.ring, b.pos) AND a.x2 IS NOT NULL AND b.x2 IS NOT NULL),
+wrong AS (
+  SELECT DISTINCT id, layer FROM turned
+  WHERE (t1 * t2 < 0 AND t3 * t4 < 0) OR (t1 = 0 AND t2 = 0 AND t3 = 0 AND t4 = 0 AND least(sx, sy) >= 0 AND greatest(sx, sy) > 0)
+    OR (same AND NOT next AND least(sx, sy) >= 0 AND t1 * t2 <= 0 AND t3 * t4 <= 0))
+SELECT layer, 'missing' AS reason, COUNT(CASE WHEN id % 11 = 0 THEN 1 END) AS rejected FROM mines GROUP BY 1
 UNION ALL SELECT layer, 'invalid', COUNT(CASE WHEN id % 13 = 0 OR id % 11 = 0 THEN 1 END) FROM mines GROUP BY 1
+UNION ALL SELECT m.layer, 'crossing', COUNT(wrong.id) FROM mines m LEFT JOIN wrong USING (id) GROUP BY 1
 UNION ALL SELECT layer, 'far_east', COUNT(CASE WHEN mx > 90000 THEN 1 END) FROM mines GROUP BY 1""")
 def qc_counts(spark, folder):
-    """Rejected features per layer and reason."""
+    """Rejected features per layer and reason; outlines of seven kinds, some of which cross or touch themselves."""
     x, y, key = F.col("x"), F.col("y"), F.col("feature_id")
-    good = F.array(D.rectangle(x, y, x + 10, y + 10))
+    outline = F.lit(None)
+    for kind, rings in enumerate(_OUTLINES):
+        shape = F.array(*[D.vertices(*[(x + dx, y + dy) for dx, dy in points]) for points in rings])
+        outline = F.when(key % 7 == kind, shape).otherwise(outline)
     open_ring = F.array(D.vertices((x, y), (x + 10, y), (x + 10, y + 10), (x, y + 10)))
-    parts = F.when(key % 11 == 0, F.lit(None)).when(key % 13 == 0, open_ring).otherwise(good)
-    shapes = D.mines(spark, folder).withColumn("parts", parts)
+    parts = F.when(key % 11 == 0, F.lit(None)).when(key % 13 == 0, open_ring).otherwise(outline)
+    shapes = X.with_crossing(D.mines(spark, folder).withColumn("parts", parts))
     return K.qc_counts(shapes, {
         "missing": F.col("parts").isNull(),
         "invalid": ~G.valid_geometry(F.col("parts"), F.lit("polygon")),
+        "crossing": F.col("crossing"),
         "far_east": x > 90000,
     })
 
