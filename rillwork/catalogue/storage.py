@@ -334,6 +334,31 @@ def resume_missing(spark, folder):
     return K.append_missing(todo, path, ["event_id"])
 
 
+@query("resume_chunks", """
+SELECT event_type AS layer, user_id, COUNT(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
+def resume_chunks(spark, folder):
+    """A run over chunks of each kind dies after some of them, half a chunk written; the next one finishes and replaces."""
+    path = scratch_path(spark, "chunks")
+    events = K.with_chunks(D.events(spark, folder).withColumn("layer", F.col("event_type")), ["user_id"], 6)
+    by, runs = ["layer", "chunk"], []
+
+    def totals(part):
+        runs.append(1)
+        if len(runs) == 3:
+            # Half of the group reaches the disk, once with wrong numbers, before the run ends.
+            half = part.where("user_id % 2 = 0").groupBy(*by, "user_id").agg(F.count(F.lit(1)).alias("n"), F.lit(-1.0).alias("total"))
+            for _ in range(2):
+                half.write.mode("append").partitionBy(*by).parquet(path)
+            raise InterruptedError("the run ends here")
+        return part.groupBy(*by, "user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+    try:
+        K.finish_chunks(events, path, totals, by, at_once=4)
+    except InterruptedError:
+        pass
+    return K.finish_chunks(events, path, totals, by, at_once=4).select("layer", "user_id", "n", "total")
+
+
 # Outlines by kind: ring, place of the vertex, x and y from the feature's corner. A square, a bow tie, a ring that touches
 # itself, a hole across its shell, a hole that touches its shell in a point, a spike, and a ring with a long side that is a hole's, too.
 _OUTLINES = [

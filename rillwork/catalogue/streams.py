@@ -11,11 +11,12 @@ from rillwork.session import scratch_path
 from rillwork.sources import tables as R
 from rillwork.streaming import results as X
 
+
 @query("stream_clean", f"""
 WITH {Q.RAW} SELECT DISTINCT trim(site) AS site, analyte, day_text AS day, {Q.number("value_text")} AS value,
   trim(unit) AS unit FROM raw""")
 def stream_clean(spark, folder):
-    """Result files cleaned as they arrive, here in several micro-batches."""
+    """Result files cleaned as they arrive, here in several micro-batches; copies across batches are left out."""
     base = scratch_path(spark, "stream_clean")
     raw = D.raw_results(spark, folder)
     # Years stand for files that arrive one after the other.
@@ -23,8 +24,7 @@ def stream_clean(spark, folder):
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/in")
     source = R.read_results(spark, f"{base}/in/*", stream=True, files_per_batch=4)
     X.stream_clean(source, f"{base}/out", f"{base}/state").awaitTermination()
-    cleaned = X.settled(spark.read.parquet(f"{base}/out/subset"))
-    return short(cleaned)
+    return short(spark.read.parquet(f"{base}/out/subset").drop("batch"))
 
 
 @query("stream_dedup", """
@@ -42,6 +42,22 @@ def stream_dedup(spark, folder):
     return spark.read.parquet(f"{base}/out").select(*keys)
 
 
+@query("stream_late", """
+WITH ordered AS (SELECT event_id, event_id % 6 AS batch, CAST(ts AS TIMESTAMP) AS t FROM events),
+latest AS (SELECT batch, max(t) AS t FROM ordered GROUP BY batch),
+bounds AS (SELECT batch, max(t) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 3 DAY AS bound FROM latest)
+SELECT event_id, CASE WHEN t <= bound THEN 'late' ELSE 'kept' END AS fate FROM ordered JOIN bounds USING (batch)""")
+def stream_late(spark, folder):
+    """Every row of a stream with its fate: rows that come too late are kept apart, not lost."""
+    base = scratch_path(spark, "stream_late")
+    events = D.events(spark, folder).select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    for number in range(6):  # files that arrive one after the other
+        events.where(F.col("event_id") % 6 == number).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    X.stream_dedup_kept(source, ["event_id"], "at", "3 days", f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out/rows").select("event_id", "fate")
+
+
 @query("stream_resume", "SELECT event_id, user_id, value FROM events")
 def stream_resume(spark, folder):
     """A stream stopped after the first files goes on from its checkpoint when more arrive."""

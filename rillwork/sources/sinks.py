@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +110,53 @@ def append_missing(df: DataFrame, path: str, key: list[str]) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def with_chunks(df: DataFrame, key: list[str], chunks: int, name: str = "chunk") -> DataFrame:
+    """A chunk number for each row, by a hash of its key: the same in every run."""
+    return df.withColumn(name, F.pmod(F.xxhash64(*[ref(k) for k in key]), F.lit(chunks)).cast("int"))
+
+
+def finished_chunks(spark: SparkSession, path: str, by: list[str]) -> DataFrame | None:
+    """The keys of finished chunks, from the manifest beside the output; None before the first."""
+    manifest = f"{path.rstrip('/')}-manifest"
+    return spark.read.parquet(manifest).select(*[ref(c) for c in by]).distinct() if is_complete(spark, manifest) else None
+
+
+def _only(df: DataFrame, chunks: DataFrame | None, by: list[str], how: str) -> DataFrame:
+    if chunks is None:
+        return df.limit(0) if how == "left_semi" else df
+    named = chunks.select(*[ref(c).alias(f"_c{i}") for i, c in enumerate(by)])
+    return df.join(F.broadcast(named), reduce(Column.__and__, [ref(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(by)]), how)
+
+
+def finish_chunks(df: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], by: list[str], at_once: int = 8) -> DataFrame:
+    """Compute a table chunk by chunk so that a run that died goes on where it was: (result of all chunks).
+
+    ``by`` names the chunk columns (``layer``, ``chunk``; see ``with_chunks``), which ``compute`` must keep. Chunks that the
+    manifest lists are not computed again. The others are, ``at_once`` in one job; what an earlier run left of them is
+    replaced, not added to, and they enter the manifest only when they are written. Empty chunks are finished as well.
+    Few and bounded: the chunks, not the rows, pass the driver and the manifest.
+    """
+    spark = df.sparkSession
+    open_chunks = _only(df.select(*[ref(c) for c in by]).distinct(), finished_chunks(spark, path, by), by, "left_anti")
+    waiting = open_chunks.orderBy(*[ref(c) for c in by]).collect()
+    for at in range(0, len(waiting), at_once):
+        group = spark.createDataFrame(waiting[at:at + at_once], open_chunks.schema)
+        part = compute(_only(df, group, by, "left_semi"))
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        group.coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}-manifest")
+    return read_finished(spark, path, by)
+
+
+def read_finished(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """The output of finished chunks; what a run that died has left of others is not read."""
+    done = finished_chunks(spark, path, by)
+    if done is None:
+        raise FileNotFoundError(f"no finished chunk of {path}")
+    table = spark.read.parquet(path)
+    kinds = {f.name: f.dataType for f in done.schema.fields}
+    return _only(table.withColumns({c: ref(c).cast(kinds[c]) for c in by}), done, by, "left_semi")
+
+
 def qc_counts(df: DataFrame, rules: dict[str, Column], by: str = "layer") -> DataFrame:
     """Rows (layer, reason, rejected) in one pass: how many rows break each rule."""
     counted = df.groupBy(ref(by)).agg(

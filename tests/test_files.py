@@ -1,7 +1,13 @@
 """Sources, sinks, resumable output, streams."""
 
+import collections
+import datetime
 import json
+import os
+import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -208,7 +214,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
         source = R.read_results(spark, str(folder), stream=True, files_per_batch=1)
         X.stream_clean(source, out, state).awaitTermination()
     batch = C.clean_results(R.read_results(spark, str(folder)))
-    stream = X.settled(spark.read.parquet(f"{out}/clean"))
+    stream = spark.read.parquet(f"{out}/clean")
     assert sorted(map(tuple, stream.select(*[f"`{c}`" for c in batch.columns]).collect())) == sorted(map(tuple, batch.collect()))
     subset = X.settled(spark.read.parquet(f"{out}/subset"))
     assert {r[S.ANALYTE] for r in subset.collect()} == {"Iron"}
@@ -234,6 +240,72 @@ def test_stream_dedup_counts_late_rows(spark, tmp_path):
     assert dropped == 1
 
 
+def test_stream_keeps_and_counts_every_row(spark, tmp_path):
+    """More micro-batches than progress is kept for, against a plain run over them, with a restart in between."""
+    hour = datetime.timedelta(hours=1)
+    draw, start = random.Random(2), datetime.datetime(2020, 1, 1)
+    batches = []
+    for n in range(102):
+        rows = [(draw.choice([f"k{draw.randrange(40)}", None]), start + (n - draw.choice([0, 0, 1, 5, 30])) * hour, n) for _ in range(draw.randint(1, 3))]
+        batches.append(rows + [("no time", None, n)] * (n % 50 == 7))
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("n", T.IntegerType())])
+    folder, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    (tmp_path / "in").mkdir()
+    for part in (batches[:3], batches[3:]):
+        for rows in part:
+            table = pa.table({"k": pa.array([r[0] for r in rows], pa.string()), "at": pa.array([r[1] for r in rows], pa.timestamp("us", "UTC")),
+                              "n": pa.array([r[2] for r in rows], pa.int32())})
+            path = f"{folder}/{rows[0][2]:03}.parquet"
+            pq.write_table(table, path)
+            os.utime(path, (1.7e9 + rows[0][2],) * 2)  # files arrive in the order of their times
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        X.stream_dedup_kept(source, ["k"], "at", "10 hours", out, state).awaitTermination()
+    fates, latest, held = collections.Counter(), None, {}
+    for rows in batches:
+        bound = latest and latest - 10 * hour
+        fresh = {}
+        for k, t, n in sorted((r for r in rows if r[1]), key=lambda r: r[1]):
+            alive = k in held and (bound is None or any(at + 10 * hour > bound for at in held[k]))
+            fate = "late" if bound and t <= bound else "copy" if alive or k in fresh else "kept"
+            if fate == "kept":
+                fresh[k] = t
+            fates[n, fate] += 1
+        fates[rows[0][2], "late"] += sum(r[1] is None for r in rows)
+        for k, t in fresh.items():
+            held.setdefault(k, []).append(t)
+        latest = max([r[1] for r in rows if r[1]] + [latest] * bool(latest))
+    got = {(r["n"], r["fate"]): r["count"] for r in spark.read.parquet(f"{out}/rows").groupBy("n", "fate").count().collect()}
+    assert got == +fates and {f for _, f in got} == {"kept", "copy", "late"}
+    total = spark.read.parquet(f"{out}/counts").where("batch = 101").first()
+    assert total["total_kept"] + total["total_copy"] + total["total_late"] == sum(map(len, batches))
+
+
+def test_chunks_are_replaced_and_hidden_until_finished(spark, tmp_path):
+    path, by = str(tmp_path / "out"), ["layer", "chunk"]
+    rows = K.with_chunks(spark.range(60).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("l"), (F.col("id") % 3).cast("string"))).alias("layer")), ["id"], 3)
+    rows = rows.fillna("none", ["layer"])
+    with pytest.raises(FileNotFoundError):
+        K.read_finished(spark, path, by)
+    calls = []
+
+    def compute(part):
+        calls.append(sorted({(r["layer"], r["chunk"]) for r in part.collect()}))
+        if len(calls) == 2:
+            part.limit(1).withColumn("v", F.lit(-1)).write.mode("append").partitionBy(*by).parquet(path)
+            raise InterruptedError
+        return part.where("id <> 9").withColumn("v", F.col("id").cast("int"))
+
+    with pytest.raises(InterruptedError):
+        K.finish_chunks(rows, path, compute, by, at_once=4)
+    early = K.read_finished(spark, path, by)
+    assert {(r["layer"], r["chunk"]) for r in early.collect()} == set(calls[0]) and early.where("v < 0").count() == 0
+    done = K.finish_chunks(rows, path, compute, by, at_once=4)
+    assert sorted((r["id"], r["v"]) for r in done.collect()) == [(i, i) for i in range(60) if i != 9]
+    assert len(calls) == 4 and calls[1] == calls[2]
+    K.finish_chunks(rows, path, compute, by, at_once=4)
+    assert len(calls) == 4
+
+
 def test_clean_and_subset_files(spark, tmp_path):
     folder = tmp_path / "in"
     _write_arrivals(folder)
