@@ -69,6 +69,29 @@ def pca_components(spark, folder):
     return rounded(scored.select("vec_id", F.size(scores).alias("n_components"), squares.alias("squares")), 5)
 
 
+# Three copies of one standardised column a (one with its sign changed) and another column b of correlation r. The
+# components are those of the matrix [[3, r * sqrt 3], [r * sqrt 3, 1]], which has a closed form.
+@query("pca_kept", """
+WITH z AS (SELECT vec_id,
+    (embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER ()) / stddev_pop(embedding[1]::DOUBLE) OVER () AS a,
+    (embedding[2]::DOUBLE - avg(embedding[2]::DOUBLE) OVER ()) / stddev_pop(embedding[2]::DOUBLE) OVER () AS b,
+    corr(embedding[1]::DOUBLE, embedding[2]::DOUBLE) OVER () AS r FROM embeddings),
+t AS (SELECT *, atan2(2 * sqrt(3) * r, 2) / 2 AS turn, (2 + sqrt(1 + 3 * r * r)) / 4 AS share FROM z)
+SELECT vec_id, CASE WHEN share > 0.7 THEN 1 ELSE 2 END AS kept, CASE WHEN share > 0.9 THEN 1 ELSE 2 END AS kept_most,
+  round(100 * share, 5) AS explained, round(pow(cos(turn) * sqrt(3) * a + sin(turn) * b, 2), 5) AS squares FROM t""")
+def pca_kept(spark, folder):
+    """As many components as explain more than 70 % and 90 %, and each row's squared scores on the former."""
+    rows, _ = D.vectors(spark, folder, 2)
+    names = ["c0", "c1", "c2", "c3"]
+    table = rows.select("vec_id", F.col("f0").alias("c0"), (-F.col("f0")).alias("c1"), F.col("f0").alias("c2"), F.col("f1").alias("c3"))
+    model, scored = _components(table, names)
+    kept, most = (M.components_for(model, share) for share in (0.7, 0.9))
+    scores = F.slice(vector_to_array("components"), 1, kept)
+    squares = F.aggregate(scores, F.lit(0.0), lambda total, v: total + v * v)
+    return rounded(scored.select("vec_id", F.lit(kept).alias("kept"), F.lit(most).alias("kept_most"),
+                                 F.lit(M.explained_percent(model, kept)).alias("explained"), squares.alias("squares")), 5)
+
+
 @query("pca_pair", """
 WITH z AS (SELECT vec_id,
     (embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER ()) / stddev_pop(embedding[1]::DOUBLE) OVER () AS a,

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.ml import PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel, SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,9 @@ from rillwork.functions import values as V
 from rillwork.operators.clean import drop_blank
 from rillwork.session import broadcast_if_small
 
+#: Rows of the sample that starts of k-means are drawn from.
+START_ROWS = 4096
+
 
 def feature_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with at least one of the features, missing ones as 0."""
@@ -105,26 +112,154 @@ def fit_kmeans(
     return best
 
 
+def _plus_plus(sample: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
+    """Starting centres, each drawn by its squared distance to those before; fewer than k if there are fewer points."""
+    centres = sample[random.integers(len(sample))][None, :]
+    while len(centres) < k:
+        far = ((sample[:, None, :] - centres[None, -1:, :]) ** 2).sum(axis=2).min(axis=1)
+        near = far if len(centres) == 1 else np.minimum(near, far)
+        if not near.sum() > 0:
+            break
+        centres = np.vstack([centres, sample[random.choice(len(sample), p=near / near.sum())]])
+    return centres
+
+
+def _assigned(arrays: DataFrame, models: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
+    """Rows, sums, squares and cost of every cluster of every model, all from one scan.
+
+    Each task adds up its rows; as many sums as there are centres pass on, whatever the number of rows.
+    """
+    sent = arrays.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.asarray(batch["x"].flatten()).reshape(batch.num_rows, -1)
+            squares = (rows * rows).sum(axis=1)
+            for number, centres in enumerate(sent.value):
+                distance = squares[:, None] - 2 * rows @ centres.T + (centres * centres).sum(axis=1)
+                own = distance.argmin(axis=1)
+                cost = np.maximum(distance[np.arange(len(rows)), own], 0)
+                for centre in np.unique(own):
+                    mine = own == centre
+                    sums = held.setdefault((number, int(centre)), [0, 0.0, 0.0, 0.0])
+                    for at, more in enumerate((int(mine.sum()), rows[mine].sum(axis=0), squares[mine].sum(), cost[mine].sum())):
+                        sums[at] = sums[at] + more
+        if held:
+            keys, values = list(held), list(zip(*held.values()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array(values[0], pa.int64()),
+                 pa.array([list(map(float, v)) for v in values[1]], pa.list_(pa.float64())), pa.array(values[2], pa.float64()), pa.array(values[3], pa.float64())],
+                ["model", "centre", "n", "total", "squares", "cost"])
+
+    parts = arrays.mapInArrow(run, "model int, centre int, n long, total array<double>, squares double, cost double")
+    sums = parts.groupBy("model", "centre").agg(
+        F.sum("n").alias("n"), Summarizer.sum(array_to_vector("total")).alias("total"), F.sum("squares").alias("squares"), F.sum("cost").alias("cost"))
+    out = [{"n": np.zeros(len(c), np.int64), "total": np.zeros(c.shape), "squares": np.zeros(len(c)), "cost": np.zeros(len(c))} for c in models]
+    for row in sums.collect():
+        for name in out[row["model"]]:
+            out[row["model"]][name][row["centre"]] = row[name].toArray() if name == "total" else row[name]
+    return out
+
+
+def shared_kmeans(
+    vectors: DataFrame, features: str, ks: Iterable[int], restarts: int = 10, seed: int = S.SEED, iterations: int = 20, tolerance: float = 1e-4
+) -> dict[int, tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """The best of several starts for each k: (centres, sums of their clusters). All models share each scan.
+
+    Starts are drawn from a sample of at most ``START_ROWS`` rows; every step of every model is over all rows. A model rests once
+    no centre moves by more than ``tolerance``. A cluster that loses its rows keeps its centre.
+    """
+    arrays = vectors.select(vector_to_array(F.col(features)).alias("x"))
+    sample = np.array([r["x"] for r in arrays.orderBy(F.rand(seed)).limit(START_ROWS).collect()])
+    if not len(sample):
+        raise ValueError("no rows to cluster")
+    names = [(k, start) for k in ks for start in range(restarts)]
+    models = [_plus_plus(sample, k, np.random.default_rng([seed, k, start])) for k, start in names]
+    moving = list(range(len(models)))
+    for _ in range(iterations):
+        sums = _assigned(arrays, [models[m] for m in moving])
+        still = []
+        for m, found in zip(moving, sums):
+            full = found["n"] > 0
+            centres = models[m].copy()
+            centres[full] = found["total"][full] / found["n"][full, None]
+            if (((centres - models[m]) ** 2).sum(axis=1) > tolerance**2).any():
+                still.append(m)
+            models[m] = centres
+        moving = still
+        if not moving:
+            break
+    best: dict[int, tuple[np.ndarray, dict[str, np.ndarray]]] = {}
+    for (k, _), centres, sums in zip(names, models, _assigned(arrays, models)):
+        if k not in best or sums["cost"].sum() < best[k][1]["cost"].sum():
+            best[k] = centres, sums
+    return best
+
+
+def shared_silhouettes(vectors: DataFrame, features: str, found: dict[int, tuple[np.ndarray, dict[str, np.ndarray]]]) -> dict[int, float]:
+    """Mean silhouette with squared Euclidean distance of each model, all from one scan; -1 for a single cluster."""
+    kept = {k: (centres, sums["n"], sums["total"], sums["squares"]) for k, (centres, sums) in found.items()}
+    sent = vectors.sparkSession.sparkContext.broadcast(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.asarray(batch["x"].flatten()).reshape(batch.num_rows, -1)
+            squares, at = (rows * rows).sum(axis=1), np.arange(batch.num_rows)
+            for k, (centres, n, total, inner) in sent.value.items():
+                own = ((centres * centres).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
+                size = np.maximum(n, 1)
+                apart = squares[:, None] + inner / size - 2 * rows @ (total / size[:, None]).T
+                near = apart[at, own] * size[own] / np.maximum(size[own] - 1, 1)
+                apart[:, n == 0] = np.inf
+                apart[at, own] = np.inf
+                other = apart.min(axis=1)
+                value = np.where(size[own] > 1, (other - near) / np.maximum(np.maximum(near, other), 1e-300), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([float(value.sum())])], ["k", "value"])
+
+    arrays = vectors.select(vector_to_array(F.col(features)).alias("x"))
+    several = {k: sums["n"] for k, (_, sums) in found.items() if (sums["n"] > 0).sum() > 1}
+    sums = {r["k"]: r["value"] for r in arrays.mapInArrow(run, "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).collect()}
+    return {k: float(sums[k] / several[k].sum()) if k in several else -1.0 for k in found}
+
+
 def best_k(
     vectors: DataFrame, features: str, ks: Iterable[int] = range(2, 9), restarts: int = 10
 ) -> tuple[int, dict[int, float]]:
-    """The k of highest silhouette (the first on a tie) and all scores."""
-    scores = {}
-    for k in ks:
-        model = fit_kmeans(vectors, k, features, restarts)
-        scores[k] = silhouette(model.transform(vectors), features)
+    """The k of highest silhouette (the first on a tie) and all scores; one scan serves all fits at once."""
+    scores = shared_silhouettes(vectors, features, shared_kmeans(vectors, features, ks, restarts))
     return max(scores, key=lambda k: scores[k]), scores
 
 
-def stable_labels(model: KMeansModel, column: str) -> SQLTransformer:
+class NearestCentre(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Stage that gives each row the number of its nearest centre, the first of equals."""
+
+    centres = Param(Params._dummy(), "centres", "coordinates of each centre", typeConverter=TypeConverters.identity)
+    features = Param(Params._dummy(), "features", "vector column", typeConverter=TypeConverters.toString)
+    out = Param(Params._dummy(), "out", "column of the cluster number", typeConverter=TypeConverters.toString)
+
+    def __init__(self, centres: list[list[float]] | None = None, features: str = "scores", out: str = "Cluster"):
+        super().__init__()
+        self._set(centres=centres or [], features=features, out=out)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self.getOrDefault("centres")])
+        row = vector_to_array(F.col(self.getOrDefault("features")))
+        far = F.transform(table, lambda c: F.aggregate(
+            F.zip_with(row, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, x: total + x))
+        return df.withColumn("_far", far).withColumn(
+            self.getOrDefault("out"), (F.array_position("_far", F.array_min("_far")) - 1).cast("int")).drop("_far")
+
+
+def centre_stage(found: tuple[np.ndarray, dict[str, np.ndarray]], features: str, out: str = "Cluster") -> NearestCentre:
     """Stage that numbers clusters by falling size, then by centre."""
-    centres = [tuple(c) for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: (-model.summary.clusterSizes[i], centres[i]))
-    new = {old: i for i, old in enumerate(order)}
-    cases = " ".join(f"WHEN {old} THEN {i}" for old, i in sorted(new.items()))
-    return SQLTransformer(
-        statement=f"SELECT * EXCEPT (`{column}`), CASE `{column}` {cases} END AS `{column}` FROM __THIS__"
-    )
+    centres, sizes = [tuple(map(float, c)) for c in found[0]], found[1]["n"]
+    order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i]))
+    return NearestCentre([list(centres[i]) for i in order], features, out)
 
 
 def fit_clusters(
@@ -132,13 +267,13 @@ def fit_clusters(
     columns: list[str],
     k: int | None = 4,
     size: int | None = 2,
-    restarts: int = 10,
+    restarts: int = 20,
     share: float = 0.9,
 ) -> PipelineModel:
     """Scaler, PCA, k-means and label order as one model that can be saved and applied.
 
     ``size=None`` keeps the components that explain more than ``share``; ``k=None`` picks k
-    in 2..8 by silhouette.
+    in 2..8 by silhouette (of ten starts each).
     """
     scaling = PipelineModel(scaling_stages(df, columns))
     vectors = scaling.transform(df).select("scaled").persist()
@@ -149,13 +284,13 @@ def fit_clusters(
         scores = slicer.transform(pca.transform(vectors)).select("scores").persist()
         try:
             if k is None:
-                k, _ = best_k(scores, "scores", restarts=restarts)
-            kmeans = fit_kmeans(scores, k, "scores", restarts)
+                k, _ = best_k(scores, "scores", restarts=min(restarts, 10))
+            found = shared_kmeans(scores, "scores", [k], restarts)[k]
         finally:
             scores.unpersist()
     finally:
         vectors.unpersist()
-    return PipelineModel([*scaling.stages, pca, slicer, kmeans, stable_labels(kmeans, "Cluster")])
+    return PipelineModel([*scaling.stages, pca, slicer, centre_stage(found, "scores")])
 
 
 def assign_clusters(df: DataFrame, columns: list[str], model: PipelineModel) -> DataFrame:

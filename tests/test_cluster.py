@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -51,6 +52,35 @@ def test_more_restarts_never_cost_more(spark, blobs):
     assert four <= one
 
 
+def test_all_models_of_one_scan_are_as_good_as_single_fits(spark, blobs):
+    columns = ["a", "b", "d"]
+    scaled = PipelineModel(M.scaling_stages(blobs, columns)).transform(M.feature_matrix(blobs, columns)).repartition(3)
+    found = M.shared_kmeans(scaled, "scaled", [2, 3, 5], restarts=4)
+    rows = np.array([r["scaled"].toArray() for r in scaled.collect()])
+    for k, (centres, sums) in found.items():
+        distance = ((rows[:, None, :] - centres[None]) ** 2).sum(axis=2)
+        own = distance.argmin(axis=1)
+        assert sums["n"].tolist() == np.bincount(own, minlength=k).tolist()
+        assert sums["cost"].sum() == pytest.approx(distance.min(axis=1).sum())
+        assert sums["cost"].sum() <= 1.05 * M.fit_kmeans(scaled, k, "scaled", restarts=4).summary.trainingCost
+        # No step of Lloyd's would move a centre any more.
+        assert all(np.allclose(rows[own == c].mean(axis=0), centres[c], atol=1e-3) for c in range(k))
+        labelled = M.centre_stage((centres, sums), "scaled").transform(scaled)
+        assert M.shared_silhouettes(scaled, "scaled", {k: (centres, sums)})[k] == pytest.approx(M.silhouette(labelled, "scaled"))
+    assert M.best_k(scaled, "scaled", [2, 3, 4], restarts=3)[0] == 3
+
+
+def test_fewer_points_than_clusters(spark):
+    rows = spark.createDataFrame([(1.0,), (1.0,), (5.0,)], "a double")
+    scaled = PipelineModel(M.scaling_stages(rows, ["a"])).transform(rows)
+    found = M.shared_kmeans(scaled, "scaled", [1, 4], restarts=2)
+    assert [len(found[k][0]) for k in (1, 4)] == [1, 2] and found[4][1]["cost"].sum() == pytest.approx(0)
+    scores = M.shared_silhouettes(scaled, "scaled", found)
+    assert scores[1] == -1.0 and scores[4] == pytest.approx(2 / 3)
+    with pytest.raises(ValueError):
+        M.shared_kmeans(scaled.limit(0), "scaled", [2])
+
+
 def test_components_reach_the_share(spark, blobs):
     columns = ["a", "b", "d"]
     scaled = PipelineModel(M.scaling_stages(blobs, columns)).transform(M.feature_matrix(blobs, columns))
