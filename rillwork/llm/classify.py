@@ -15,19 +15,19 @@ SAMPLE_BYTES = 24 << 20
 
 def learning_sample(rows: DataFrame, seed: str, max_rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> list:
     """At most ``max_rows`` rows (doc_id, text binary, label) that may be learned from, in the order
-    of a hash of their doc_id and cut where ``max_bytes`` of text are full.
+    of a hash of their doc_id; a text that does not fit into what is left of ``max_bytes`` is passed over.
 
     The bound is the documented one of a classifier's fit; everything else reads all rows.
     """
     usable = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("label").isNotNull())
-    usable = usable.where(~held_out(F.col("doc_id")))
+    # A text that can never fit does not use up the bound on rows.
+    usable = usable.where(~held_out(F.col("doc_id")) & (F.octet_length("text") <= max_bytes))
     key = F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))
     taken, size = [], 0
     for row in usable.withColumn("__key", key).orderBy("__key").limit(max_rows).drop("__key").toLocalIterator():
-        size += len(row["text"])
-        if taken and size > max_bytes:
-            break
-        taken.append((row["doc_id"], bytes(row["text"]), row["label"]))
+        if size + len(row["text"]) <= max_bytes:
+            size += len(row["text"])
+            taken.append((row["doc_id"], bytes(row["text"]), row["label"]))
     return taken
 
 

@@ -1,6 +1,6 @@
 """DuckDB SQL that gives the rows of the queries straight from their definition."""
 
-from rillwork.llm.mixing import FLATTEN, MARGINS, NONE, OTHER, RATE, ROUNDS, TOPICS
+from rillwork.llm.mixing import FLATTEN, MARGINS, MOST_ROUNDS, NONE, OTHER, RATE, ROUNDS, STORE_EVERY, TOLERANCE, TOPICS
 
 # Characters that count as white space, and the letters that are lower-cased.
 BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -201,7 +201,7 @@ def _mixing() -> str:
     topic = f"CASE WHEN {most} = 0 THEN '{OTHER}' " + "".join(
         f"WHEN {c} = {most} THEN '{name}' " for name, c in counts.items()) + "END"
     steps = [f"""
-WITH doc AS (
+WITH RECURSIVE doc AS (
   SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, {topic} AS topic,
     len({_PLAIN}) AS tokens,
     CAST('0x' || substr(md5('mix:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
@@ -212,20 +212,24 @@ total AS (SELECT sum(tokens) AS t FROM cell)"""]
         steps.append(f"""
 {m}_power AS (SELECT {m}, pow(sum(tokens), {FLATTEN}) AS p FROM cell GROUP BY {m}),
 {m}_goal AS (SELECT {m}, t * p / (SELECT sum(p) FROM {m}_power) AS goal FROM {m}_power, total)""")
-    last = "cell_0"
-    steps.append("\ncell_0 AS (SELECT *, tokens AS raked FROM cell)")
-    for at in range(ROUNDS):
-        for m in MARGINS:
-            name = f"cell_{at}_{m}"
-            steps.append(f"""
-{name} AS MATERIALIZED (
-  SELECT source, lang, topic, tokens,
-    coalesce(raked * goal / nullif(sum(raked) OVER (PARTITION BY {m}), 0), 0) AS raked
-  FROM {last} JOIN {m}_goal USING ({m}))""")
-            last = name
+    goals = ", ".join(f"{m}_goal.goal AS {m}_goal" for m in MARGINS)
+    joins = " ".join(f"JOIN {m}_goal USING ({m})" for m in MARGINS)
+    kept = "source, lang, topic, tokens, " + ", ".join(f"{m}_goal" for m in MARGINS)
+    inner = "(SELECT * FROM round WHERE NOT done)"
+    for m in MARGINS:
+        inner = f"""(
+      SELECT nth, done, {kept}, coalesce(raked * {m}_goal / nullif(sum(raked) OVER (PARTITION BY {m}), 0), 0) AS raked FROM {inner})"""
+    off = ", ".join(f"abs(sum(raked) OVER (PARTITION BY {m}) - {m}_goal) / {m}_goal" for m in MARGINS)
+    # Round after round until the margins hold, looked at as often as the operator does.
+    steps.append(f"""
+round AS (
+  SELECT 0 AS nth, false AS done, source, lang, topic, tokens, {goals}, tokens AS raked FROM cell {joins}
+  UNION ALL
+  SELECT nth + 1, nth + 1 >= {MOST_ROUNDS} OR (nth + 1 >= {ROUNDS} AND (nth + 1) % {STORE_EVERY} = 0 AND max(off) OVER () <= {TOLERANCE}), {kept}, raked
+  FROM (SELECT *, greatest({off}) AS off FROM {inner}))""")
     steps.append(f"""
 chance AS (
-  SELECT source, lang, topic, {RATE} * coalesce(raked / nullif(tokens, 0), 0) AS times FROM {last})""")
+  SELECT source, lang, topic, {RATE} * coalesce(raked / nullif(tokens, 0), 0) AS times FROM round WHERE done)""")
     return ",".join(steps) + """
 SELECT doc_id, source, lang, topic, tokens, round(least(1.0::DOUBLE, times), 6) AS probability,
   round(greatest(1.0::DOUBLE, times), 6) AS weight, draw < times AS sampled

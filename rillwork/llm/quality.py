@@ -115,7 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS, max_b
     """Fit on rows of ``docs`` whose doc_id has a quality label and is not held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     marks = marks.where("label in (0, 1) and doc_id is not null")
-    # The bound is applied to the labels, which are small rows, before any text is fetched.
+    # The bound is applied to the labels, which are small rows, before any text is fetched; labels of absent documents do not count.
+    present = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    marks = marks.join(present, "doc_id", "left_semi")
     key = F.md5(F.concat(F.lit("quality"), F.col("doc_id").cast("string")))
     marks = marks.where(~held_out(F.col("doc_id"))).orderBy(key).limit(max_rows)
     return fit(learning_sample(texts_of(docs).join(F.broadcast(marks), "doc_id"), "quality", max_rows, max_bytes))

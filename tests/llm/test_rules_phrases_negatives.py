@@ -10,6 +10,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
+from rillwork.llm import classify, quality
 from rillwork.llm import collocations as C
 from rillwork.llm import hard_negatives as H
 from rillwork.llm import quality_rules as Q
@@ -205,3 +206,17 @@ def test_negatives_of_empty_and_too_large_tables(spark):
     assert H.hard_negatives_report(spark.createDataFrame([(100, [1.0], 1)], schema)).count() == 0
     with pytest.raises(Exception, match="64 bits"):
         H.hard_negatives_report(spark.createDataFrame([(100, [1e18], 1), (1, [1.0], 1)], schema)).count()
+
+
+def test_learning_sample_passes_over_what_does_not_fit(spark):
+    """A huge text that comes first by its hash, and labels of documents that are not there."""
+    texts = ["x" * 5000] * 6 + [f"good text {n}" for n in range(40)] + ["y" * 300] * 3
+    rows = plain.table(spark, texts).withColumn("label", (F.col("doc_id") % 2).cast("int")).withColumn("text", F.col("text").cast("binary"))
+    taken = classify.learning_sample(rows.select("doc_id", "text", "label"), "s", 1000, 1000)
+    sizes = [len(t) for _, t, _ in taken]
+    assert sum(sizes) <= 1000 and 5000 not in sizes and {label for *_, label in taken} == {0, 1} and len(taken) >= 20
+    labels = spark.createDataFrame([(n, n % 2) for n in range(4000)], "doc_id long, quality int")
+    docs = plain.table(spark, ["bad " * 60 if n % 2 == 0 else f"fine words of number {n} " * 9 for n in range(400)], range(3600, 4000))
+    model = quality.train(docs, labels, max_rows=100)
+    scores = [model.score(t) for t in (b"bad " * 60, b"fine words of number 5 " * 9)]
+    assert scores[0] < 0.3 < 0.7 < scores[1]
