@@ -18,7 +18,7 @@ every tree. A first bound for a block comes from a bounded sample of entries.
 * Vectors that are null or hold null or non-finite components take no part; only vectors of equal
   length are compared. Rows without a vec_id take no part.
 * Ties go to the smaller vec_id. Rows that repeat both id and vector count once.
-* Components must be small enough for scores to fit a 64-bit integer.
+* A vector so long that scores might not fit 64 bits is an error, never a wrong number.
 """
 
 from __future__ import annotations
@@ -55,7 +55,10 @@ def quantise(rows: DataFrame, keep: int) -> DataFrame:
                 continue
             values = np.asarray(values, np.float64)
             if np.isfinite(values).all():
-                held.setdefault(np.floor(SCALE * values).astype(np.int64).tobytes(), set()).add(vec_id)
+                scaled = np.floor(SCALE * values)
+                if not float(scaled @ scaled) < 2.0**63:
+                    raise OverflowError("a vector is too long for scores of 64 bits")
+                held.setdefault(scaled.astype(np.int64).tobytes(), set()).add(vec_id)
         ids = [sorted(v)[:keep] for v in held.values()]
         return pa.RecordBatch.from_arrays(
             [pa.array(list(held), pa.binary()), pa.array(ids, pa.list_(pa.int64()))], ["vector", "ids"])
@@ -78,6 +81,8 @@ class MTree:
         x = vectors.astype(np.float64)
         norms = (x * x).sum(axis=1)
         self.top = float(norms.max())
+        # Largest component of a query up to which doubles hold all partial sums of a product.
+        self.exact = int(2**53 // max(1, np.abs(vectors).max(initial=0) * max(1, vectors.shape[1])))
         self.points = np.c_[x, np.sqrt(np.maximum(self.top - norms, 0))]
         self.random = np.random.default_rng(seed)
         # A page: routing vector, covering radius, children (pages) or entries, their parent distances.
@@ -115,47 +120,82 @@ class MTree:
             groups = np.array_split(members[np.argsort(self.points[members] @ hubs[0])], fan)
         return self._page(members, np.array([self._build(g) for g in groups]))
 
-    def nearest(self, query: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """(score, entry) of all entries that can be among the k best; ``floor`` is a score that k
-        entries are known to reach."""
-        length = float((query.astype(np.float64) ** 2).sum()) + self.top
-        margin = 1e-9 * (length + 1)
-        scores: list[int] = []  # a heap of the k best so far
-        found: list[tuple[int, int]] = []
-        q = np.r_[query.astype(np.float64), 0.0]
-        # Farthest distance that still matters, from the k-th score.
-        limit = np.sqrt(max(length - 2 * floor, 0) + margin)
-        first = float(np.sqrt(((q - self.routing[self.root]) ** 2).sum()))
-        waiting = [(max(0.0, first - self.radius[self.root]), self.root, first)]
+    def _apart(self, queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """Distances between queries and points; rounding is covered by the margins of the bounds."""
+        squares = (queries * queries).sum(axis=1)[:, None] - 2 * queries @ points.T + (points * points).sum(axis=1)
+        return np.sqrt(np.maximum(squares, 0))
+
+    def _leaves(self, queries: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(page, nearest possible distance, distance to its routing vector) of leaf pages for each query: from the root
+        downwards, a page's children are looked at for those queries only that its bound or the parent distance leaves."""
+        count = len(self.routing)
+        low, own = np.full((len(queries), count), np.inf), np.zeros((len(queries), count))
+        first = self._apart(queries, self.routing[self.root][None, :])[:, 0]
+        own[:, self.root], low[:, self.root] = first, np.maximum(first - self.radius[self.root], 0)
+        waiting = [self.root]
         while waiting:
-            nearest, page, own = heapq.heappop(waiting)
-            if nearest > limit + margin**0.5:
-                break
-            open_ = np.abs(own - self.parent_distance[page])
-            if self.children[page] is not None:
-                children = self.children[page]
-                radii = np.array([self.radius[c] for c in children])
-                kept = children[open_ - radii <= limit + margin**0.5]
-                if len(kept):
-                    hubs = np.stack([self.routing[c] for c in kept])
-                    for child, d in zip(kept, np.sqrt(((hubs - q) ** 2).sum(axis=1))):
-                        low = float(d) - self.radius[child]
-                        if low <= limit + margin**0.5:
-                            heapq.heappush(waiting, (max(0.0, low), int(child), float(d)))
+            page = waiting.pop()
+            if self.children[page] is None:
                 continue
-            members = self.entries[page][open_ <= limit + margin**0.5]
-            for entry, score in zip(members.tolist(), (self.vectors[members] @ query).tolist()):
-                if len(scores) == k and score < scores[0]:
+            asking = np.flatnonzero(low[:, page] <= limit)
+            children = self.children[page]
+            radii = np.array([self.radius[c] for c in children])
+            near = np.abs(own[asking, page][:, None] - self.parent_distance[page]) - radii <= limit[asking, None]
+            asking, near = asking[near.any(axis=1)], near[near.any(axis=1)]
+            if len(asking):
+                apart = self._apart(queries[asking], np.stack([self.routing[c] for c in children]))
+                own[np.ix_(asking, children)] = apart
+                low[np.ix_(asking, children)] = np.where(near, np.maximum(np.maximum(apart - radii, low[asking, page][:, None]), 0), np.inf)
+                waiting.extend(children.tolist())
+        leaves = np.array([p for p in range(count) if self.children[p] is None])
+        return leaves, low[:, leaves], own[:, leaves]
+
+    def nearest(self, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, score, entry) arrays of all entries that can be among the k best of each query; ``floors`` are scores that k
+        entries are known to reach.
+
+        Best-first for all queries at once: in each round a query visits the nearest page that it has not seen, and
+        those that visit the same page share one product. A query rests when its next page cannot hold anything better.
+        """
+        asked = queries.astype(np.float64)
+        length = (asked * asked).sum(axis=1) + self.top
+        margin = 1e-9 * (length + 1)
+        slack = np.sqrt(margin) + 1e-6 * np.sqrt(length + 1)
+        extended = np.c_[asked, np.zeros(len(asked))]
+        reach = lambda worst: np.sqrt(np.maximum(length - 2 * worst, 0) + margin) + slack
+        best = np.full((len(asked), k), -np.inf)  # the k best scores so far
+        worst = np.array(floors, np.float64)
+        leaves, low, own = self._leaves(extended, reach(worst))
+        order = np.argsort(low, axis=1, kind="stable")
+        out = []
+        open_ = np.arange(len(asked))
+        for visit in range(len(leaves)):
+            page = order[open_, visit]
+            going = low[open_, page] <= reach(worst)[open_]
+            open_, page = open_[going], page[going]
+            if not len(open_):
+                break
+            for at in np.unique(page):
+                mine = open_[page == at]
+                members = self.entries[leaves[at]]
+                far = np.abs(own[mine, at][:, None] - self.parent_distance[leaves[at]]) > reach(worst)[mine, None]
+                used = ~far.all(axis=0)
+                if not used.any():
                     continue
-                found.append((score, entry))
-                if len(scores) < k:
-                    heapq.heappush(scores, score)
-                else:
-                    heapq.heappushpop(scores, score)
-                if len(scores) == k:
-                    limit = min(limit, np.sqrt(max(length - 2 * scores[0], 0) + margin))
-        low = scores[0] if len(scores) == k else None
-        return [(s, e) for s, e in found if low is None or s >= low]
+                members = members[used]
+                scores = self._scores(queries[mine], members)
+                row, column = np.nonzero(scores >= worst[mine, None])
+                out.append((mine[row], scores[row, column], members[column]))
+                both = np.concatenate([best[mine], scores.astype(np.float64)], axis=1)
+                best[mine] = -np.partition(-both, k - 1, axis=1)[:, :k]
+                worst[mine] = np.maximum(worst[mine], best[mine].min(axis=1))
+        return [(q[keep], s[keep], e[keep]) for q, s, e in out if (keep := s >= worst[q]).any()]
+
+    def _scores(self, queries: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Exact integer products: in doubles while they hold every sum, else in 64-bit integers."""
+        if self.exact and np.abs(queries).max(initial=0) <= self.exact:
+            return (queries.astype(np.float64) @ self.points[members, :-1].T).astype(np.int64)
+        return queries @ self.vectors[members].T
 
 
 def build_index(distinct: DataFrame) -> DataFrame:
@@ -212,12 +252,19 @@ def search_block(index: DataFrame, queries: list[bytes], k: int) -> DataFrame:
         ids = rows["ids"].tolist()
         tree = MTree(_integers(rows["vector"].tolist())) if size else None
         out: list[tuple] = []
-        for query, floor in zip(queries, floors):
-            if len(query) != size:
-                continue
-            best = tree.nearest(np.frombuffer(query, np.int64), k, floor) if tree else [(0, e) for e in range(len(ids))]
-            entries = sorted((-score, int(i)) for score, e in best for i in ids[e])[:k]
-            out.extend((query, i, -score) for score, i in entries)
+        asked = [(query, floor) for query, floor in zip(queries, floors) if len(query) == size]
+        if not asked:
+            return pd.DataFrame(out, columns=["query", "vec_id", "score"])
+        found: list[list[tuple[int, int]]] = [[] for _ in asked]
+        if tree:
+            vectors = _integers([query for query, _ in asked])
+            for q, scores, entries in tree.nearest(vectors, k, np.array([floor for _, floor in asked])):
+                for at, score, entry in zip(q.tolist(), scores.tolist(), entries.tolist()):
+                    found[at].extend((-score, int(i)) for i in ids[entry])
+        else:
+            found = [[(0, int(i)) for own in ids for i in own]]
+        for (query, _), own in zip(asked, found):
+            out.extend((query, i, -score) for score, i in sorted(own)[:k])
         return pd.DataFrame(out, columns=["query", "vec_id", "score"])
 
     return index.groupBy("tree").applyInPandas(run, "query binary, vec_id long, score long")

@@ -10,10 +10,11 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.llm import classify, quality
+from rillwork.llm import classify, quality, vector_search
 from rillwork.llm import collocations as C
 from rillwork.llm import hard_negatives as H
 from rillwork.llm import quality_rules as Q
+from rillwork.llm.vector_search import top_k_report
 
 
 def base_measures(text):
@@ -220,3 +221,38 @@ def test_learning_sample_passes_over_what_does_not_fit(spark):
     model = quality.train(docs, labels, max_rows=100)
     scores = [model.score(t) for t in (b"bad " * 60, b"fine words of number 5 " * 9)]
     assert scores[0] < 0.3 < 0.7 < scores[1]
+
+
+def test_search_with_large_components(spark):
+    """Scores beyond the reach of doubles are exact, those beyond 64 bits an error."""
+    draw = random.Random(8)
+    rows = [(n, [draw.choice([-1, 1]) * draw.uniform(1e4, 2e6) for _ in range(6)]) for n in range(220)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int").repartition(3)
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    expected = []
+    for i, v in whole:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if j != i)
+            expected += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored[:5], 1)]
+    assert max(s for *_, s in expected) > 2**53
+    assert plain.rows(top_k_report(df)) == sorted(expected, key=repr)
+    with pytest.raises(Exception, match="64 bits"):
+        top_k_report(spark.createDataFrame([(0, [1e18], 0), (1, [1.0], 0)], "vec_id long, embedding array<double>, label int")).count()
+
+
+def test_batched_search_visits_few_pages():
+    """In clustered data the bounds leave out most pages, and the answers are those of all products."""
+    random_ = np.random.default_rng(4)
+    centres = random_.integers(-300, 300, (40, 16))
+    data = np.unique(np.concatenate([c + random_.integers(-4, 5, (100, 16)) for c in centres]), axis=0)
+    asked = data[::97]
+    tree, products = vector_search.MTree(data), []
+    plain_scores = tree._scores
+    tree._scores = lambda queries, members: products.append(len(queries) * len(members)) or plain_scores(queries, members)
+    found = [[] for _ in asked]
+    for q, scores, entries in tree.nearest(asked, 4, np.full(len(asked), -np.inf)):
+        for at, score in zip(q.tolist(), scores.tolist()):
+            found[at].append(score)
+    every = asked @ data.T
+    assert [sorted(f)[-4:] for f in found] == np.sort(every, axis=1)[:, -4:].tolist()
+    assert sum(products) < 0.5 * every.size
