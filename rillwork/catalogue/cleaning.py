@@ -213,6 +213,14 @@ def keyword_rows(spark, folder):
     return hits.select("doc_id", "n_chars")
 
 
+@query("keyword_columns", """
+SELECT p_partkey, p_name FROM part WHERE regexp_matches(concat_ws(' ', p_name, p_type), '(?i)\\b(promo|blue|13|rod)\\b')""")
+def keyword_columns(spark, folder):
+    """Rows with a listed word in the columns whose names say that they hold text: name and type, not brand."""
+    hits = C.filter_text_any(D.table(spark, folder, "part"), words=["promo", "blue", "13", "rod"])
+    return hits.select("p_partkey", "p_name")
+
+
 @query("keyword_pages", """
 SELECT page_id, url FROM pages WHERE regexp_matches(concat_ws(' ', url, html), '(?i)\\b(nav|footer|http)\\b')""")
 def keyword_pages(spark, folder):

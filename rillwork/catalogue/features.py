@@ -164,6 +164,18 @@ def corr_matrix(spark, folder):
     return rounded(P.corr_matrix(D.treatment(spark, folder), CORRELATED))
 
 
+@query("corr_wide", """
+WITH e AS (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings),
+v AS (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM e WHERE (vec_id + i) % 7 <> 0)
+SELECT 'f' || (a.i - 1) AS a, 'f' || (b.i - 1) AS b, round(corr(a.x, b.x), 6) AS r
+FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i""")
+def corr_wide(spark, folder):
+    """All pairs of the 64 embedding columns, each with gaps of its own."""
+    rows, names = D.vectors(spark, folder, 64)
+    gaps = rows.select(*[F.when((F.col("vec_id") + at + 1) % 7 != 0, F.col(n)).alias(n) for at, n in enumerate(names)])
+    return rounded(P.corr_wide(gaps, names))
+
+
 @query("histogram", """
 WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
 b AS (SELECT least(CAST(floor((l_extendedprice - lo) * 12 / (hi - lo)) AS BIGINT), 11) AS bin FROM lineitem, s),

@@ -96,14 +96,18 @@ def keep_values(df: DataFrame, column: str, allowed: list) -> DataFrame:
     return df.where(V.ref(column).isin(allowed))
 
 
-def filter_text_any(df: DataFrame, columns: list[str], words: list[str] = S.LAYER_WORDS) -> DataFrame:
-    """Rows whose text columns hold one of the words, on word boundaries, any case."""
+def filter_text_any(df: DataFrame, columns: list[str] | None = None, words: list[str] = S.LAYER_WORDS) -> DataFrame:
+    """Rows whose text columns hold one of the words, on word boundaries, any case.
+
+    Without given columns those are read whose name tells that they hold text (``text_columns``); if there are none, no row is kept.
+    """
+    columns = text_columns(df.columns) if columns is None else columns
     text = F.concat_ws(" ", *[V.ref(c).cast("string") for c in columns])
     return df.where(text.rlike(r"(?i)\b(" + "|".join(words) + r")\b"))
 
 
 def text_columns(columns: list[str], tokens: list[str] = S.LAYER_TEXT_TOKENS) -> list[str]:
-    """The columns whose name holds one of the tokens, any case: those that ``keyword_rows`` should read."""
+    """The columns whose name holds one of the tokens, any case: those that ``filter_text_any`` reads by itself."""
     return [c for c in columns if any(t.lower() in c.lower() for t in tokens)]
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,6 +120,44 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return _rows(values.agg(*both), cells)
 
 
+def corr_wide(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``corr_matrix`` for many columns: (a, b, r) of all pairs from products of whole blocks of rows.
+
+    A block of rows gives sums of all pairs as products of its values and of the mask of what is present, so the plan has
+    the same size for any number of columns. Tasks pass on one row of sums per column.
+    """
+    values = df.select(*[V.numeric(df, c).alias(c) for c in columns])
+    centre = values.agg(*[F.coalesce(F.avg(V.ref(c)), F.lit(0.0)).alias(str(i)) for i, c in enumerate(columns)]).first()
+    means, width = [float(m) for m in centre], len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, 6, width))
+        for batch in batches:
+            rows = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in batch.columns])
+            there = ~np.isnan(rows)
+            rows, mask = np.where(there, rows - means, 0.0), there.astype(np.float64)
+            squares = rows * rows
+            for at, (left, right) in enumerate(((mask, mask), (rows, mask), (mask, rows), (squares, mask), (mask, squares), (rows, rows))):
+                total[:, at, :] += left.T @ right
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(width), pa.int32()), pa.array(total.reshape(width, -1).tolist(), pa.list_(pa.float64()))], ["i", "sums"])
+
+    parts = values.mapInArrow(run, "i int, sums array<double>")
+    sums = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    pairs = sums.where(F.col("i") < width - 1).select("i", "sums", F.explode(F.sequence(F.col("i") + 1, F.lit(width - 1))).alias("j"))
+    n, x, y, xx, yy, xy = (F.get("sums", F.col("j") + at * width) for at in range(6))
+    name = lambda at: F.get(F.array(*[F.lit(c) for c in columns]), at)
+    mean = lambda at: F.get(F.array(*[F.lit(m) for m in means]), at)
+
+    def spread(squares: Column, total: Column, at: Column) -> Column:
+        left = squares - F.try_divide(total * total, n)
+        # What rounding leaves of a constant column is no spread.
+        return F.when(left > 1e-20 * n * mean(at) * mean(at), left)
+
+    r = (xy - F.try_divide(x * y, n)) / F.sqrt(spread(xx, x, F.col("i")) * spread(yy, y, F.col("j")))
+    return pairs.select(name(F.col("i")).alias("a"), name(F.col("j")).alias("b"), r.alias("r"))
+
+
 def group_counts(df: DataFrame, keys: list[str], limit: int | None = None, fill: str | None = None) -> DataFrame:
     """Rows per key combination, largest first. NULL keys are left out, or named by ``fill``."""
     columns = [V.ref(k) if fill is None else F.coalesce(V.ref(k), F.lit(fill)).alias(k) for k in keys]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import warnings
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,25 +148,44 @@ def analyte_of_path(path: Column) -> Column:
     return V.title_parts(F.regexp_extract(path, r"([^/=]+)_latest\.csv", 1))
 
 
+def files_by_header(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The first line of every file and the files that begin with it, from one scan of all of them.
+
+    A file without text has no entry. One row per file passes the driver, as the list of paths does.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("line"))
+    first = lines.where((F.col("block") == 0) & (F.trim("line") != "")).groupBy("file").agg(F.min_by("line", "at").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect():
+        found[row["header"]] = [unquote(file) for file in row["files"]]
+    return found
+
+
 def read_latest(
     spark: SparkSession, folder: str, columns: list[str] = LATEST_COLUMNS, huc: str = "HUC12"
 ) -> DataFrame:
     """All ``<analyte>_latest.csv`` files as one table, the analyte taken from the file name.
 
-    Columns go by each file's header; a file without site or value is skipped. Watershed codes
-    stay text, so leading zeros survive.
+    Columns go by each file's header; files of one header are read together, so there are as many scans as headers,
+    however many files. A file without site or value is skipped. Watershed codes stay text, so leading zeros survive.
     """
     paths = list_paths(spark, f"{folder.rstrip('/')}/*_latest.csv")
     if not paths:
         raise FileNotFoundError(f"no *_latest.csv in {folder}")
     tables = []
-    for path in paths:
-        table = read_csv(spark, path)
-        if S.SITE in table.columns and S.VALUE in table.columns:
-            picked = [V.ref(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in columns]
-            tables.append(table.select(*picked, analyte_of_path(F.lit(path)).alias(S.ANALYTE)))
-        else:
-            warnings.warn(f"{path} has no site or value column and is skipped", stacklevel=2)
+    for header, files in files_by_header(spark, paths).items():
+        names = next(csv.reader([header]), [])
+        if S.SITE not in names or S.VALUE not in names:
+            warnings.warn(f"{', '.join(files[:10])} have no site or value column and are skipped ({len(files)} files)", stacklevel=2)
+            continue
+        # By place, so that names that repeat in a header do no harm.
+        places = T.StructType([T.StructField(f"_c{at}", T.StringType()) for at in range(len(names))])
+        table = _csv(spark.read).schema(places).csv(files)
+        picked = [F.col(f"_c{names.index(c)}").alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in columns]
+        path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        tables.append(table.select(*picked, analyte_of_path(path).alias(S.ANALYTE)))
     if not tables:
         raise ValueError(f"no usable *_latest.csv in {folder}")
     table = union_by_name(tables)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillwork import schema as S
+from rillwork.operators import clean as C
 from rillwork.operators import features as A
 from rillwork.operators import health as H
 from rillwork.operators import profile as P
@@ -175,3 +176,25 @@ def test_missing_input_column_is_an_error(spark):
 def test_histogram_of_a_constant(spark):
     rows = spark.createDataFrame([(2.0,), (2.0,), (None,)], "v double")
     assert [r["count"] for r in P.histogram(rows, "v", 3).orderBy("bin").collect()] == [2, 0, 0]
+
+
+def test_wide_correlation_equals_the_narrow_one(spark):
+    """Gaps, a column without spread, one that is never there, and one that shares a single row with the others."""
+    draw = random.Random(6)
+    rows = [(draw.choice([None, 1e6 + draw.random()]), draw.gauss(0, 1), 0.5, None, 5.0 if n == 3 else None, n * 0.5 if n % 3 else None) for n in range(90)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, `f g` double").repartition(4)
+    names = df.columns
+    narrow = {(r["a"], r["b"]): r["r"] for r in P.corr_matrix(df, names).collect()}
+    wide = {(r["a"], r["b"]): r["r"] for r in P.corr_wide(df, names).collect()}
+    assert wide.keys() == narrow.keys() and len(wide) == 15
+    for pair, r in narrow.items():
+        assert (wide[pair] is None) == (r is None) and (r is None or wide[pair] == pytest.approx(r, abs=1e-9)), pair
+    plan = [len(P.corr_wide(spark.range(3).select(*[F.col("id").alias(f"x{i}") for i in range(n)]), [f"x{i}" for i in range(n)])._jdf.queryExecution().optimizedPlan().toString()) for n in (20, 40)]
+    assert plan[1] < 2.5 * plan[0]
+    assert P.corr_wide(df.limit(0), names).where("r is not null").count() == 0
+
+
+def test_text_columns_are_found_by_name(spark):
+    df = spark.createDataFrame([(1, "acid mine", "x"), (2, "clean", "acid")], "id int, problem_desc string, other string")
+    assert [r["id"] for r in C.filter_text_any(df, words=["acid"]).collect()] == [1]
+    assert C.filter_text_any(df.drop("problem_desc"), words=["acid"]).count() == 0
