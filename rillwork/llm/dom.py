@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -48,6 +49,7 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("root", -1, frozenset())]
         self.open: list[tuple[str, int]] = [("root", 0)]  # every open element and its block
+        self.places: dict[str, list[int]] = defaultdict(list)  # where in ``open`` the elements of a tag stand
         self.held: list[str] = []
         self.hidden = 0  # open elements that are not shown
         self.in_link = 0
@@ -62,7 +64,15 @@ class Blocks(HTMLParser):
             self._flush()
             tag, at = self.open[-1]
             self.nodes.append(Node("body", at, frozenset({"tag=body", f"in={tag}"})))
-            self.open.append(("body", len(self.nodes) - 1))
+            self._push("body", len(self.nodes) - 1)
+
+    def _push(self, tag: str, node: int) -> None:
+        self.places[tag].append(len(self.open))
+        self.open.append((tag, node))
+
+    def _last(self, tags: set | frozenset) -> int:
+        """Place of the innermost open element of these tags, 0 if there is none. No search: deep pages stay cheap."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
 
     def _block(self) -> Node:
         """The block that text belongs to."""
@@ -89,16 +99,13 @@ class Blocks(HTMLParser):
         for tag, _ in self.open[at:]:
             self.hidden -= tag in UNSEEN
             self.in_link -= tag == "a"
+            self.places[tag].pop()
         del self.open[at:]
 
     def _end_within_scope(self, tags: set | frozenset, scope: frozenset) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            tag = self.open[at][0]
-            if tag in tags:
-                self._pop(at)
-                return
-            if tag in scope:
-                return
+        at = self._last(tags)
+        if at and at >= self._last(scope):
+            self._pop(at)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "head", "body"):
@@ -122,7 +129,7 @@ class Blocks(HTMLParser):
             self._end_within_scope({"head"}, frozenset())
         if tag in INLINE:
             self.in_link += tag == "a"
-            self.open.append((tag, self.open[-1][1]))
+            self._push(tag, self.open[-1][1])
             return
         self._flush()
         values = {k: v or "" for k, v in attrs}
@@ -135,7 +142,7 @@ class Blocks(HTMLParser):
         label = int(values["data-content"]) if values.get("data-content") in ("0", "1") else None
         self.nodes.append(Node(tag, self.open[-1][1], frozenset(names), label))
         self.hidden += tag in UNSEEN
-        self.open.append((tag, len(self.nodes) - 1))
+        self._push(tag, len(self.nodes) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -145,12 +152,9 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                return
-            if tag in INLINE and self.open[at][0] in SCOPE:
-                return
+        at = self._last({tag})
+        if at and (tag not in INLINE or at > self._last(SCOPE)):
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
         shown = len(data.strip().strip("\ufeff"))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from rillwork.llm import classify, quality, vector_search
+from rillwork.llm import classify, dom, quality, vector_search
 from rillwork.llm import collocations as C
 from rillwork.llm import hard_negatives as H
 from rillwork.llm import quality_rules as Q
@@ -256,3 +257,43 @@ def test_batched_search_visits_few_pages():
     every = asked @ data.T
     assert [sorted(f)[-4:] for f in found] == np.sort(every, axis=1)[:, -4:].tolist()
     assert sum(products) < 0.5 * every.size
+
+
+def test_deep_and_unmatched_tags_take_linear_time():
+    """Two hundred thousand tags that nest, or close what is not open, or close inline elements across blocks."""
+    pages = ["<div>" * 100_000 + "x" + "</section>" * 100_000, "<p><b>" * 50_000 + "</q>" * 50_000 + "y", "<td><b>" + "<div>" * 100_000 + "</b>" * 100_000 + "z"]
+    start = time.process_time()
+    found = [[t for node in dom.parse(page) for _, t in node.text] for page in pages]
+    assert found == [["x"], ["y"], ["z"]]
+    assert time.process_time() - start < 15
+
+
+def test_end_tags_close_what_they_closed_before():
+    draw = random.Random(12)
+    tags = ["div", "p", "b", "a", "li", "ul", "td", "tr", "table", "section", "q", "h1", "script", "body", "html"]
+    for _ in range(300):
+        page = "".join(draw.choice([f"<{t}>", f"</{t}>", f"w{n} "]) for n, t in enumerate(draw.choices(tags, k=30)))
+        assert [(n.tag, n.parent, n.text) for n in dom.parse(page)] == [(n.tag, n.parent, n.text) for n in searched(page)], page
+
+
+def searched(page):
+    """The same tree, with the open elements searched from the innermost outwards."""
+
+    class Searching(dom.Blocks):
+        def _end_within_scope(self, tags, scope):
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.open[at][0] in tags:
+                    return self._pop(at)
+                if self.open[at][0] in scope:
+                    return None
+
+        def handle_endtag(self, tag):
+            for at in range(len(self.open) - 1, 0, -1) if tag not in dom.VOID else ():
+                if self.open[at][0] == tag:
+                    return self._pop(at)
+                if tag in dom.INLINE and self.open[at][0] in dom.SCOPE:
+                    return None
+
+    blocks = Searching()
+    blocks.feed(page)
+    return blocks.finish()
