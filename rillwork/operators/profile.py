@@ -111,8 +111,10 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     for i, (a, b) in enumerate(pairs):
         # ``corr`` fails on a column without spread, so it is put together from its parts.
         x, y = F.when(V.ref(b).isNotNull(), V.ref(a)), F.when(V.ref(a).isNotNull(), V.ref(b))
+        # Rounding can leave a constant column a deviation, so its range is asked.
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
         spread = F.stddev_pop(x) * F.stddev_pop(y)
-        both.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"r{i}"))
+        both.append(F.when(varies, F.try_divide(F.covar_pop(x, y), spread)).alias(f"r{i}"))
     cells = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)

@@ -181,7 +181,7 @@ def test_histogram_of_a_constant(spark):
 def test_wide_correlation_equals_the_narrow_one(spark):
     """Gaps, a column without spread, one that is never there, and one that shares a single row with the others."""
     draw = random.Random(6)
-    rows = [(draw.choice([None, 1e6 + draw.random()]), draw.gauss(0, 1), 0.5, None, 5.0 if n == 3 else None, n * 0.5 if n % 3 else None) for n in range(90)]
+    rows = [(draw.choice([None, 1e6 + draw.random()]), draw.gauss(0, 1), 0.1, None, 5.0 if n == 3 else None, n * 0.5 if n % 3 else None) for n in range(90)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, `f g` double").repartition(4)
     names = df.columns
     narrow = {(r["a"], r["b"]): r["r"] for r in P.corr_matrix(df, names).collect()}
