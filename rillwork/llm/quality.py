@@ -84,7 +84,8 @@ def fit(sample: list[tuple], seed: int = 7) -> QualityModel:
     documents = []
     for _, text, _ in sample:
         found, counts = np.unique(buckets(text), return_counts=True)
-        documents.append((found, (counts / max(1, counts.sum())).astype(np.float32)))
+        # Counts are kept as narrow as they fit: the driver holds all documents of the sample.
+        documents.append((found, counts.astype(np.min_scalar_type(counts.max(initial=0)))))
     random = np.random.default_rng(seed)
     table = random.normal(0, 0.1, (1 << BITS, WIDTH)).astype(np.float32)
     top, offset = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
@@ -94,7 +95,8 @@ def fit(sample: list[tuple], seed: int = 7) -> QualityModel:
     seen_table = np.full(1 << BITS, 1e-8, np.float32)
     for _ in range(EPOCHS):
         for i in random.permutation(len(documents)):
-            found, share = documents[i]
+            found, counts = documents[i]
+            share = (counts / max(1, counts.sum(dtype=np.int64))).astype(np.float32)
             rate = RATE * (1 - step / steps)
             step += 1
             mean = share @ table[found] if len(found) else np.zeros(WIDTH, np.float32)
