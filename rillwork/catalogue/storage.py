@@ -196,6 +196,21 @@ def geojson_collection(spark, folder):
     return Y.properties_as_columns(Y.points(layer), ["name"]).select("feature_id", "name", "lon", "lat")
 
 
+@query("geojson_one_line", f"""
+WITH {Q.MINES} SELECT CAST(id AS VARCHAR) AS feature_id, name || ' {{"}}, \\' AS name, mx AS lon, my AS lat FROM mines""")
+def geojson_one_line(spark, folder):
+    """Collections on one line each, with braces and quotes in texts and other members around the features."""
+    path = scratch_path(spark, "one-line")
+    rows = _mine_features(spark, folder).withColumn("name", F.concat("name", F.lit(' {"}, \\')))
+    head = '{"name":"a } b","crs":{"type":"name","properties":{"features":[{"type":"Feature"}]}},"features": ['
+    foot = '],"list":["a}b", {"type":"Feature","properties":{"feature_id":"none"}}]}'
+    many = rows.groupBy(F.floor(F.col("feature_id") / 1000)).agg(
+        F.array_join(F.collect_list(K.feature_text(rows)), ",").alias("features"))
+    many.select(F.concat(F.lit(head), "features", F.lit(foot))).write.option("lineSep", " ").text(path)
+    layer = Y.read_geojson(spark, path, "mines", "feature_id", lines=False)
+    return Y.properties_as_columns(Y.points(layer), ["name"]).select("feature_id", "name", "lon", "lat")
+
+
 @query("geojson_multipolygons", f"""
 WITH {Q.WATERSHEDS} SELECT CAST(id AS VARCHAR) AS feature_id, '[0,0,1,1]' AS rings,
   round((20001.0::DOUBLE * 19999 * (wx + 20001 / 2) - 10000.0::DOUBLE * 7000 * (wx + 10000) + 16 * (wx + 30002) - 4 * (wx + 30002))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rillwork import schema as S
 from rillwork.functions.geometry import PARTS
 from rillwork.functions.values import ref
+from rillwork.sources.pieces import feature_texts
 from rillwork.sources.tables import find_column, path_exists
 
 GEOMETRY = "type: STRING, coordinates: STRING"
@@ -77,10 +78,13 @@ def _features(raw: DataFrame, layer: Column, id_property: str | None) -> DataFra
 
 
 def _read(spark: SparkSession, path: str | list[str], lines: bool) -> DataFrame:
-    """Feature structs of files with one feature per line (splittable), or of whole files."""
+    """Feature structs of files with one feature per line, or of collections in any layout."""
     if not lines:
-        raw = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
-        return raw.select(F.explode("features").alias("f"), "_metadata")
+        found = feature_texts(spark, path).select("text", F.struct(F.col("file").alias("file_path")).alias("_metadata"))
+        read = found.withColumn("f", F.from_json("text", FEATURE))
+        broken = F.coalesce(*[F.col(f"f.{c}").cast("string") for c in ("type", "id", "geometry", "properties")]).isNull()
+        failed = F.raise_error(F.concat(F.lit("not a feature: "), F.left("text", F.lit(80))))
+        return read.select(F.when(broken, failed).otherwise(F.col("f")).alias("f"), "_metadata")
     text = F.regexp_replace(F.trim(F.translate("value", "\t\r\ufeff\u001e", "   ")), r",$", "")
     read = spark.read.text(path).select(
         F.trim(text).alias("line"), F.from_json(F.trim(text), f"{FEATURE}, {COLLECTION}").alias("j"), "_metadata")
@@ -100,7 +104,8 @@ def read_geojson(
     """One layer. An absent file gives an empty layer and a warning, not an error.
 
     Files have one feature per line, bare or within a collection as exports write it, and are split; any
-    other line is an error. ``lines=False`` takes files of any form, each read whole by one task.
+    other line is an error. ``lines=False`` takes collections in any layout, on one line too, which are stored
+    once more and shuffled by block, so that many tasks share a file (``sources.pieces``).
     The id of a feature is its ``id_property``, else its own ``id``, else a hash of its content.
     """
     if not path_exists(spark, path):

@@ -72,6 +72,59 @@ def test_geojson_collection_of_every_type(spark, tmp_path):
     assert {r.layer for r in every.collect()} == {"mix"}
 
 
+def _layout(rng, value):
+    """JSON of a value with blanks and line breaks at random places."""
+    gap = lambda: rng.choice(["", "", " ", "\n", "\r\n  "])
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{gap()}{json.dumps(k)}{gap()}:{gap()}{_layout(rng, v)}" for k, v in value.items()) + gap() + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(gap() + _layout(rng, v) for v in value) + gap() + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+@pytest.mark.parametrize("size", [150, 5000])
+def test_collections_of_any_layout_are_split(spark, tmp_path, size):
+    rng = random.Random(size)
+    texts = ["}", "{", '"', "\\", "\\\\", '"}', "a } b", '\\"{', "é}", '"features":[{', "plain", "]", ""]
+    expected = collections.Counter()
+    for number in range(2):
+        whole = ""
+        for _ in range(rng.randint(1, 3)):
+            features = []
+            for _ in range(rng.randint(0, 30)):
+                properties = {"t": "".join(rng.choices(texts, k=rng.randint(0, 4))), "deep": {"features": [{"type": "Feature"}, {}]}}
+                shape = rng.choice([None, {"type": "Point", "coordinates": [rng.randint(0, 9), 1]}])
+                features.append({"type": "Feature", "properties": properties, "geometry": shape, "id": str(rng.randint(0, 99))})
+                expected[f"f{number}", features[-1]["id"], properties["t"], shape and float(shape["coordinates"][0])] += 1
+            other = {"name": rng.choice(texts), "crs": {"type": "Feature", "id": "no"}}
+            after = {"list": ["a}b", {"type": "Feature", "id": "no"}], rng.choice(texts) + "x": {"type": "Feature", "id": "no"}, "n": 1}
+            whole += rng.choice(["", "\n"]) + _layout(rng, other | {"features": features} | after)
+        (tmp_path / f"f{number}.geojson").write_bytes((whole + rng.choice(["", "\n"])).encode())
+    (tmp_path / "empty.geojson").write_text("")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        rows = Y.read_layers(spark, str(tmp_path / "*.geojson"), lines=False).collect()
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "f*.geojson")).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+    assert collections.Counter((r.layer, r.feature_id, r.properties["t"], r.parts and r.parts[0][0][0]) for r in rows) == expected
+
+
+def test_torn_collections_are_errors(spark, tmp_path):
+    good = '{"type":"FeatureCollection","features":[{"type":"Feature","id":"1","properties":{},"geometry":null}]}'
+    bad = {"cut": good[:-30], "string": good[:-2] + ',"x": "}', "surplus": good + "}" + good, "bare": json.dumps(
+        {"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}})}
+    for name, text in bad.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        with pytest.raises(Exception, match="not closed|too many|outside of a collection"):
+            Y.read_geojson(spark, str(tmp_path / f"{name}.json"), "x", lines=False).collect()
+    (tmp_path / "good.json").write_text("\ufeff" + good)
+    assert [r.feature_id for r in Y.read_geojson(spark, str(tmp_path / "good.json"), "x", lines=False).collect()] == ["1"]
+
+
 def test_collection_with_a_feature_to_a_line_is_split(spark, tmp_path):
     point = '{ "type": "Feature", "id": 7, "properties": { "n": 1 }, "geometry": { "type": "Point", "coordinates": [ 1.0, 2.0 ] } }'
     both = ('{"type":"Feature","properties":{},"geometry":{"type":"GeometryCollection","geometries":['
