@@ -5,9 +5,9 @@ letter or digit separates). The automaton holds every window of ``window`` conse
 as a sequence of word numbers; a shorter item is one window. It reads each text once; every word
 knows its place in the original, so hits can be given as byte offsets of the text as it came.
 
-The automaton is built in each task from the item words, which are broadcast. Items are taken in
-shards of bounded size (``SHARD_BYTES`` of text), one pass over the documents for each shard, so the
-broadcast does not grow with the benchmark.
+The automaton is built once in each Python worker, which keeps it beside the broadcast items for its further tasks. Items are taken in
+shards of bounded size (``SHARD_BYTES`` of text; an item of more than ``SLICE_BYTES`` in overlapping slices), one pass over the documents for each shard,
+so neither the broadcast nor the automaton grows with the benchmark. A worker lets go of a shard when it takes up another.
 
 * Null text, or text without a word, has no words and is not contaminated; a null item has no
   window. Items with equal words all count. A row with null doc_id is judged like any other.
@@ -33,7 +33,8 @@ from rillwork.llm.common import texts_of
 # Words of a window, the share of hit words (1 of 20) and how words are found.
 WINDOW = 13
 HIT_SHARE = 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
+SLICE_BYTES = SHARD_BYTES
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _TO_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -91,18 +92,36 @@ def _covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def item_shards(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in slices of bounded size; the driver holds one slice at a time."""
+def slices(text: bytes, window: int = WINDOW) -> Iterator[bytes]:
+    """A text that is longer than ``SLICE_BYTES`` in pieces that overlap, so that every window lies whole in one of them."""
+    if len(text) <= SLICE_BYTES:
+        yield text
+        return
+    words = words_of(text)
+    start, end, size = 0, 0, 0
+    while end < len(words):
+        # A slice has a window at least and goes on until it is full.
+        while end < len(words) and (size < SLICE_BYTES or end - start < window):
+            size += len(words[end]) + 1
+            end += 1
+        yield b" ".join(words[start:end])
+        start = max(end - window + 1, start + 1)
+        size = sum(len(w) + 1 for w in words[start:end])
+
+
+def item_shards(benchmark: DataFrame, window: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in slices of bounded size; the driver holds one shard and one item at a time."""
     rows = benchmark.select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").cast("binary").alias("text"),
     ).where("text is not null")
     shard, size = [], 0
     for row in rows.toLocalIterator():
-        if shard and size + len(row["text"]) > SHARD_BYTES:
-            yield shard
-            shard, size = [], 0
-        shard.append((row["item"], bytes(row["text"])))
-        size += len(row["text"])
+        for text in slices(bytes(row["text"]), window):
+            if shard and size + len(text) > SHARD_BYTES:
+                yield shard
+                shard, size = [], 0
+            shard.append((row["item"], text))
+            size += len(text)
     yield shard
 
 
@@ -112,13 +131,17 @@ FOUND = ("struct<n_words long, starts array<long>, ends array<long>, byte_starts
 
 def found_in(spark: SparkSession, items: list[tuple[str, bytes]], text: Column, window: int = WINDOW) -> Column:
     """What one shard of items has in a binary text: word and byte ranges, and the items."""
-    sent = spark.sparkContext.broadcast(items)
+    sent = spark.sparkContext.broadcast({"items": items})
     names = ["n_words", "starts", "ends", "byte_starts", "byte_ends", "items"]
     kinds = [pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.string())]
 
     @F.arrow_udf(FOUND)
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        automaton = WindowAutomaton([(i, words_of(t)) for i, t in sent.value], window)
+        # A worker keeps the value of a broadcast as long as its tasks use it.
+        held = sent.value
+        if "automaton" not in held:
+            held["automaton"] = WindowAutomaton([(i, words_of(t)) for i, t in held["items"]], window)
+        automaton = held["automaton"]
         for batch in texts:
             columns: list[list] = [[], [], [], [], [], []]
             for value in batch:
@@ -155,7 +178,7 @@ def scan(docs: DataFrame, items: list[tuple[str, bytes]], window: int = WINDOW)
 
 def _judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every row with its key and its ranges and items of all shards."""
-    shards = (scan(docs, shard, window) for shard in item_shards(benchmark))
+    shards = (scan(docs, shard, window) for shard in item_shards(benchmark, window))
     found, more = next(shards), None
     for at, shard in enumerate(shards):
         # The first pass gives every row; of further passes only texts with a hit matter.

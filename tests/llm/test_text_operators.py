@@ -113,6 +113,26 @@ def test_decontamination_shards(spark, monkeypatch):
     assert clean_documents(df, benchmark(spark)).count() == sum(not r[-1] for r in want)
 
 
+def test_long_items_are_cut_between_windows(spark, monkeypatch):
+    words = [f"w{n * n % 101}" for n in range(90)]
+    items = [("a", " ".join(words)), ("b", " ".join(words[20:33])), ("c", "Short one"), ("d", None), ("e", " ,;" * 40)]
+    for size in (1, 40, 90, 5000):
+        monkeypatch.setattr(decontaminate, "SLICE_BYTES", size)
+        for n in (0, 1, 12, 13, 14, 25, 90):
+            text = " ".join(words[:n]).encode()
+            cut = [decontaminate.words_of(t) for t in decontaminate.slices(text)]
+            runs = lambda ws: {tuple(ws[i:i + 13]) for i in range(len(ws) - 12)}
+            assert set().union(*map(runs, cut)) == runs(decontaminate.words_of(text))
+            # Less than a window only if the text is.
+            assert all(len(ws) >= min(n, 13) for ws in cut)
+    texts = [" ".join(words[5:30]), "x " + " ".join(words[40:52]), "a short one here", " ".join(words), None]
+    marks = spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(plain.contamination(list(enumerate(texts)), items), key=repr)
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 200)
+    assert plain.rows(decontamination_report(plain.table(spark, texts), marks)) == want
+
+
 def test_decontamination_shards_do_not_go_by_doc_id(spark, monkeypatch):
     """Rows without doc_id, and rows that share one, are judged by their own text in every shard."""
     items = [i for i in ITEMS if i[1]]
