@@ -3,8 +3,8 @@
 Document frequencies of the hashed n-grams are counted over every document that may be learned from,
 as a Spark aggregation of per-batch counts. The regression is trained by follow-the-regularised-leader
 with elastic-net penalties (weights that stay small are exactly zero) on a bounded sample, and its
-softmax is calibrated by one temperature on a part of the sample that training does not see. Scoring
-reads every text whole, in Arrow batches without a shuffle; the model has a fixed size.
+softmax is calibrated by one temperature on excerpts of many lengths from a part of the sample that training does not see,
+as whole texts leave it no error to learn from. Scoring reads every text whole, in Arrow batches without a shuffle; the model has a fixed size.
 
 * A text that is null or has no letter is ``und`` with score 0. Without a labelled row every text is
   ``und``; with one language, that language is predicted for all texts with a letter.
@@ -30,6 +30,8 @@ CHARS = (1, 2, 3)
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 EPOCHS = 3
 CALIBRATION = 5
+EXCERPTS = (4, 8, 16, 32, 64, 128)
+TEMPERATURES = (0.01, 100.0)
 UNKNOWN = "und"
 # TF-IDF rows are relative counts times IDF, stretched so that one n-gram in a hundred counts 1.
 SCALE = 100.0
@@ -98,16 +100,41 @@ class LanguageModel:
         return self.names[best], float(chances[best])
 
 
+def excerpts(text: bytes, random: np.random.Generator) -> list[bytes]:
+    """A text and one piece of it for each length of ``EXCERPTS`` that is shorter than it."""
+    string = text.decode("utf-8", "replace")
+    places = [(int(random.integers(len(string) - size + 1)), size) for size in EXCERPTS if size < len(string)]
+    return [text, *[string[at:at + size].encode("utf-8", "replace") for at, size in places]]
+
+
+def log_loss(scores: np.ndarray, truth: np.ndarray, heat: float, smooth: float = 0.0) -> float:
+    """Mean log loss at a temperature, with a share ``smooth`` of every label spread over all classes."""
+    logs = scores / heat
+    top = logs.max(axis=1, keepdims=True)
+    logs = logs - top - np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
+    hit = logs[np.arange(len(truth)), truth]
+    return float(-((1 - smooth) * hit + smooth * logs.mean(axis=1)).mean())
+
+
+def temperature(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of least log loss. One more example of each class than there are keeps it finite without any error."""
+    if not len(truth):
+        return 1.0
+    classes = scores.shape[1]
+    grid = np.exp(np.linspace(*np.log(TEMPERATURES), 241))
+    losses = [log_loss(scores, truth, t, classes / (len(truth) + classes)) for t in grid]
+    return float(grid[int(np.argmin(losses))])
+
+
 def fit(sample: list[tuple], frequencies: np.ndarray, n_docs: int, seed: int = 11) -> LanguageModel:
     """Train on (doc_id, text, lang) rows with the document frequencies of the whole corpus."""
     idf = np.log((1 + n_docs) / (1 + frequencies)) + 1
-    letters, rows, whole = letter_table(), [], []
+    letters, rows, texts = letter_table(), [], []
     for _, text, lang in sample:
-        buckets = features(text, letters)
-        found, counts = np.unique(buckets, return_counts=True)
+        found, counts = np.unique(features(text, letters), return_counts=True)
         if len(found):
             rows.append((found, SCALE * counts / counts.sum() * idf[found], lang))
-            whole.append(buckets)
+            texts.append(text)
     names = sorted({lang for _, _, lang in rows})
     if len(names) < 2:
         none = np.zeros(1 << BITS, np.int32)
@@ -144,11 +171,13 @@ def fit(sample: list[tuple], frequencies: np.ndarray, n_docs: int, seed: int = 1
     learned = np.vstack([np.zeros((1, len(names))), every[used] * idf[used, None] * SCALE])
     model = LanguageModel(names, numbers, learned, every[-1], 1.0, letters)
     # One temperature for all languages, on rows that training has not seen.
-    scores = np.array([model.scores(f) for f in whole[::CALIBRATION]])
-    truth = np.array([index[lang] for _, _, lang in rows[::CALIBRATION]])
-    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
-    losses = [-np.log(softmax(scores / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
-    model.temperature = float(grid[int(np.argmin(losses))])
+    scores, truth = [], []
+    for text, (_, _, lang) in zip(texts[::CALIBRATION], rows[::CALIBRATION], strict=True):
+        for found in [features(part, letters) for part in excerpts(text, random)]:
+            if len(found):
+                scores.append(model.scores(found))
+                truth.append(index[lang])
+    model.temperature = temperature(np.array(scores), np.array(truth))
     return model
 
 

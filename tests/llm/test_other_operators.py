@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import plain
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillwork.llm import labelled_pages, vector_search, warc
+from rillwork.llm import labelled_pages, language, vector_search, warc
 from rillwork.llm.html_extract import DomModel, extract_text, fit, sum_product
 from rillwork.llm.language import language_report
 from rillwork.llm.mixing import FLATTEN, flattened, mix, mixing_report, rake
@@ -30,6 +31,76 @@ def test_language_accuracy(spark):
     assert kept.where("lang = lang_pred").count() >= 0.97 * kept.count()
 
 
+def _sample(spark, n, remainder):
+    rows = read(spark, "documents").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == remainder)
+    rows = rows.where("lang is not null and text is not null").orderBy("doc_id").limit(n).collect()
+    return [(r["doc_id"], r["text"].encode(), r["lang"]) for r in rows]
+
+
+def test_language_temperature(spark):
+    """Inside its grid, and better than none on excerpts of texts that were not learned from."""
+    sample, letters = _sample(spark, 400, 0), language.letter_table()
+    frequencies = np.zeros(1 << language.BITS, np.int64)
+    for _, text, _ in sample:
+        frequencies[np.unique(language.features(text, letters))] += 1
+    model = language.fit(sample, frequencies, len(sample))
+    low, high = language.TEMPERATURES
+    assert low * 1.1 < model.temperature < high / 1.1
+    random, scores, truth = np.random.default_rng(1), [], []
+    for _, text, lang in _sample(spark, 300, 2):
+        for part in language.excerpts(text, random):
+            found = language.features(part, letters)
+            if len(found) and lang in model.names:
+                scores.append(model.scores(found))
+                truth.append(model.names.index(lang))
+    scores, truth = np.array(scores), np.array(truth)
+    assert language.log_loss(scores, truth, model.temperature) < language.log_loss(scores, truth, 1.0)
+    # Scores tell right from wrong: what is wrong is less sure on average than what is right.
+    chances = language.softmax(scores / model.temperature)
+    right = chances.argmax(axis=1) == truth
+    assert not right.all() and chances.max(axis=1)[~right].mean() < chances.max(axis=1)[right].mean() - 0.1
+
+
+def test_language_model_against_plain_dictionaries(spark):
+    """The regression written out with dictionaries and one number at a time gives the same scores."""
+    sample, letters = _sample(spark, 60, 1), language.letter_table()
+    frequencies = np.zeros(1 << language.BITS, np.int64)
+    for _, text, _ in sample:
+        frequencies[np.unique(language.features(text, letters))] += 1
+    model = language.fit(sample, frequencies, len(sample))
+    names = sorted({lang for _, _, lang in sample})
+    rows = []
+    for _, text, lang in sample:
+        counts = Counter(language.features(text, letters).tolist())
+        total = sum(counts.values())
+        rows.append(({b: 100.0 * c / total * (math.log((1 + len(sample)) / (1 + int(frequencies[b]))) + 1) for b, c in counts.items()}, lang))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(bucket, name):
+        shift, squares = z[bucket, name], n[bucket, name]
+        keep = max(abs(shift) - (0 if bucket == "offset" else language.L1), 0)
+        return -math.copysign(keep, shift) / ((language.BETA + math.sqrt(squares)) / language.ALPHA + language.L2)
+
+    def chances(values, heat):
+        sums = [sum(weight(b, name) * x for b, x in values.items()) / heat for name in names]
+        odds = [math.exp(s - max(sums)) for s in sums]
+        return [o / sum(odds) for o in odds]
+
+    training, random = [r for i, r in enumerate(rows) if i % language.CALIBRATION], np.random.default_rng(11)
+    for _ in range(language.EPOCHS):
+        for i in random.permutation(len(training)):
+            values = training[i][0] | {"offset": 1.0}
+            for name, chance in zip(names, chances(values, 1.0)):
+                for bucket, x in values.items():
+                    g, old = (chance - (name == training[i][1])) * x, n[bucket, name]
+                    z[bucket, name] += g - (math.sqrt(old + g * g) - math.sqrt(old)) / language.ALPHA * weight(bucket, name)
+                    n[bucket, name] += g * g
+    for (values, _), (_, text, _) in zip(rows, sample):
+        want = chances(values | {"offset": 1.0}, model.temperature)
+        name, score = model.predict(text)
+        assert score == pytest.approx(max(want), abs=1e-6) and want[names.index(name)] == pytest.approx(max(want), abs=1e-6)
+
+
 def test_quality_accuracy(spark):
     got = quality_report(read(spark, "documents"), read(spark, "labels")).join(read(spark, "labels"), "doc_id")
     kept = got.where("held_out")
