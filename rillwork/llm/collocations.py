@@ -84,7 +84,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, word, n) over all occurrences."""
 
     def rows(sums: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for lang, own in sums.items():
+        while sums:
+            lang, own = sums.popitem()
             own.pop(b"", None)
             own.pop(b"\n", None)
             columns = [pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())]
@@ -100,9 +101,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 for part in tokens(text.as_py()):
                     own.update(part)
                 gathered += len(own) - before
-                if gathered > GATHERED // 2:
+                if gathered > GATHERED // 4:
                     yield from rows(sums)
-                    sums, gathered = {}, 0
+                    gathered = 0
         yield from rows(sums)
 
     return texts.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -120,7 +121,8 @@ def frequent_bits(frequent: DataFrame) -> np.ndarray:
 
 
 class Vocabulary(dict):
-    """Numbers of the words of one language: 0 ends a run (an end of a piece, a rare word), -1 is no word."""
+    """Numbers of the words of one language: 0 ends a run (an end of a piece, a rare word), -1 is no word. Rare words,
+    most of all different ones, are told anew each time and take no memory."""
 
     def __init__(self, lang: str, bits: bytes):
         super().__init__({b"": -1, b"\n": 0})
@@ -128,45 +130,49 @@ class Vocabulary(dict):
 
     def __missing__(self, word: bytes) -> int:
         place = zlib.crc32(word, self.start) & ((1 << BITS) - 1)
-        number = 0
-        if self.bits[place >> 3] >> (place & 7) & 1:
-            number = len(self.words)
-            self.words.append(word)
-        self[word] = number
+        if not self.bits[place >> 3] >> (place & 7) & 1:
+            return 0
+        self[word] = number = len(self.words)
+        self.words.append(word)
         return number
 
 
 def _edges(numbers: np.ndarray, words: list[bytes], longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """The grams of a run of word numbers and their counts, in the order of their words."""
+    """The grams of a run of word numbers and their counts, in the order of their words, ``STEP`` at a time: numbers take
+    far less memory than the grams they stand for."""
     numbers = numbers[numbers >= 0]
     for at in range(0, len(numbers), GATHERED):
         part = numbers[at:at + GATHERED + longest - 1]
         here = np.unique(part[part > 0])
         names = [words[i] for i in here]
         order = sorted(range(len(names)), key=names.__getitem__)
-        rank = np.zeros(len(words), np.int64)
+        rank = np.zeros(len(words), np.int32)
         rank[here[order]] = np.arange(1, len(here) + 1)
         part = rank[part]
-        columns = [part[:GATHERED]]
-        for shift in range(1, longest):
-            after = np.zeros(len(columns[0]), np.int64)
-            tail = part[shift:shift + len(after)]
-            after[:len(tail)] = tail
-            columns.append(np.where(columns[-1] > 0, after, 0))
-        started = columns[0] > 0
-        columns = [c[started] for c in columns]
-        if not len(columns[0]):
+        begins = np.flatnonzero(part[:GATHERED]).astype(np.int32)
+        if not len(begins):
             continue
         # Three ranks of 21 bits to a key: a part has no more words than that.
-        keys = [sum(c << 42 - 21 * i for i, c in enumerate(columns[k:k + 3])) for k in range(0, longest, 3)]
+        keys = [np.zeros(len(begins), np.int64) for _ in range(0, longest, 3)]
+        whole = np.ones(len(begins), bool)
+        for shift in range(longest):
+            after = np.zeros(len(begins), np.int64)
+            inside = begins < len(part) - shift
+            after[inside] = part[begins[inside] + shift]
+            whole &= after > 0
+            after[~whole] = 0
+            keys[shift // 3] |= after << 42 - 21 * (shift % 3)
         sort = np.lexsort(keys[::-1])
-        fresh = np.r_[True, np.any([np.diff(key[sort]) != 0 for key in keys], axis=0)]
-        first = np.flatnonzero(fresh)
+        keys = [key[sort] for key in keys]
+        first = np.flatnonzero(np.r_[True, np.logical_or.reduce([key[1:] != key[:-1] for key in keys])])
         counts = np.diff(np.r_[first, len(sort)])
+        keys = [key[first] for key in keys]
         named = pa.array([names[i] for i in order], pa.binary())
-        picked = [c[sort[first]] for c in columns]
-        yield pc.binary_join_element_wise(
-            *[named.take(pa.array(c - 1, mask=c == 0)) for c in picked], pa.scalar(_JOINT, pa.binary()), null_handling="skip"), counts
+        for low in range(0, len(first), STEP):
+            ranks = [keys[shift // 3][low:low + STEP] >> 42 - 21 * (shift % 3) & (1 << 21) - 1 for shift in range(longest)]
+            yield pc.binary_join_element_wise(
+                *[named.take(pa.array(c - 1, mask=c == 0)) for c in ranks], pa.scalar(_JOINT, pa.binary()),
+                null_handling="skip"), counts[low:low + STEP]
 
 
 def _grams(texts: DataFrame, bits: Broadcast, longest: int, emit: Callable, schema: str) -> DataFrame:
@@ -179,12 +185,12 @@ def _grams(texts: DataFrame, bits: Broadcast, longest: int, emit: Callable, sche
         gathered = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in waiting.items():
+            while waiting:
+                lang, parts = waiting.popitem()
                 for grams, counts in _edges(np.concatenate(parts), known[lang].words, longest):
                     yield emit(lang, grams, counts)
-            waiting.clear()
-            for lang in [key for key, own in known.items() if len(own) > GATHERED // 4]:
-                del known[lang]
+            if sum(map(len, known.values())) > GATHERED // 2:
+                known.clear()
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
@@ -273,21 +279,22 @@ def phrase_counts(parts: DataFrame, least: int = LEAST, longest: int = LONGEST)
         def flush() -> Iterator[pa.RecordBatch]:
             if grams:
                 every, n = pa.concat_arrays(grams), np.concatenate(counts)
-                order = pc.sort_indices(every)
-                every, n = every.take(order), n[order.to_numpy()]
-                for at in range(0, len(n), STEP):
-                    yield _flow(own[1], every.slice(at, STEP), n[at:at + STEP], least, longest)
                 grams.clear()
                 counts.clear()
+                order = pc.sort_indices(every)
+                for at in range(0, len(n), STEP):
+                    here = order.slice(at, STEP)
+                    yield _flow(own[1], every.take(here), n[here.to_numpy()], least, longest)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if (row["part"], row["lang"]) != own:
+            fixed = [batch[name].to_pylist() for name in ("part", "lang", "length", "size")]
+            for part, lang, length, size, blob in zip(*fixed, batch["grams"]):
+                if (part, lang) != own:
                     yield from flush()
-                    own = (row["part"], row["lang"])
-                raw = pa.decompress(row["grams"], row["size"], "zstd", asbytes=True)
-                counts.append(np.frombuffer(raw, np.int64, row["length"]))
-                grams.append(pc.split_pattern(pa.array([raw[8 * row["length"]:]], pa.binary()), b"\n").flatten())
+                    own = (part, lang)
+                raw = pa.decompress(blob.as_buffer(), size, "zstd", asbytes=True)
+                counts.append(np.frombuffer(raw, np.int64, length).copy())
+                grams.append(pc.split_pattern(pa.array([raw[8 * length:]], pa.binary()), b"\n").flatten())
         yield from flush()
 
     dealt = parts.repartition("part", "lang").sortWithinPartitions("part", "lang")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,30 @@ def test_counts_of_phrases_split_over_tasks(spark, monkeypatch):
     assert got == [("a", "the of", 3, 3, 3, 6), ("en", "the of", 3000, 3005, 3000, 3005 + 3000 + 3000 + 1500)]
 
 
+def test_rare_words_take_no_memory():
+    own = C.Vocabulary("en", bytes(1 << (C.BITS - 3)))
+    assert [own[b"rare %d" % at] for at in range(1000)] == [0] * 1000 and len(own) == 2
+    own = C.Vocabulary("en", b"\xff" * (1 << (C.BITS - 3)))
+    assert [own[w] for w in (b"a", b"b", b"a", b"", b"\n")] == [1, 2, 1, -1, 0] and own.words == [b"", b"a", b"b"]
+
+
+def test_grams_are_made_some_at_a_time(monkeypatch):
+    """Only numbers are held for all the words that a task gathers."""
+    monkeypatch.setattr(C, "STEP", 1000)
+    numbers = np.random.default_rng(1).integers(0, 5000, 100_000).astype(np.int32)
+    words = [b""] + [b"a rather long word %d" % at for at in range(5000)]
+    size, counts, last = 0, 0, b""
+    held, most = pa.total_allocated_bytes(), 0
+    for grams, n in C._edges(numbers, words, 5):
+        most = max(most, pa.total_allocated_bytes() - held)
+        assert 0 < len(grams) == len(n) <= 1000
+        rows = grams.to_pylist()
+        assert last < rows[0] and rows == sorted(set(rows))
+        size, counts, last = size + len(grams), counts + int(n.sum()), rows[-1]
+    assert counts == np.count_nonzero(numbers) and size > 90_000
+    assert most < 2_000_000
+
+
 def test_scores_pass_64_bits(spark):
     cases = [(10**13, 3 * 10**13, 10**13 + 1, 10**12 + 7), (99, 10**15, 100, 99), (7, 9, 11, 13)]
     df = spark.createDataFrame([(at, *c) for at, c in enumerate(cases)], "at int, a long, n long, l long, r long")
