@@ -349,6 +349,19 @@ def test_mixing_of_awkward_rows(spark):
     assert mixing_report(df.limit(0)).count() == 0
 
 
+def test_mixing_report_reads_texts_once(spark, capsys):
+    """What is told of a text is stored, so that the last scan counts no words or topics again."""
+    docs = read(spark, "documents")
+    got = mixing_report(docs)
+    capsys.readouterr()
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "Scan parquet" in plan and "regexp" not in plan
+    whole = mix(docs).select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("probability", 6),
+                             F.round("weight", 6), "sampled")
+    assert sorted(got.collect()) == sorted(whole.collect())
+
+
 def test_stages_on_awkward_rows(spark):
     """Every stage takes the awkward table; all but the last keep its columns."""
     ids, texts = plain.awkward()
