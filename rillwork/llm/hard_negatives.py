@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from rillwork.llm.common import map_batches, stored
 
-# Scale of a component, rows of a strip, questions of a block, anchors multiplied at once, and
-# the strips of which one is asked first.
+# Scale of a component, rows of a strip, questions of a block, blocks that a task holds, anchors
+# multiplied at once, and the strips of which one is asked first.
 SCALE = 256
 STRIP = 8192
 BLOCK = 1024
+BLOCKS = 4
 ANCHORS = 128
 SAMPLED = 16
 # Residues of these primes lie within +-510: 64 products stay below 2 ** 24. Seven cover 64 bits.
@@ -155,19 +156,21 @@ def _answers(asked: tuple, strip: tuple, k: int, same: bool, primes: tuple[int,
                     yield np.full(len(found), q), found, row[found]
 
 
-def search(strips: DataFrame, questions: DataFrame, count: int, k: int, same: bool, primes: tuple[int, ...]) -> DataFrame:
+def search(strips: DataFrame, questions: DataFrame, k: int, same: bool, primes: tuple[int, ...]) -> DataFrame:
     """(``QUESTION`` columns, vec_id, score): the first k rows of each strip for each question.
 
     A question is an anchor with the label that rows must (``same``) or must not have, a window of scores, and a bound:
-    rows that come after it are of no use.
+    rows that come after it are of no use. A task reads some strips and holds some blocks, so the pairs are neither
+    shuffled nor broadcast: their size is the product of both sides.
     """
     names = [*QUESTION, "low", "high", "floor", "floor_id"]
-    blocks = F.pmod(F.xxhash64("anchor", "key"), F.lit(max(1, -(-questions.count() // BLOCK))))
-    placed = questions.withColumns({"size": F.length("vector").cast("long"), "block": blocks})
+    count = max(1, -(-questions.count() // BLOCK))
+    placed = questions.withColumns({
+        "size": F.length("vector").cast("long"), "block": F.pmod(F.xxhash64("anchor", "key"), F.lit(count))})
     packed = stored(_pack(placed, ["size", "block"], names), "blocks")
-    met = packed.select("size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("strip"),
-                        F.struct("length", "vectors", "columns").alias("asked"))
-    met = met.join(strips.select("size", "strip", F.struct("length", "vectors", "columns").alias("rows")), ["size", "strip"])
+    asked = packed.select(F.col("size").alias("asked_size"), F.struct("length", "vectors", "columns").alias("asked"))
+    asked = asked.repartition(-(-count // BLOCKS)).hint("shuffle_replicate_nl")
+    met = strips.select("size", F.struct("length", "vectors", "columns").alias("rows")).join(asked, F.col("size") == F.col("asked_size"))
 
     def unpack(packed: dict, wide: int) -> tuple[np.ndarray, np.ndarray]:
         n = packed["length"]
@@ -196,14 +199,14 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _best(strips: DataFrame, questions: DataFrame, count: int, k: int, same: bool, primes: tuple[int, ...]) -> DataFrame:
+def _best(strips: DataFrame, questions: DataFrame, k: int, same: bool, primes: tuple[int, ...]) -> DataFrame:
     """The first k rows of each question over all strips: a sample of strips first, whose k-th row bounds the others."""
     sampled = F.col("strip") % SAMPLED == 0
-    early = stored(_first(search(strips.where(sampled), questions, count, k, same, primes), k), "early")
+    early = stored(_first(search(strips.where(sampled), questions, k, same, primes), k), "early")
     bound = early.where(F.col("rank") == k).select(*QUESTION, F.col("score").alias("at"), F.col("vec_id").alias("at_id"))
     bounded = questions.join(bound, list(QUESTION), "left").withColumns({
         "floor": F.coalesce("at", "floor"), "floor_id": F.coalesce("at_id", "floor_id")}).drop("at", "at_id")
-    late = search(strips.where(~sampled), stored(bounded, "questions"), count, k, same, primes)
+    late = search(strips.where(~sampled), stored(bounded, "questions"), k, same, primes)
     return stored(_first(early.drop("rank").unionByName(late), k), "best")
 
 
@@ -224,13 +227,13 @@ def hard_negatives(
     anchors = stored(given.where(is_anchor).select(
         F.col("vec_id").alias("anchor"), F.xxhash64("label", "vector").alias("key"), "label", "vector", F.lit(0).cast("long").alias("positive"), F.lit(0).cast("long").alias("positive_score"),
         F.lit(LOWEST).alias("low"), F.lit(HIGHEST).alias("high"), F.lit(LOWEST).alias("floor"), F.lit(HIGHEST).alias("floor_id")), "anchors")
-    near = _best(strips, anchors, count, positives, True, primes)
+    near = _best(strips, anchors, positives, True, primes)
     window = {"low": F.expr(f"CAST(ceil(CAST({low} AS DECIMAL(3, 0)) * score / 100) AS LONG)"),
               "high": F.expr(f"CAST(floor(CAST({high} AS DECIMAL(3, 0)) * score / 100) AS LONG)")}
     questions = near.withColumns(window).select(
         "anchor", "key", "label", F.col("vec_id").alias("positive"), F.col("score").alias("positive_score"), "low", "high")
     questions = questions.where("low <= high").join(anchors.select("anchor", "key", "vector", "floor", "floor_id"), ["anchor", "key"])
-    hard = _best(strips, stored(questions, "questions"), count, negatives, False, primes)
+    hard = _best(strips, stored(questions, "questions"), negatives, False, primes)
     return hard.select(
         F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"),
         "positive_score", F.col("score").alias("negative_score"))

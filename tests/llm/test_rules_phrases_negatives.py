@@ -227,6 +227,18 @@ def test_negatives_against_plain_version(spark, monkeypatch, seed, strip, block,
     assert got == mined(rows) and len(got) > 50
 
 
+def test_pairs_of_blocks_and_strips_are_not_broadcast(spark, monkeypatch):
+    """The pairs grow as the product of both sides, whatever the sizes of the files say."""
+    for name, value in (("STRIP", 16), ("BLOCK", 2), ("SAMPLED", 4)):
+        monkeypatch.setattr(H, name, value)
+    plans, store = {}, H.stored
+    monkeypatch.setattr(H, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and store(df, name))
+    draw = random.Random(4)
+    rows = [(n, [draw.gauss(0.2, 0.5) for _ in range(4)], draw.randrange(3)) for n in range(1000)]
+    assert H.hard_negatives_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).count() > 50
+    assert all("MapInArrow" in plans[name] and "Broadcast" not in plans[name] for name in ("early", "best")), plans
+
+
 def test_negatives_of_empty_and_too_large_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert H.hard_negatives_report(spark.createDataFrame([], schema)).count() == 0
