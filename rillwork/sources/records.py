@@ -2,7 +2,7 @@
 
 A file is read as lines, wherever Spark splits it. A line leads from one of two states (outside or inside
 quotes) to another, so it is a function of two values, and so is a run of lines: functions are composed like sums. A
-block of a file (what one task reads of it) folds its lines into one function, the blocks of a file are
+block of a file (what one task reads of it, cut into runs of bounded length) folds its lines into one function, the blocks of a file are
 chained in their order, and then every line knows the state it begins in. Lines that begin outside begin a record.
 
 Files without a line that ends inside quotes are scanned twice, and their lines are records as they stand. The lines of the
@@ -23,6 +23,8 @@ from rillwork.session import broadcast_if_small, checkpoint, stored
 
 #: Lines of the longest record.
 MAX_LINES = 1000
+# Fixed value: what a task reads of a file is cut again, into blocks of at most 2**CHUNK lines to put in order.
+CHUNK = 15
 
 # What a quoted field holds, a whole field, and whether a line ends inside quotes when it begins outside or inside.
 _QUOTED = r'[^"]*+(?:""[^"]*+)*+'
@@ -46,17 +48,6 @@ def _after(state: Column, opens: Column, stays: Column) -> Column:
     return F.when(state, stays).otherwise(opens)
 
 
-def _folded(order: str) -> Column:
-    """The function of a group's lines: {opens, stays}, lines that change nothing left out."""
-    step = F.when(F.col("opens") | ~F.col("stays"), F.struct(order, "opens", "stays"))
-    none = F.struct(F.lit(False).alias("opens"), F.lit(True).alias("stays"))
-    return F.aggregate(
-        F.array_sort(F.collect_list(step)), none,
-        lambda held, one: F.struct(
-            _after(held["opens"], one["opens"], one["stays"]).alias("opens"),
-            _after(held["stays"], one["opens"], one["stays"]).alias("stays")))
-
-
 def _states(df: DataFrame, by: list[str], order: str, entry: Column) -> DataFrame:
     """Adds ``inside``: the state before each row, from the last row before it that fixes a state and the swaps since."""
     before = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -70,10 +61,22 @@ def _states(df: DataFrame, by: list[str], order: str, entry: Column) -> DataFram
     return counted.withColumn("inside", inside).drop("_swaps", "_fixed")
 
 
+def _folded(lines: DataFrame) -> DataFrame:
+    """(file, block, opens, stays): the function of each block's lines, from its last line that fixes a state and the
+    swaps since. Both are sums and maxima, so no list of lines is held."""
+    swaps, fixes = F.col("opens") & ~F.col("stays"), F.col("opens") == F.col("stays")
+    last = checkpoint(lines.groupBy("file", "block").agg(F.max(F.when(fixes, F.struct("at", "opens"))).alias("fixed")))
+    since = F.count_if(swaps & (F.col("fixed").isNull() | (F.col("at") > F.col("fixed.at"))))
+    counted = lines.select("file", "block", "at", "opens", "stays").join(broadcast_if_small(last, stored=True), ["file", "block"])
+    odd = since % 2 == 1
+    ends = counted.groupBy("file", "block").agg(F.max("fixed.opens").alias("_fixed"), odd.alias("_odd"))
+    leaves = lambda entry: F.coalesce("_fixed", F.lit(entry)) != F.col("_odd")
+    return ends.select("file", "block", leaves(False).alias("opens"), leaves(True).alias("stays"))
+
+
 def _blocks(lines: DataFrame) -> DataFrame:
     """(file, block, entry): the state in which each block begins."""
-    folded = checkpoint(lines.groupBy("file", "block").agg(_folded("at").alias("held")).select("file", "block", "held.*"))
-    chained = _states(folded, ["file"], "block", F.lit(False))
+    chained = _states(checkpoint(_folded(lines)), ["file"], "block", F.lit(False))
     leaves = _after(F.col("inside"), F.col("opens"), F.col("stays"))
     return checkpoint(chained.select("file", "block", F.col("inside").alias("entry"), leaves.alias("leaves")))
 
@@ -101,7 +104,8 @@ def records(spark: SparkSession, path: str | list[str], max_lines: int = MAX_LIN
     found = met.where(~F.col("spans")).drop("spans")
     if files.where("spans").limit(1).count():
         # Stored once: another scan may cut the files into other blocks.
-        apart = stored(lines.join(broadcast_if_small(heads.where("spans").select("file")), "file", "left_semi"), "lines")
+        apart = lines.join(broadcast_if_small(heads.where("spans").select("file")), "file", "left_semi")
+        apart = stored(apart.withColumn("block", F.struct("block", F.shiftright("at", CHUNK).alias("chunk"))), "lines")
         found = found.unionByName(_joined(apart, max_lines).join(side.drop("spans"), "file"))
     found = found.withColumn("record", _clean(F.col("record")))
     return found.where((F.trim("record") != "") & ~F.col("record").eqNullSafe(F.col("header"))).select("file", "header", "record", "broken")

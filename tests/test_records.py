@@ -105,3 +105,17 @@ def test_empty_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("n,t\n")
     assert R.read_csv_tolerant(spark, str(tmp_path / "a.csv")).count() == 0
     assert tuple(R.tolerant_counts(spark, str(tmp_path / "a.csv")).first()) == (0, 0)
+
+
+def test_blocks_are_folded_without_lists_of_their_lines(spark, tmp_path, monkeypatch):
+    """One long block: its lines are told by sums alone, and put in order a few at a time."""
+    monkeypatch.setattr(L, "CHUNK", 4, raising=False)
+    plans, store, sizes = [], L.checkpoint, []
+    monkeypatch.setattr(L, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    blocks = L._blocks
+    monkeypatch.setattr(L, "_blocks", lambda lines: sizes.append(lines.groupBy("file", "block").count().agg(F.max("count")).first()[0]) or blocks(lines))
+    text = noisy(7, 400)
+    (tmp_path / "one.csv").write_text(text, newline="")
+    got = L.records(spark, str(tmp_path), 5).select("record", "broken").collect()
+    assert sorted(map(tuple, got)) == plain_records(text, 5)
+    assert not any("collect_list" in plan for plan in plans) and sizes and sizes[0] <= 16
