@@ -262,3 +262,38 @@ def test_inside_a_polygon_the_distance_is_zero(spark):
     every = N.attach_nearest(sites, {"P": shapes}, max_m=100.0, ties="all").collect()
     assert sorted((r.k, r.P_id or 0, r.P_dist_m) for r in every if r.k < 3) == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 30.0), (2, 2, 30.0)]
     assert [(r.P_id, r.P_dist_m) for r in every if r.k == 3] == [(None, None)]
+
+
+def test_pairs_of_points_and_small_polygons_are_neither_stored_nor_shuffled(spark, monkeypatch):
+    """Squares, a triangle, a hole, a ring left open, repeated and missing ids: as by brute force; joined, no pair is stored."""
+    rng = random.Random(9)
+    square = lambda x, y, r: [[x - r, y - r], [x + r, y - r], [x + r, y + r], [x - r, y + r], [x - r, y - r]]
+    shapes = [(i, [square(float(rng.randint(0, 20)), float(rng.randint(0, 20)), 6.0)]) for i in range(40)]
+    shapes += [(50, [[[0.0, 0.0], [9.0, 0.0], [0.0, 9.0], [0.0, 0.0]]]), (51, [square(10.0, 10.0, 7.0), square(10.0, 10.0, 3.0)])]
+    shapes += [(52, [square(9.0, 9.0, 5.0)[:4]]), (53, [square(5.0, 5.0, 4.0)] * 2), (None, [square(9.0, 9.0, 8.0)])]
+    shapes += [(60, [square(8.0, 8.0, 4.0)])] * 2 + [(61, [square(8.0, 8.0, 4.0)])] * 3
+    polygons = spark.createDataFrame(shapes, f"feature_id int, parts {G.PARTS}")
+    points = spark.createDataFrame([(float(x), float(y)) for x in range(22) for y in range(22)], "x double, y double")
+    found = Wi.containing_polygons(points, polygons)
+    got = sorted(map(tuple, found.collect()))
+    brute = []
+    for x, y in [(r.x, r.y) for r in points.collect()]:
+        for i, parts in [s for s in shapes if s[0] is not None and s[0] < 60]:
+            edges = [(a, b) for ring in parts for a, b in zip(ring, ring[1:])]
+            on = any((q[0] - p[0]) * (y - p[1]) == (q[1] - p[1]) * (x - p[0]) and min(p[0], q[0]) <= x <= max(p[0], q[0])
+                     and min(p[1], q[1]) <= y <= max(p[1], q[1]) for p, q in edges)
+            odd = sum((p[1] > y) != (q[1] > y) and x < p[0] + (y - p[1]) * ((q[0] - p[0]) / (q[1] - p[1])) for p, q in edges) % 2
+            xs, ys = zip(*[v for ring in parts for v in ring])
+            if odd and not on and min(xs) < x < max(xs) and min(ys) < y < max(ys):
+                brute.append((x, y, i))
+    assert [r for r in got if r[2] < 60] == sorted(brute)
+    # Rows of one id are judged together: two equal rows cancel, three do not.
+    assert {r[2] for r in got if r[2] >= 60} == {61}
+    alone = polygons.where("feature_id < 50")
+    sites = points.withColumnsRenamed({"x": "x_m", "y": "y_m"})
+    stored = []
+    monkeypatch.setattr(session, "checkpoint", lambda df: stored.append(df.count()) or df)
+    joined = within_join(sites, alone, {"feature_id": "pit"})
+    inside = sum(1 for r in brute if r[2] < 50)
+    assert joined.where("pit IS NOT NULL").count() == inside > 2 * max(stored, default=0)
+    assert joined.where("pit IS NULL").count() == 484 - len({r[:2] for r in brute if r[2] < 50})
