@@ -297,3 +297,15 @@ def test_pairs_of_points_and_small_polygons_are_neither_stored_nor_shuffled(spar
     inside = sum(1 for r in brute if r[2] < 50)
     assert joined.where("pit IS NOT NULL").count() == inside > 2 * max(stored, default=0)
     assert joined.where("pit IS NULL").count() == 484 - len({r[:2] for r in brute if r[2] < 50})
+
+
+def test_pieces_of_segments_are_not_stored(spark, monkeypatch):
+    """Long segments in about ten pieces each: what is stored are segments and cells."""
+    kept = []
+    for name in ("checkpoint", "stored"):
+        store = getattr(N, name, None)
+        monkeypatch.setattr(N, name, lambda df, *a, store=store: kept.append(df.count()) or store(df, *a), raising=False)
+    rng = random.Random(8)
+    lines = [(i, [[[x := rng.uniform(0, 1e5), y := rng.uniform(0, 1e5)], [x + 5e4, y + rng.uniform(-1, 1)]]]) for i in range(400)]
+    grid = N.build_grid(N.shape_segments(spark.createDataFrame(lines, f"id int, parts {G.PARTS}"), "id", "l"))
+    assert grid.leaves.count() > 2000 and max(kept) <= 400
