@@ -309,3 +309,14 @@ def test_pieces_of_segments_are_not_stored(spark, monkeypatch):
     lines = [(i, [[[x := rng.uniform(0, 1e5), y := rng.uniform(0, 1e5)], [x + 5e4, y + rng.uniform(-1, 1)]]]) for i in range(400)]
     grid = N.build_grid(N.shape_segments(spark.createDataFrame(lines, f"id int, parts {G.PARTS}"), "id", "l"))
     assert grid.leaves.count() > 2000 and max(kept) <= 400
+
+
+def test_ids_multiply_rows_only_at_the_end(spark, monkeypatch):
+    """Two layers of ten squares around one place: a hundred rows, one of them stored."""
+    square = [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0], [0.0, 0.0]]]
+    layer = spark.createDataFrame([(i, "Polygon", square) for i in range(10)], f"feature_id int, geometry_type string, parts {G.PARTS}")
+    stored, store = [], session.checkpoint
+    monkeypatch.setattr(session, "checkpoint", lambda df: stored.append(df.count()) or store(df))
+    joined = N.attach_nearest(_sites(spark, [(4, 4)]), {"A": layer, "B": layer}, max_m=5.0, ties="all")
+    assert {(r.A_id, r.B_id, r.A_dist_m, r.B_dist_m) for r in joined.collect()} == {(i, j, 0.0, 0.0) for i in range(10) for j in range(10)}
+    assert joined.count() == 100 and max(stored) < 100
