@@ -119,3 +119,17 @@ def test_blocks_are_folded_without_lists_of_their_lines(spark, tmp_path, monkeyp
     got = L.records(spark, str(tmp_path), 5).select("record", "broken").collect()
     assert sorted(map(tuple, got)) == plain_records(text, 5)
     assert not any("collect_list" in plan for plan in plans) and sizes and sizes[0] <= 16
+
+
+def test_tolerant_reading_collects_no_block(spark, tmp_path, monkeypatch):
+    """Broken and long records among blocks of a few lines, none of which is collected."""
+    monkeypatch.setattr(L, "CHUNK", 3, raising=False)
+    plans, store = [], L.checkpoint
+    monkeypatch.setattr(L, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    lines = [x for n in range(40) for x in (f'{n},"a\nb",1', f"{n},c,2", f'{n},"never', *[f"{n},p,{i}" for i in range(4)], f"{n},q,8,9")]
+    text = "site,note,line\n" + "\n".join(lines) + "\n"
+    (tmp_path / "one.csv").write_text(text)
+    kept = [r for r, broken in plain_records(text, 3) if not broken and not r.endswith(",8,9")]
+    read = R.read_csv_tolerant(spark, str(tmp_path), max_lines=3)
+    assert read.count() == len(kept) > 40
+    assert not any("collect_list" in plan for plan in plans)
